@@ -23,6 +23,8 @@ from tracefold.session import written
 LOT_ITEMS = 4_000
 #: Bins filled by the search of one lot, as a multiple of the lot's incumbent.
 BUDGET = 3
+#: Windows are settings; a table beyond this bound isn't one of settings.
+MAX_WINDOWS = 1_000
 PACKED_SCHEMA = "window_name string, capacity_tokens int, lot long, bin int, doc_id long, piece int, first_token long, n_tokens int"
 
 
@@ -205,11 +207,17 @@ def pack(sizes: DataFrame, windows: DataFrame, lot_items: int = LOT_ITEMS) -> Da
     """
     sizes = written(sizes.select("doc_id", "n_tokens"), "sizes")
     n = sizes.count()
-    wide = windows.filter(F.col("capacity_tokens") > 0).select("window_name", F.col("capacity_tokens").cast("int").alias("capacity_tokens"))
+    wide = windows.filter(F.col("capacity_tokens") > 0).select("window_name", "capacity_tokens").limit(MAX_WINDOWS + 1).collect()
+    if len(wide) > MAX_WINDOWS:
+        raise ValueError(f"more than {MAX_WINDOWS} windows")
+    if not wide:
+        return sizes.sparkSession.createDataFrame([], PACKED_SCHEMA)
+    each = F.array(*(F.struct(F.lit(w.window_name).alias("window_name"), F.lit(int(w.capacity_tokens)).alias("capacity_tokens")) for w in wide))
     c, t = F.col("capacity_tokens"), F.coalesce(F.col("n_tokens"), F.lit(0))
     items = (
         sizes.select(F.col("doc_id").cast("long").alias("doc_id"), t.cast("long").alias("total"), F.monotonically_increasing_id().alias("row"))
-        .join(F.broadcast(wide), F.lit(True))  # a window is a row of a table of fixed size
+        .withColumn("window", F.explode(each))
+        .select("doc_id", "total", "row", "window.*")
         .withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("total") / c) - 1).cast("int"))))
         .withColumn("first_token", F.col("piece") * c.cast("long"))
         .withColumn("n_tokens", F.least(c.cast("long"), F.col("total") - F.col("first_token")).cast("int"))

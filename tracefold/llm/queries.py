@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracefold.llm import duplicates, packing, tokens
+from tracefold.llm import duplicates, entities, packing, tokens
 from tracefold.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,14 @@ def p2_records(spark: SparkSession, d: str) -> DataFrame:
     return duplicates.reference_records(table(spark, d, "bib_refs"), table(spark, d, "venues"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return entities.matched_records(table(spark, d, "resolved_sources")).select("source_id_a", "source_id_b")
+
+
+def p4_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return entities.matched_records(table(spark, d, "resolved_sources"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_ids(table(spark, d, "documents"))
 
@@ -35,6 +43,8 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p2_found": p2_found,
     "p2_records": p2_records,
+    "p4_found": p4_found,
+    "p4_confidence": p4_confidence,
     "p6_ids": p6_ids,
     "p7_windows": p7_windows,
     "p7_report": p7_report,
