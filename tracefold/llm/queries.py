@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracefold.llm import duplicates, entities, packing, tokens
+from tracefold.llm import duplicates, entities, names, packing, tokens
 from tracefold.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def p4_confidence(spark: SparkSession, d: str) -> DataFrame:
     return entities.matched_records(table(spark, d, "resolved_sources"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.variant_pairs(table(spark, d, "resolved_sources"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_ids(table(spark, d, "documents"))
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Query] = {
     "p2_records": p2_records,
     "p4_found": p4_found,
     "p4_confidence": p4_confidence,
+    "p5_found": p5_found,
     "p6_ids": p6_ids,
     "p7_windows": p7_windows,
     "p7_report": p7_report,
