@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracefold.llm import duplicates, entities, names, packing, tokens
+from tracefold.llm import duplicates, entities, names, packing, pii, tokens
 from tracefold.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,14 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.packing_report(p7_windows(spark, d))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.personal_mentions(table(spark, d, "documents"))
+
+
+def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted_text(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "p2_found": p2_found,
     "p2_records": p2_records,
@@ -53,6 +61,8 @@ QUERIES: dict[str, Query] = {
     "p6_ids": p6_ids,
     "p7_windows": p7_windows,
     "p7_report": p7_report,
+    "p8_found": p8_found,
+    "p8_redacted": p8_redacted,
 }
 
 SQL: dict[str, str] = {}
