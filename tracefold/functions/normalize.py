@@ -54,28 +54,32 @@ def _ratio(left: pd.Series, right: pd.Series) -> pd.Series:
 def title_similarity(printed: Column, found: Column) -> Column:
     """Gestalt ratio of the sorted words of two normalised titles, printed one first, to 4 places; 0 if one is
     empty. Equal ones are 1 without leaving the JVM. The ratio isn't symmetric."""
-    a, b = sorted_words(printed), sorted_words(found)
+    return sorted_similarity(sorted_words(printed), sorted_words(found))
+
+
+def sorted_similarity(a: Column, b: Column) -> Column:
+    """The same for words that are sorted already."""
     some = (a != "") & (b != "")
     asked = some & (a != b)
     ratio = _ratio(F.when(asked, a), F.when(asked, b))
     return F.when(~some, 0.0).when(a == b, 1.0).otherwise(F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), ratio)), 4))
 
 
-def surname(author: Column) -> Column:
-    """Of "Family, Given": the last word before the comma; a trailing word of up to three capitals is initials; else
-    the last word. In comparable form; null if nothing is left."""
-    clean = F.trim(author)
-    before = F.trim(F.split_part(clean, F.lit(","), F.lit(1)))
-    words = F.split(clean, r"\s+")
-    n = F.size(words)
+def _surname_of(clean: Column, words: Column) -> Column:
     last = F.element_at(words, -1)
-    chosen = (
-        F.when(F.contains(clean, F.lit(",")), F.element_at(F.split(before, r"\s+"), -1))
-        .when(n <= 1, clean)
+    return (
+        F.when(F.contains(clean, F.lit(",")), F.element_at(F.split(F.trim(F.split_part(clean, F.lit(","), F.lit(1))), r"\s+"), -1))
+        .when(F.size(words) <= 1, clean)
         .when(F.regexp_replace(last, r"\.", "").rlike(r"^[\p{Lu}-]{1,3}$"), F.element_at(words, -2))
         .otherwise(last)
     )
-    return F.when(chosen != "", chosen)
+
+
+def surname(author: Column) -> Column:
+    """Of "Family, Given": the last word before the comma; a trailing word of up to three capitals is initials; else
+    the last word. Null if nothing is left."""
+    clean = F.trim(author)
+    return F.nullif(_surname_of(clean, F.split(clean, r"\s+")), F.lit(""))
 
 
 # Accented letters and what they are without their marks, place by place.
@@ -85,10 +89,11 @@ _FOLDED = "aaaaaaacccdeeeeeeiiiiinnnooooooorssstt" "uuuuuuyyzzz"
 
 def surnames(authors: Column) -> Column:
     """Distinct comparable surnames of a list, sorted; null and empty names are left out, a null list is empty."""
-    keys = F.transform(
-        F.coalesce(authors, F.array().cast("array<string>")),
-        lambda a: F.trim(F.regexp_replace(F.translate(F.lower(surname(a)), _ACCENTED, _FOLDED), "[^a-z0-9]+", " ")),
-    )
+    # Each step binds its result for the next: a lambda would else evaluate the words once per use.
+    clean = F.transform(F.coalesce(authors, F.array().cast("array<string>")), F.trim)
+    worded = F.transform(clean, lambda c: F.struct(c.alias("c"), F.split(c, r"\s+").alias("w")))
+    chosen = F.transform(worded, lambda x: F.lower(_surname_of(x["c"], x["w"])))
+    keys = F.transform(chosen, lambda c: F.trim(F.regexp_replace(F.translate(c, _ACCENTED, _FOLDED), "[^a-z0-9]+", " ")))
     return F.array_sort(F.array_distinct(F.filter(keys, lambda k: k.isNotNull() & (k != ""))))
 
 

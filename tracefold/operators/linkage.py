@@ -97,21 +97,34 @@ def retracted(sources: DataFrame) -> DataFrame:
 
 def signals(refs: DataFrame, sources: DataFrame, resolved: DataFrame) -> DataFrame:
     """Title similarity, author overlap, year distance and three-valued DOI agreement of each resolved reference."""
+    # Comparable values are made once per side, before the join and in projections of their own.
     s = sources.select(
-        "source_id", "provider", F.col("title").alias("s_title"), F.col("authors").alias("s_authors"), F.col("year").alias("s_year"), F.col("doi").alias("s_doi"), "is_preprint"
+        "source_id",
+        N.sorted_words(N.normalise_text(F.col("title"))).alias("s_words"),
+        N.surnames(F.col("authors")).alias("s_names"),
+        F.col("year").alias("s_year"),
+        N.normalise_doi(F.col("doi")).alias("s_doi"),
+        "is_preprint",
+    )
+    r = refs.select(
+        "row_id",
+        N.sorted_words(N.normalise_text(F.col("title"))).alias("words"),
+        N.surnames(F.col("authors")).alias("names"),
+        "year",
+        N.normalise_doi(F.col("doi")).alias("doi"),
+        "arxiv_id",
     )
-    r = refs.select("row_id", "title", "authors", "year", "doi", "arxiv_id")
     joined = r.join(resolved.filter(F.col("source_id").isNotNull()), "row_id").join(s, "source_id")
     return joined.select(
         "row_id",
         "source_id",
         "branch",
-        N.title_similarity(N.normalise_text(F.col("title")), N.normalise_text(F.col("s_title"))).alias("title_similarity"),
-        N.author_overlap(N.surnames(F.col("authors")), N.surnames(F.col("s_authors"))).alias("author_overlap"),
+        N.sorted_similarity(F.col("words"), F.col("s_words")).alias("title_similarity"),
+        N.author_overlap(F.col("names"), F.col("s_names")).alias("author_overlap"),
         N.year_delta(F.col("year"), F.col("s_year")).alias("year_delta"),
-        N.doi_match(N.normalise_doi(F.col("doi")), N.normalise_doi(F.col("s_doi"))).alias("doi_match"),
+        N.doi_match(F.col("doi"), F.col("s_doi")).alias("doi_match"),
         "is_preprint",
-        N.looks_like_preprint(N.normalise_doi(F.col("doi")), F.col("arxiv_id")).alias("printed_preprint"),
+        N.looks_like_preprint(F.col("doi"), F.col("arxiv_id")).alias("printed_preprint"),
     )
 
 
