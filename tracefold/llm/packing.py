@@ -201,8 +201,7 @@ def pack(sizes: DataFrame, windows: DataFrame, lot_items: int = LOT_ITEMS) -> Da
     """(window_name, capacity_tokens, lot, bin, doc_id, piece, first_token, n_tokens): every document of `sizes`
     (doc_id, n_tokens) once per window, in as many pieces as its length needs.
 
-    (lot, bin) names a container; lot -1 holds the pieces that fill a window by themselves, under bin 0 with one
-    piece each. Null and zero lengths take no room and go to their lot's first bin. Windows without a positive
+    (lot, bin) names a container; pieces that fill a window by themselves have one each, under a negative lot. Null and zero lengths take no room and go to their lot's first bin. Windows without a positive
     capacity take nothing. Repeated doc_ids are packed as often as they occur.
     """
     sizes = written(sizes.select("doc_id", "n_tokens"), "sizes")
@@ -225,7 +224,7 @@ def pack(sizes: DataFrame, windows: DataFrame, lot_items: int = LOT_ITEMS) -> Da
     )
     lots = max(1, -(-n // lot_items))
     full = items.filter(F.col("n_tokens") == c).select(
-        "window_name", "capacity_tokens", F.lit(-1).cast("long").alias("lot"), F.lit(0).alias("bin"), "doc_id", "piece", "first_token", "n_tokens"
+        "window_name", "capacity_tokens", (-1 - F.col("row")).alias("lot"), F.col("piece").alias("bin"), "doc_id", "piece", "first_token", "n_tokens"
     )
     rest = (
         items.filter(F.col("n_tokens") < c)

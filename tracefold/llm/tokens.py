@@ -14,9 +14,11 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Folder of the public vocabularies; a parameter of every function here.
 TOKENIZER_DIR = os.environ.get("TRACEFOLD_TOKENIZERS", "/opt/tokenizers")
@@ -110,11 +112,9 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", folde
 
 def decoded_text(ids: Column, folder: str = TOKENIZER_DIR, file: str = RANK_FILE) -> Column:
     """The text of a list of ids; null for null."""
-    import pandas as pd
-
     path = _path(folder, file)
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def run(column: pd.Series) -> pd.Series:
         return column.map(lambda x: None if x is None else decode(x, path))
 
