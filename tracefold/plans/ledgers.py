@@ -146,7 +146,7 @@ WITH p AS (
   FROM bib_refs WHERE doi IS NOT NULL)
 SELECT row_id, bare <> '' AND (contains(coalesce(entry, ''), bare) OR contains(coalesce(entry, ''), regexp_replace(bare, 'v\\d+$', ''))) AS printed FROM p
 """)
-def p05_printed_identifiers(spark: SparkSession, d: str) -> DataFrame:
+def pred_p05_printed_identifiers(spark: SparkSession, d: str) -> DataFrame:
     refs = table(spark, d, "bib_refs").filter(F.col("doi").isNotNull())
     return refs.select("row_id", N.is_printed(F.col("doi"), F.col("raw_text")).alias("printed"))
 
@@ -409,7 +409,7 @@ _SCANNED = ("baseline", "gain", "by hand", "no record")
 SELECT verdict_id, term FROM (SELECT verdict_id, lower(concat_ws(chr(10), rationale, array_to_string(checks, chr(10)))) AS t FROM verdicts)
 JOIN (SELECT unnest([{', '.join(repr(t) for t in _SCANNED)}]) AS term) ON contains(t, term)
 """)
-def p03_term_scan(spark: SparkSession, d: str) -> DataFrame:
+def pred_p03_term_scan(spark: SparkSession, d: str) -> DataFrame:
     texts = [F.col("rationale"), F.array_join("checks", "\n")]
     return constraints.banned_terms(table(spark, d, "verdicts"), "verdict_id", texts, _SCANNED)
 
