@@ -155,17 +155,31 @@ def divergent_duplicates(refs: DataFrame) -> DataFrame:
     )
 
 
-def indicators(refs: DataFrame, claims: DataFrame, sources: DataFrame, resolved: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(row_id, indicators): orphan, duplicate_entry, retracted, doi_mismatch, version_mismatch, in this order, joined
-    by commas. A null signal fires nothing."""
+def exact_indicators(refs: DataFrame, claims: DataFrame, sources: DataFrame, resolved: DataFrame) -> DataFrame:
+    """(row_id, orphan, duplicate_entry, retracted, doi_mismatch): the indicators that need no similarity."""
+    flags, told = _flags(refs, claims, sources, resolved)
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    told = told.select("row_id", "gone", (F.col("doi_match") == F.lit(False)).alias("other_doi"))
+    return flags.join(told, "row_id", "left").select(
+        "row_id", yes("orphan").alias("orphan"), yes("twin").alias("duplicate_entry"), yes("gone").alias("retracted"), yes("other_doi").alias("doi_mismatch")
+    )
+
+
+def _flags(refs: DataFrame, claims: DataFrame, sources: DataFrame, resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
     lone = uncited(refs, claims).select("row_id", F.lit(True).alias("orphan"))
     twins = divergent_duplicates(refs).select("row_id", F.lit(True).alias("twin"))
     gone = retracted(sources).withColumnRenamed("is_retracted", "gone")
-    s = signals(refs, sources, resolved).join(gone, "source_id")
+    return refs.select("row_id").join(lone, "row_id", "left").join(twins, "row_id", "left"), signals(refs, sources, resolved).join(gone, "source_id")
+
+
+def indicators(refs: DataFrame, claims: DataFrame, sources: DataFrame, resolved: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(row_id, indicators): orphan, duplicate_entry, retracted, doi_mismatch, version_mismatch, in this order, joined
+    by commas. A null signal fires nothing."""
+    flags, s = _flags(refs, claims, sources, resolved)
     mixed = F.col("is_preprint").isNotNull() & (F.col("title_similarity") >= settings.title_strong) & (F.col("printed_preprint") != F.col("is_preprint"))
     told = s.select("row_id", "gone", (F.col("doi_match") == F.lit(False)).alias("other_doi"), mixed.alias("mixed"))
     flag = lambda c, name: F.when(F.coalesce(F.col(c), F.lit(False)), F.lit(name))
-    joined = refs.select("row_id").join(lone, "row_id", "left").join(twins, "row_id", "left").join(told, "row_id", "left")
+    joined = flags.join(told, "row_id", "left")
     names = [("orphan", "orphan"), ("twin", "duplicate_entry"), ("gone", "retracted"), ("other_doi", "doi_mismatch"), ("mixed", "version_mismatch")]
     return joined.select("row_id", F.concat_ws(",", *(flag(c, n) for c, n in names)).alias("indicators"))
 

@@ -256,6 +256,18 @@ def d01_indicators(spark: SparkSession, d: str) -> DataFrame:
     return linkage.indicators(refs, state.current_claims(table(spark, d, "ledger_claims")), sources, linkage.resolve(refs, sources), SETTINGS)
 
 
+@query(_RESOLVE.rstrip() + ", " + _TWINS.strip() + _SIGNALS + f"""
+, ret AS (SELECT s.source_id, s.own OR f.doi IS NOT NULL AS gone FROM (SELECT source_id, coalesce(is_retracted, false) AS own, {_doi('doi')} AS doi FROM resolved_sources) s
+  LEFT JOIN (SELECT DISTINCT {_doi('doi')} AS doi FROM resolved_sources WHERE provider = 'openalex' AND is_retracted AND doi IS NOT NULL) f ON s.doi = f.doi)
+SELECT cur.row_id, c.ref_id IS NULL AS orphan, twins.row_id IS NOT NULL AS duplicate_entry, coalesce(ret.gone, false) AS retracted, coalesce(sig.doi_match = false, false) AS doi_mismatch
+FROM cur LEFT JOIN (SELECT DISTINCT ledger_id, ref_id FROM cit) c USING (ledger_id, ref_id) LEFT JOIN twins ON twins.row_id = cur.row_id
+LEFT JOIN sig ON sig.row_id = cur.row_id LEFT JOIN ret ON ret.source_id = sig.source_id
+""")
+def d02_exact_indicators(spark: SparkSession, d: str) -> DataFrame:
+    refs, sources, resolved = _resolved(spark, d)
+    return linkage.exact_indicators(refs, state.current_claims(table(spark, d, "ledger_claims")), sources, resolved)
+
+
 @query(f"""
 WITH {_CURRENT} SELECT ledger_id, ref_id, CASE WHEN side = 'e' THEN 'expected only' ELSE 'observed only' END AS side FROM (
   SELECT ledger_id, ref_id, 'e' AS side FROM cur ANTI JOIN ver USING (ledger_id, ref_id)
@@ -414,6 +426,80 @@ def pred_p03_term_scan(spark: SparkSession, d: str) -> DataFrame:
     return constraints.banned_terms(table(spark, d, "verdicts"), "verdict_id", texts, _SCANNED)
 
 
+@query("SELECT verdict_id, ledger_id, ref_id, status FROM verdicts QUALIFY row_number() OVER (PARTITION BY ledger_id ORDER BY judged_at DESC, verdict_id DESC) = 1")
+def a18_latest_per_ledger(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "verdicts").select("verdict_id", "ledger_id", "ref_id", "status", "judged_at")
+    return state.latest(v, ["ledger_id"], ["judged_at", "verdict_id"]).select("verdict_id", "ledger_id", "ref_id", "status")
+
+
+@query(f"""
+WITH {_CURRENT}, per AS (SELECT ledger_id, count(*) AS entries, count(*) FILTER (status IN ('verified', 'needs_check', 'conflict', 'unresolvable')) AS counted, count(DISTINCT ref_id) AS ids FROM ver GROUP BY ledger_id)
+SELECT ledger_id, entries, counted, entries = counted AND entries = ids AS consistent FROM per
+""")
+def a04_consistency(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the counts per status add up to the entries and every id occurs once."""
+    v = state.current_verdicts(table(spark, d, "verdicts").select("ledger_id", "ref_id", "status", "judged_at", "verdict_id"))
+    per = v.groupBy("ledger_id").agg(
+        F.count(F.lit(1)).alias("entries"), F.count_if(F.col("status").isin(*STATUSES)).alias("counted"), F.countDistinct("ref_id").alias("ids")
+    )
+    return per.select("ledger_id", "entries", "counted", ((F.col("entries") == F.col("counted")) & (F.col("entries") == F.col("ids"))).alias("consistent"))
+
+
+@query("SELECT judge_model, count(*) AS rows, count(DISTINCT ledger_id) AS ledgers, count(DISTINCT status) AS statuses, round(avg(confidence), 6) AS confidence FROM verdicts GROUP BY judge_model")
+def a17_totals(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "verdicts").groupBy("judge_model").agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("ledger_id").alias("ledgers"), F.countDistinct("status").alias("statuses"), F.round(F.avg("confidence"), 6).alias("confidence")
+    )
+
+
+@query(f"""
+WITH {_CURRENT}, n AS (SELECT ledger_id, ref_id, count(*) AS claims FROM cit GROUP BY ALL)
+SELECT cur.row_id, to_json(struct_pack(ref_id := cur.ref_id, title := title, year := year, doi := doi, claims := coalesce(n.claims, 0))) AS payload
+FROM cur LEFT JOIN n USING (ledger_id, ref_id)
+""")
+def pred_p07_payload(spark: SparkSession, d: str) -> DataFrame:
+    """What a judge is shown of each reference, nothing else, with the number of its citations."""
+    refs = state.current_references(table(spark, d, "bib_refs").select("row_id", "ledger_id", "ref_id", "title", "year", "doi", "arrived_at", "deleted_at"))
+    cited = linkage.citing_claims(state.current_claims(table(spark, d, "ledger_claims"))).select("ledger_id", "ref_id", "claims")
+    shown = F.struct("ref_id", "title", "year", "doi", F.coalesce("claims", F.lit(0)).alias("claims"))
+    return refs.join(cited, ["ledger_id", "ref_id"], "left").select("row_id", F.to_json(shown, {"ignoreNullFields": "false"}).alias("payload"))
+
+
+@query("""
+SELECT verdict_id, CASE WHEN confidence IS NULL THEN 'not comparable' ELSE printf('%.2f', confidence) END AS confidence_text,
+  CASE WHEN length(t) > 60 THEN left(t, 59) || '…' ELSE t END AS short_rationale, CAST(round(priority * 100) AS BIGINT) AS percent
+FROM (SELECT *, trim(regexp_replace(rationale, '\\s+', ' ', 'g')) AS t FROM verdicts)
+""")
+def pred_p10_row_text(spark: SparkSession, d: str) -> DataFrame:
+    flat = F.trim(F.regexp_replace("rationale", r"\s+", " "))
+    return table(spark, d, "verdicts").select(
+        "verdict_id",
+        F.when(F.col("confidence").isNull(), "not comparable").otherwise(F.format_string("%.2f", "confidence")).alias("confidence_text"),
+        F.when(F.length(flat) > 60, F.concat(F.left(flat, F.lit(59)), F.lit("…"))).otherwise(flat).alias("short_rationale"),
+        F.round(F.col("priority") * 100).cast("long").alias("percent"),
+    )
+
+
+@query("""
+WITH s AS (SELECT source_id, doi, list_distinct(list_filter(coalesce(authors, []), lambda v: v IS NOT NULL)) AS x FROM resolved_sources WHERE doi IS NOT NULL),
+k AS (SELECT doi, arg_min(x, source_id) AS y FROM s GROUP BY doi)
+SELECT source_id, len(list_intersect(x, y)) AS both, len(list_distinct(list_concat(x, y))) AS either, len(list_filter(x, lambda v: NOT list_contains(y, v))) AS only_first
+FROM s JOIN k USING (doi)
+""")
+def u01_author_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Author lists of each record against the first record of its printed identifier."""
+    names = F.array_distinct(F.filter(F.coalesce("authors", F.array().cast("array<string>")), lambda v: v.isNotNull()))
+    s = table(spark, d, "resolved_sources").filter(F.col("doi").isNotNull()).select("source_id", "doi", names.alias("x"))
+    first = s.groupBy("doi").agg(F.min_by("x", "source_id").alias("y"))
+    both = s.join(first, "doi")
+    return both.select(
+        "source_id",
+        F.size(F.array_intersect("x", "y")).cast("long").alias("both"),
+        F.size(F.array_union("x", "y")).cast("long").alias("either"),
+        F.size(F.array_except("x", "y")).cast("long").alias("only_first"),
+    )
+
+
 # ---- Sources and sinks -------------------------------------------------------------------------------------
 
 

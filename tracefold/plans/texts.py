@@ -115,6 +115,16 @@ def t16_claims(spark: SparkSession, d: str) -> DataFrame:
     return segment.claims(docs, state.usable(table(spark, d, "bib_refs")))
 
 
+@query("""
+WITH f AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, string_split(regexp_replace(t, '\\s+(\\d{1,2}(?:\\.\\d{1,2})*\\.? [A-Z][a-z]|[•▪‣] )', chr(1) || '\\1', 'g'), chr(1)) AS p FROM f)
+SELECT doc_id, len(p) AS paragraphs, list_max(list_transform(p, lambda x: length(x))) AS longest FROM s
+""")
+def t21_reflow(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").filter(F.col("text").isNotNull()).select("doc_id", segment.reflow(F.col("text")).alias("p"))
+    return docs.select("doc_id", F.size("p").cast("long").alias("paragraphs"), F.array_max(F.transform("p", F.length)).alias("longest"))
+
+
 @query(f"""
 WITH {_LINES} SELECT doc_id, median(length(trim(line))) AS median_length FROM lin WHERE trim(line) <> '' GROUP BY doc_id
 """)
