@@ -454,7 +454,7 @@ def a17_totals(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
 WITH {_CURRENT}, n AS (SELECT ledger_id, ref_id, count(*) AS claims FROM cit GROUP BY ALL)
-SELECT cur.row_id, to_json(struct_pack(ref_id := cur.ref_id, title := title, year := year, doi := doi, claims := coalesce(n.claims, 0))) AS payload
+SELECT cur.row_id, CAST(to_json(struct_pack(ref_id := cur.ref_id, title := title, year := year, doi := doi, claims := coalesce(n.claims, 0))) AS VARCHAR) AS payload
 FROM cur LEFT JOIN n USING (ledger_id, ref_id)
 """)
 def pred_p07_payload(spark: SparkSession, d: str) -> DataFrame:

@@ -35,7 +35,7 @@ lin AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS line_no, unnest(ls) AS l
 _HEAD = "'^\\s*((\\d+|[ivxlcIVXLC]+)\\.?\\s+)?(references|bibliography|works cited|literature cited)\\s*$', 'i'"
 
 
-@query(f"WITH {_LINES} SELECT doc_id, count(*) AS lines, sum(length(line)) AS chars, count(*) FILTER (trim(line) = '') AS blank FROM lin GROUP BY doc_id")
+@query(f"WITH {_LINES} SELECT doc_id, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars, count(*) FILTER (trim(line) = '') AS blank FROM lin GROUP BY doc_id")
 def t01_lines(spark: SparkSession, d: str) -> DataFrame:
     n = segment.numbered_lines(table(spark, d, "documents"))
     return n.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("line")).alias("chars"), F.count_if(F.trim("line") == "").alias("blank"))
@@ -76,7 +76,7 @@ def t09_entries(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 WITH f AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS t FROM documents),
 s AS (SELECT doc_id, unnest(string_split(regexp_replace(t, '([.!?])\\s+([A-Z(\\["''])', '\\1' || chr(1) || '\\2', 'g'), chr(1))) AS sentence FROM f)
-SELECT doc_id, count(*) AS sentences, max(length(sentence)) AS longest FROM s WHERE sentence <> '' GROUP BY doc_id
+SELECT doc_id, count(*) AS sentences, CAST(max(length(sentence)) AS INT) AS longest FROM s WHERE sentence <> '' GROUP BY doc_id
 """)
 def t13_sentences(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "documents").select("doc_id", F.explode(segment.sentences(F.col("text"))).alias("sentence"))
@@ -118,7 +118,7 @@ def t16_claims(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 WITH f AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL),
 s AS (SELECT doc_id, string_split(regexp_replace(t, '\\s+(\\d{1,2}(?:\\.\\d{1,2})*\\.? [A-Z][a-z]|[•▪‣] )', chr(1) || '\\1', 'g'), chr(1)) AS p FROM f)
-SELECT doc_id, len(p) AS paragraphs, list_max(list_transform(p, lambda x: length(x))) AS longest FROM s
+SELECT doc_id, len(p) AS paragraphs, CAST(list_max(list_transform(p, lambda x: length(x))) AS INT) AS longest FROM s
 """)
 def t21_reflow(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").filter(F.col("text").isNotNull()).select("doc_id", segment.reflow(F.col("text")).alias("p"))
