@@ -72,3 +72,31 @@ def test_claims_ignore_numbers_without_reference(spark):
     refs = spark.createDataFrame([(5, "R01"), (5, "R2"), (6, "R9")], "ledger_id long, ref_id string")
     got = sorted(tuple(r) for r in segment.claims(docs, refs).collect())
     assert got == [(1, 1, 1, "R01"), (1, 3, 2, "R2")]
+
+
+def test_brackets_are_renumbered(spark):
+    new = segment.remapped_markers(F.col("t"), lambda n: F.when(n != 9, n * 2))
+    assert one(spark, new, "a [1, 3-4] b [9] c [Fig. 1] d [2;2]") == "a [2, 6, 8] b  c [Fig. 1] d [4]"
+    assert one(spark, new, "none") == "none" and one(spark, new, None) is None
+
+
+def test_contiguous_numbers(spark):
+    df = spark.createDataFrame([(1, 1), (1, 2), (1, 2), (1, 4), (2, 2), (3, None), (4, 1)], "k long, n int")
+    assert {(r.k, r.entries, r.contiguous) for r in segment.contiguous_prefix(df, "k", "n").collect()} == {(1, 3, 2), (2, 1, 0), (4, 1, 1)}
+
+
+def test_running_heads(spark):
+    n = spark.createDataFrame([(1, 1, "A Fine Title"), (1, 2, "12 A FINE TITLE 13"), (1, 3, "body of a fine title"), (1, 4, "7"), (2, 1, "A fine title")], "doc_id long, line_no int, line string")
+    titles = spark.createDataFrame([(1, "A fine title")], "doc_id long, title string")
+    assert {(r.doc_id, r.line_no) for r in segment.without_running_heads(n, titles).collect()} == {(1, 3), (2, 1)}
+
+
+def test_repairs(spark):
+    from tracefold.functions import repair
+
+    assert one(spark, repair.dehyphenate(F.col("t")), "exam-\nple pre-\nand post 10-\n12 so\u00adft") == "example pre-\nand post 10-\n12 soft"
+    assert one(spark, repair.repair_doi(F.col("t")), "doi: 10. 1234 / ab") == "doi:10.1234/ab"
+    assert one(spark, repair.compose_accents(F.col("t")), "cafe\u0301") == "caf\u00e9"
+    assert one(spark, repair.tidy_punctuation(F.col("t")), "As said [ ] , twice () ; . . Yes ( so ) .") == "As said, twice. Yes (so)."
+    for f in (repair.dehyphenate, repair.repair_doi, repair.compose_accents, repair.tidy_punctuation):
+        assert one(spark, f(F.col("t")), None) is None

@@ -187,3 +187,36 @@ def reflow(text: Column) -> Column:
     """Paragraphs of a text that lost its breaks: cut before section numbers and bullets."""
     flat = F.trim(F.regexp_replace(text, r"\s+", " "))
     return F.split(flat, r"\s+(?=\d{1,2}(?:\.\d{1,2})*\.? [A-Z][a-z]|[•▪‣] )")
+
+
+def remapped_markers(text: Column, new_number) -> Column:
+    """The text with the numbers of every citation bracket replaced by new_number(number), sorted and without
+    repeats; numbers that become null are dropped, and a bracket that loses all of them disappears."""
+    marks = F.regexp_extract_all(text, F.lit(MARKER), F.lit(0))
+
+    def renewed(mark: Column) -> Column:
+        numbers = F.transform(marker_numbers(mark), lambda n: new_number(n))
+        kept = F.array_sort(F.array_distinct(F.filter(numbers, lambda n: n.isNotNull())))
+        return F.when(F.size(kept) > 0, F.concat(F.lit("["), F.array_join(F.transform(kept, lambda n: n.cast("string")), ", "), F.lit("]"))).otherwise("")
+
+    pieces = F.split(text, MARKER)
+    return F.array_join(F.zip_with(pieces, F.transform(marks, renewed), lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
+
+
+def contiguous_prefix(numbered: DataFrame, key: str, number: str) -> DataFrame:
+    """(key, entries, contiguous): how many distinct numbers a key has, and up to which they run from 1 without a gap.
+    The first gap is found by an anti-join of each number with its successor: nothing is sorted or listed."""
+    n = numbered.select(key, F.col(number).alias("n")).filter(F.col("n") > 0).dropDuplicates()
+    ends = n.join(n.select(key, (F.col("n") - 1).alias("n")), [key, "n"], "left_anti").groupBy(key).agg(F.min("n").alias("end"))
+    total = n.groupBy(key).agg(F.count(F.lit(1)).alias("entries"), F.min("n").alias("first"))
+    return total.join(ends, key).select(key, "entries", F.when(F.col("first") == 1, F.col("end")).otherwise(0).cast("int").alias("contiguous"))
+
+
+def without_running_heads(numbered: DataFrame, titles: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Lines that aren't the document's title, or begin with it, with or without a page number around it, nor a bare
+    number. titles: (key, title), one row per document; without a title only bare numbers go."""
+    squash = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]+", ""))
+    t = titles.select(key, squash(F.col("title")).alias("head"))
+    line = squash(F.col("line"))
+    is_head = (F.length("head") > 0) & F.startswith(F.regexp_replace(line, r"^\d{1,4}", ""), F.col("head"))
+    return numbered.join(t, key, "left").filter(~F.trim("line").rlike(r"^\d{1,4}$") & ~F.coalesce(is_head, F.lit(False))).drop("head")

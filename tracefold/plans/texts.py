@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracefold.config import Settings
+from tracefold.functions import repair
 from tracefold.operators import segment, state
 from tracefold.session import table
 from tracefold.streaming import arrivals
@@ -133,6 +134,51 @@ def a09_median_line(spark: SparkSession, d: str) -> DataFrame:
     return n.groupBy("doc_id").agg(F.median(F.length(F.trim("line"))).alias("median_length"))
 
 
+@query("""
+WITH n AS (SELECT DISTINCT ledger_id, TRY_CAST(regexp_extract(ref_id, '^R0*(\\d{1,9})$', 1) AS INT) AS n FROM bib_refs),
+k AS (SELECT ledger_id, n, row_number() OVER (PARTITION BY ledger_id ORDER BY n) AS r FROM n WHERE n > 0)
+SELECT ledger_id, count(*) AS entries, CAST(coalesce(max(n) FILTER (n = r), 0) AS INT) AS contiguous FROM k GROUP BY ledger_id
+""")
+def t19_contiguous_numbers(spark: SparkSession, d: str) -> DataFrame:
+    number = F.nullif(F.regexp_extract("ref_id", r"^R0*(\d{1,9})$", 1), F.lit("")).cast("int")
+    return segment.contiguous_prefix(table(spark, d, "bib_refs").select("ledger_id", number.alias("n")), "ledger_id", "n")
+
+
+@query("""
+WITH b AS (SELECT row_id, text, regexp_extract_all(text, '\\[(\\d[\\d\\s,;–—-]*)\\]', 0) AS marks FROM ledger_claims WHERE text IS NOT NULL)
+SELECT row_id, text, len(marks) AS brackets FROM b WHERE len(marks) = 0
+UNION ALL
+SELECT row_id, replace(text, marks[1], new) AS text, 1 AS brackets FROM (
+  SELECT row_id, text, marks, '[' || array_to_string(list_transform(list_sort(list_distinct(list_transform(string_split(marks[1][2:-2], ','), lambda x: 100 + CAST(trim(x) AS INT)))), lambda n: CAST(n AS VARCHAR)), ', ') || ']' AS new
+  FROM b WHERE len(marks) = 1 AND regexp_full_match(marks[1], '\\[\\d+(\\s*,\\s*\\d+)*\\]'))
+""")
+def t20_remapped_markers(spark: SparkSession, d: str) -> DataFrame:
+    """Every bracket's numbers moved by a hundred. The SQL knows brackets of plain numbers, which these claims have."""
+    c = table(spark, d, "ledger_claims").filter(F.col("text").isNotNull())
+    moved = segment.remapped_markers(F.col("text"), lambda n: n + 100)
+    brackets = F.size(F.regexp_extract_all("text", F.lit(segment.MARKER), F.lit(0))).cast("long")
+    return c.select("row_id", moved.alias("text"), brackets.alias("brackets"))
+
+
+_TIDY_SQL = "regexp_replace(text, '\\[\\d[\\d\\s,;–—-]*\\]', '', 'g')"
+for _pattern, _new in repair._TIDY:
+    _TIDY_SQL = f"regexp_replace({_TIDY_SQL}, '{_pattern}', '{_new.replace('$1', chr(92) + '1')}', 'g')"
+
+
+@query(f"SELECT row_id, trim({_TIDY_SQL}) AS text FROM ledger_claims")
+def m18_tidied_claims(spark: SparkSession, d: str) -> DataFrame:
+    """Claims without their citation brackets."""
+    bare = F.regexp_replace("text", r"\[\d[\d\s,;–—-]*\]", "")
+    return table(spark, d, "ledger_claims").select("row_id", repair.tidy_punctuation(bare).alias("text"))
+
+
+@query()
+def m17_repaired_references(spark: SparkSession, d: str) -> DataFrame:
+    """Look-ahead and composition have no SQL form; tests hold the three repairs to known answers."""
+    raw = repair.compose_accents(F.col("raw_text"))
+    return table(spark, d, "bib_refs").select("row_id", repair.repair_doi(repair.dehyphenate(raw)).alias("repaired"))
+
+
 @query("""
 SELECT source_table, CAST(date_trunc('day', arrived_at) AS TIMESTAMP) AS day, count(*) AS n, count(deleted_at) AS deleted FROM (
   SELECT 'bib_refs' AS source_table, arrived_at, deleted_at FROM bib_refs UNION ALL SELECT 'ledger_claims', arrived_at, deleted_at FROM ledger_claims) GROUP BY ALL
