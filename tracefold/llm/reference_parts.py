@@ -18,12 +18,12 @@ _IDENTIFIER = re.compile(
 _ACCESSED = re.compile(r"accessed\W*\d{1,2}\W*[a-z]+\W*\d{4}(?!\d)")
 _BREAK = re.compile(r"(?<=[^\W\d_])[-‐‑]\s+(?=[^\W\d_])")
 _LABEL = r"(?<![^\W\d_])(?:vol|no|pp)"
-_NUMERIC_START = re.compile(r"(?:[\W_]|\d|" + _LABEL + r"(?=\W*\d))*(?<!\d)(?=[^\W\d_]|$)|(?:[\W_]|\d)*$")
-_NUMERIC_END = re.compile(r"(?<![^\W_])(?:" + _LABEL + r"\W*\d+|\d+)(?:[\W_]*" + _LABEL + r"\W*\d+|[\W_]+\d+)*[\W_]*$")
+_NUMERIC_START = re.compile(r"(?:[\W_]|\d|" + _LABEL + r"(?=[.\s]*\d))*(?<!\d)(?=[^\W\d_]|$)|(?:[\W_]|\d)*$")
+_NUMERIC_END = re.compile(r"(?<![^\W_])(?:" + _LABEL + r"[.\s]*\d+|\d+)(?:[\W_]*" + _LABEL + r"[.\s]*\d+|[\W_]+\d+)*[\W_]*$")
 _VOLUME = re.compile(r"(?<![a-z])vol\W*\d+(?:\W*no\W*\d+)?|(?<!\d)\d{1,3}\W?\(\d{1,3}\)?|(?<!\d)\d{1,3}\(?\d{1,2}\)")
-_PAGES = re.compile(r"(?<![a-z])pp\W*\d+(?:\W\d+)?|(?<!\d)\d{1,5}[-‐‑‒–—−]\d{1,5}(?!\d)")
+_PAGES = re.compile(r"(?<![a-z])pp[.\s]*\d+(?:\W\d+)?|(?<!\d)\d{1,5}[-‐‑‒–—−]\d{1,5}(?!\d)")
 _SPAN = re.compile(r"(\d+)[-‐‑‒–—−](\d+)")
-_YEAR = re.compile(r"\([“\"]?(?:1[89]|20)\d\d(?!\d)|(?<!\d)(?:1[89]|20)\d\d[”\"]?\)|(?<!\d)(?:1[89]|20)\d\d(?=\d{1,3}\()")
+_YEAR = re.compile(r"\(\W?\d{4}\W{0,2}\)|\([“\"]?(?:1[89]|20)\d\d(?!\d)|(?<!\d)(?:1[89]|20)\d\d[”\"]?\)|(?<!\d)(?:1[89]|20)\d\d(?=\d{1,3}\()")
 _BARE_YEAR = re.compile(r"(?<![\d–-])(?:1[89]|20)\d\d(?![\d(]|[-‐‑‒–—−]\d)")
 _NUMBER = re.compile(r"\d+(?:\W{1,2}\d+)*")
 
@@ -60,7 +60,7 @@ class VenueFinder:
 def _unglue(m: re.Match) -> str:
     """Pages printed without a gap to their neighbours: the ends of a span are of like length and size."""
     a, b = m.groups()
-    if len(a) in (len(b), len(b) - 1) and len(a) < 5:
+    if len(a) in (len(b), len(b) - 1) and len(a) < 5 and int(b) - int(a) < 1000:
         return m.group()
     for k in (4, 3, 2, 1):
         for n in (k, k + 1):
@@ -88,6 +88,9 @@ def _numbers(zones: list[str]) -> tuple[str, str, str]:
     volume = take(_VOLUME)
     pages = take(_PAGES)
     left = [letters(m.group()) for m in _NUMBER.finditer(rest)]
+    if not year and (four := next((x for x in left if len(x) == 4), "")):
+        left.remove(four)  # a mistyped year
+        year = four
     if left and not pages and (volume or len(left[-1]) > 3):
         pages = left.pop()
     if left and not volume:
@@ -165,7 +168,7 @@ def parts_of(raw: str | None, title: str | None, authors: list[str | None] | Non
             zones.append(m.group())
             p = p[: m.start()]
         # A year between two runs parts them.
-        inner = re.split(r"\W\([“\"]?((?:1[89]|20)\d\d)[”\"]?\)\W|[|;/—]\s*((?:1[89]|20)\d\d)\s*[|;/—]|[.,]\s+((?:1[89]|20)\d\d)[.,]\s", p)
+        inner = re.split(r"\W\([“\"]?((?:1[89]|20)\d\d)[”\".]{0,2}\)\W|[|;/—]\s*((?:1[89]|20)\d\d)\s*[|;/—]|[.,]\s+((?:1[89]|20)\d\d)[.,]\s", p)
         for i, x in enumerate(inner):
             if x and i % 4:
                 zones.append(f"({x})")
