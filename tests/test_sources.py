@@ -126,3 +126,24 @@ def test_state_folded_by_a_stream(spark, tmp_path):
     fold(deltas, 1)
     fold(deltas, 1)  # a batch that is run again
     assert {r.target_key: r.refs for r in spark.read.parquet(str(tmp_path / "state" / "1")).collect()} == {"R1": 2, "R2": 2}
+
+
+def test_progress_logs(spark, tmp_path):
+    from tracefold.sources import progress
+
+    (tmp_path / "ann.md").write_text(
+        "# log of ann\n```\n## 0:10 — P0 STARTED\n```\n## 1:05 — P2 BLOCKED\nnotes: waits\nNEED: x\n\ntext\n"
+        "## 2:00 - REQUEST -> @cy\nNEED: y\n### other\nnotes: not a field of it\n## 3:30 – P2 MERGED\ntests: 5 passed\n## later — P9 odd\n"
+    )
+    (tmp_path / "cy.md").write_text("## 0:30 — P3 BLOCKED\n")
+    (tmp_path / "_FORMAT.md").write_text("## 0:01 — X READY\n")
+    parsed = progress.blocks(progress.read_logs(spark, str(tmp_path)))
+    rows = {(r.person, r.lineno): r for r in parsed.collect()}
+    assert set(rows) == {("ann", 5), ("ann", 10), ("ann", 14), ("ann", 16), ("cy", 1)}
+    first = rows["ann", 5]
+    assert (first.clock, first.minutes, first.module, first.status) == ("1:05", 65, "P2", "BLOCKED")
+    assert [(f.k, f.v) for f in first.fields] == [("notes", "waits"), ("need", "x")]
+    assert (rows["ann", 10].status, rows["ann", 10].owner, len(rows["ann", 10].fields)) == ("REQUEST", "cy", 1)
+    assert rows["ann", 16].status is None and rows["ann", 16].minutes == progress.UNKNOWN_CLOCK
+    assert {(r.person, r.status) for r in progress.latest_per_person(parsed).collect()} == {("ann", "MERGED"), ("cy", "BLOCKED")}
+    assert [(r.person, r.status) for r in progress.open_items(parsed).collect()] == [("cy", "BLOCKED"), ("ann", "REQUEST")]
