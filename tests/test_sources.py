@@ -147,3 +147,24 @@ def test_progress_logs(spark, tmp_path):
     assert rows["ann", 16].status is None and rows["ann", 16].minutes == progress.UNKNOWN_CLOCK
     assert {(r.person, r.status) for r in progress.latest_per_person(parsed).collect()} == {("ann", "MERGED"), ("cy", "BLOCKED")}
     assert [(r.person, r.status) for r in progress.open_items(parsed).collect()] == [("cy", "BLOCKED"), ("ann", "REQUEST")]
+
+
+def test_label_rules(spark, tmp_path):
+    from tracefold.operators import constraints
+
+    def write(name, **kw):
+        row = {"ref_id": "R01", "expected_status": "verified", "expected_indicators": [], "injected": False}
+        labels = [row | x for x in kw.pop("labels", [{}])]
+        (tmp_path / name).write_text(json.dumps({"document": "p.pdf", "control": False, "source": {"license": "CC0"}, "labels": labels} | kw))
+
+    def rules():
+        return sorted((r.ref_id, r.rule) for r in constraints.label_violations(files.read_labels(spark, str(tmp_path))).collect())
+
+    write("p.json", labels=[{}, {"ref_id": "R02", "injected": True, "defect_id": "d1", "defect": "x", "verified_by": "a", "verified_on": "2025-01-31"}])
+    assert rules() == []
+    write("p.json", control=True, source={}, labels=[{"expected_status": "odd", "expected_indicators": ["odd"]}, {"injected": True}, {"ref_id": "R03", "defect": "x", "verified_by": "a"}, {"ref_id": "R04", "verified_by": "a", "verified_on": "31.1.2025"}])
+    got = {rule for _, rule in rules()}
+    assert got == {"unknown_licence", "id_out_of_turn", "unknown_status", "unknown_indicator", "injected_without_defect", "defect_without_injection", "half_verified", "bad_date", "injected_in_control", "repeated_id"}
+    write("p.json", labels=[{"injected": True, "defect_id": "d", "defect": "x"}])
+    write("q.json", document="other", labels=[{"injected": True, "defect_id": "d", "defect": "x"}])
+    assert {rule for _, rule in rules()} == {"file_name", "defect_in_several_documents"}

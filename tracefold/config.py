@@ -25,7 +25,10 @@ class Settings:
     furniture_repeats: int = 3
     fallback_share: float = 0.15
     max_checks: int = 3
-    banned_terms: tuple[str, ...] = ("fraud", "fabricated", "plagiar", "misconduct", "fake", "dishonest", "lying", "cheat", "hoax", "scam", "deceptive")
+# Terms that generated prose may not hold.
+    banned_terms: tuple[str, ...] = (
+        "fake", "fabricated", "invented", "nonexistent", "fraud", "plagiarism", "irreproducible", "not reproducible", "sloppy", "AI-generated", "AI-written",
+    )
 
 
 def load_settings(path: str) -> Settings:

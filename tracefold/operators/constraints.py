@@ -47,3 +47,34 @@ def banned_terms(df: DataFrame, key: str, texts: list[Column], terms: tuple[str,
     joined = F.lower(F.concat_ws("\n", *texts))
     found = F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(joined, F.lower(t)))
     return df.select(F.col(key), F.explode(found).alias("term"))
+
+
+#: Licences under which a labelled document may be kept.
+LICENCES = ("CC-BY", "CC-BY-SA", "CC0", "PMC-OA", "arXiv-perpetual")
+
+
+def label_violations(labels: DataFrame, licences: tuple[str, ...] = LICENCES) -> DataFrame:
+    """(document, ref_id, rule) of golden labels, as `files.read_labels` gives them: each label by itself, each
+    document's ids in turn, and defect ids over the whole corpus."""
+    number = F.nullif(F.regexp_extract("ref_id", r"^R0*(\d{1,9})$", 1), F.lit("")).cast("int")
+    some = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
+    injected = F.coalesce("injected", F.lit(False))
+    rules = {
+        "file_name": F.col("file_stem") != F.regexp_replace("document", r"(?i)\.pdf$", ""),
+        "no_control_flag": F.col("control").isNull(),
+        "unknown_licence": ~F.coalesce(F.col("license").isin(*licences), F.lit(False)),
+        "id_out_of_turn": F.coalesce(number != F.col("pos") + 1, F.lit(True)),
+        "unknown_status": ~F.coalesce(F.col("expected_status").isin(*STATUSES), F.lit(False)),
+        "unknown_indicator": F.coalesce(F.size(F.array_except("expected_indicators", F.array(*map(F.lit, INDICATORS)))) > 0, F.lit(False)),
+        "injected_without_defect": injected & ~(some("defect_id") & some("defect")),
+        "defect_without_injection": ~injected & (some("defect_id") | some("defect")),
+        "half_verified": some("verified_by") != some("verified_on"),
+        "bad_date": some("verified_on") & F.try_to_timestamp(F.col("verified_on"), F.lit("yyyy-MM-dd")).isNull(),
+        "injected_in_control": F.coalesce(F.col("control"), F.lit(False)) & injected,
+    }
+    keyed = labels.withColumn("key", F.struct("document", "ref_id"))
+    own = violations(keyed, "key", rules)
+    twice = repeated_keys(labels, ["document", "ref_id"]).select(F.struct("document", "ref_id").alias("key"), F.lit("repeated_id").alias("rule"))
+    spread = labels.filter(some("defect_id")).groupBy("defect_id").agg(F.countDistinct("document").alias("documents"), F.min(F.struct("document", "ref_id")).alias("key"))
+    shared = spread.filter(F.col("documents") > 1).select("key", F.lit("defect_in_several_documents").alias("rule"))
+    return own.unionByName(twice).unionByName(shared).select("key.document", "key.ref_id", "rule")

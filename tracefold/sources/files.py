@@ -60,9 +60,12 @@ def read_ledgers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """One row per label of the label files under a path."""
+    """One row per label of the label files under a path, with the name its file should have."""
     files = spark.read.schema(LABEL_SCHEMA).option("mode", "FAILFAST").option("multiLine", True).json(path)
-    return files.select("document", "control", F.explode("labels").alias("l")).select("document", "control", "l.*")
+    named = files.withColumn("file_stem", stem(document_name(F.col("_metadata.file_path"))))
+    return named.select("document", "file_stem", "control", F.col("source.license").alias("license"), F.posexplode("labels").alias("pos", "l")).select(
+        "document", "file_stem", "control", "license", "pos", "l.*"
+    )
 
 
 def decoded_documents(spark: SparkSession, path: str, decode: Callable[[bytes], list[str]]) -> DataFrame:
