@@ -153,3 +153,18 @@ def request_key(url: Column, params: Column, schema_version: int) -> Column:
     """SHA-256 of the request with its parameters in order of name; the version is a part of the key."""
     ordered = F.map_from_entries(F.array_sort(F.map_entries(params)))
     return F.sha2(F.to_json(F.struct(ordered.alias("params"), F.lit(schema_version).alias("schema_version"), url.alias("url"))), 256)
+
+
+def doi_in_text(text: Column) -> Column:
+    """First DOI printed in a text, without the marks that follow it; null without one."""
+    return F.nullif(F.regexp_replace(F.regexp_extract(text, r"(10\.\d{4,9}/[^\s\"<>,;]+)", 1), r"[.):\]]+$", ""), F.lit(""))
+
+
+def arxiv_in_text(text: Column) -> Column:
+    """First labelled arXiv id in a text; null without one."""
+    return F.nullif(F.regexp_extract(text, r"(?i)arxiv:\s*(\d{4}\.\d{4,5}(?:v\d+)?)", 1), F.lit(""))
+
+
+def plain_similarity(a: Column, b: Column) -> Column:
+    """Gestalt ratio of two normalised texts as they stand, words unsorted; 0 if one is empty."""
+    return sorted_similarity(a, b)

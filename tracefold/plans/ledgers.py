@@ -129,6 +129,15 @@ def m08_printed_year(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "bib_refs").select("row_id", N.coerce_year(F.col("raw_text")).alias("printed_year"), N.mask_digits(F.col("raw_text")).alias("masked"))
 
 
+@query("""
+SELECT row_id, nullif(regexp_replace(regexp_extract(raw_text, '(10\\.\\d{4,9}/[^\\s"<>,;]+)', 1), '[.):\\]]+$', ''), '') AS doi,
+  nullif(regexp_extract(raw_text, 'arxiv:\\s*(\\d{4}\\.\\d{4,5}(?:v\\d+)?)', 1, 'i'), '') AS arxiv_id FROM bib_refs
+""")
+def m19_text_identifiers(spark: SparkSession, d: str) -> DataFrame:
+    raw = F.col("raw_text")
+    return table(spark, d, "bib_refs").select("row_id", N.doi_in_text(raw).alias("doi"), N.arxiv_in_text(raw).alias("arxiv_id"))
+
+
 @query("""
 SELECT raw_id, sha256('{"params":{"key":"' || cache_key || '","rows":"1"},"schema_version":1,"url":"works"}') AS request_key FROM crossref_raw WHERE cache_key IS NOT NULL
 """)
