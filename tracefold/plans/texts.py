@@ -187,12 +187,24 @@ def w01_arrivals(spark: SparkSession, d: str) -> DataFrame:
     """Both tables read as streams, written by a checkpointed query and counted per day of arrival."""
     parts = []
     for name in ("bib_refs", "ledger_claims"):
-        batch = table(spark, d, name)
-        path = batch.inputFiles()
-        folder = f"{d}/{name}.parquet"
-        one_file = len(path) == 1 and path[0].rstrip("/").endswith(f"{name}.parquet")
-        reader = spark.readStream.schema(batch.schema)
-        stream = reader.option("pathGlobFilter", f"{name}.parquet").parquet(d) if one_file else reader.parquet(folder)
-        rows = arrivals.run_available(stream.select("arrived_at", "deleted_at"), f"arrivals-{name}")
+        rows = arrivals.run_available(arrivals.table_stream(spark, d, name).select("arrived_at", "deleted_at"), f"arrivals-{name}")
         parts.append(rows.withColumn("source_table", F.lit(name)))
     return parts[0].unionByName(parts[1]).groupBy("source_table", F.date_trunc("day", "arrived_at").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.count("deleted_at").alias("deleted"))
+
+
+@query("""
+WITH named AS (
+  SELECT 'ledger_claims' AS source_table, ledger_id, unnest(list_distinct(ref_ids)) AS target_key FROM ledger_claims WHERE deleted_at IS NULL
+  UNION ALL SELECT 'bib_refs', ledger_id, unnest(list_distinct(cited_by_claims)) FROM bib_refs WHERE deleted_at IS NULL
+), n AS (SELECT source_table, ledger_id, target_key, count(*) AS refs FROM named WHERE target_key IS NOT NULL GROUP BY ALL),
+x AS (
+  SELECT 'ledger_claims' AS source_table, ledger_id, ref_id AS target_key, count(*) AS inserted, count(*) FILTER (deleted_at IS NULL) AS existing FROM bib_refs GROUP BY ALL
+  UNION ALL SELECT 'bib_refs', ledger_id, claim_id, count(*), count(*) FILTER (deleted_at IS NULL) FROM ledger_claims GROUP BY ALL
+)
+SELECT n.source_table, n.ledger_id, n.target_key, refs, coalesce(inserted, 0) AS inserted FROM n LEFT JOIN x USING (source_table, ledger_id, target_key) WHERE coalesce(existing, 0) = 0
+""")
+def w02_orphan_state(spark: SparkSession, d: str) -> DataFrame:
+    """Keys without a usable record after the stream of changes has been folded batch by batch."""
+    deltas = arrivals.orphan_deltas(arrivals.table_stream(spark, d, "ledger_claims"), arrivals.table_stream(spark, d, "bib_refs"))
+    state_now = arrivals.run_fold(deltas)
+    return state_now.filter((F.col("refs") > 0) & (F.col("existing") == 0)).select("source_table", "ledger_id", "target_key", "refs", "inserted")

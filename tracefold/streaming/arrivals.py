@@ -15,6 +15,15 @@ def arriving(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the data folder, one Parquet file or a folder of them, as a stream of its files."""
+    batch = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    reader = spark.readStream.schema(batch.schema)
+    if all(f.rstrip("/").endswith(f"/{name}.parquet") for f in batch.inputFiles()):
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def first_deliveries(stream: DataFrame, keys: list[str], at: str, delay: str = "60 days") -> DataFrame:
     """Rows whose key wasn't delivered before within the watermark."""
     return stream.withWatermark(at, delay).dropDuplicatesWithinWatermark(keys)
@@ -33,6 +42,28 @@ def run_available(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{at}/rows")
 
 
+def orphan_deltas(claims: DataFrame, refs: DataFrame) -> DataFrame:
+    """The change deltas of both streams as one stream."""
+    return (
+        orphans.reference_deltas(orphans.naming_rows(claims, "ledger_claims", "ref_ids"))
+        .unionByName(orphans.reference_deltas(orphans.naming_rows(refs, "bib_refs", "cited_by_claims")))
+        .unionByName(orphans.existence_deltas(refs, "ref_id", "ledger_claims"))
+        .unionByName(orphans.existence_deltas(claims, "claim_id", "bib_refs"))
+    )
+
+
+def run_fold(deltas: DataFrame) -> DataFrame:
+    """Folds all available deltas batch by batch and gives the state after the last one."""
+    spark = deltas.sparkSession
+    at = f"{ensure_checkpoint_dir(spark)}/orphan-state-{uuid.uuid4().hex}"
+    query = deltas.writeStream.foreachBatch(fold_into(f"{at}/state")).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
+    query.awaitTermination()
+    last = query.lastProgress
+    if last is None:  # nothing has arrived
+        return spark.createDataFrame([], orphans.fold_deltas(deltas).schema)
+    return spark.read.parquet(f"{at}/state/{last['batchId']}")
+
+
 def fold_into(state_path: str):
     """A foreachBatch function that folds a batch of deltas into the stored key state: each batch writes a new
     version beside the old one, so a batch that is run again gives the same state."""
