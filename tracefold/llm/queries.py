@@ -28,10 +28,18 @@ def p4_confidence(spark: SparkSession, d: str) -> DataFrame:
     return entities.matched_records(table(spark, d, "resolved_sources"))
 
 
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    return entities.record_classes(table(spark, d, "resolved_sources"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return names.variant_pairs(table(spark, d, "resolved_sources"))
 
 
+def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return names.name_clusters(table(spark, d, "resolved_sources"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_ids(table(spark, d, "documents"))
 
@@ -57,7 +65,9 @@ QUERIES: dict[str, Query] = {
     "p2_records": p2_records,
     "p4_found": p4_found,
     "p4_confidence": p4_confidence,
+    "p4_classes": p4_classes,
     "p5_found": p5_found,
+    "p5_clusters": p5_clusters,
     "p6_ids": p6_ids,
     "p7_windows": p7_windows,
     "p7_report": p7_report,
