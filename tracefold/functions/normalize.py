@@ -82,9 +82,9 @@ def surname(author: Column) -> Column:
     return F.nullif(_surname_of(clean, F.split(clean, r"\s+")), F.lit(""))
 
 
-# Accented letters and what they are without their marks, place by place.
-_ACCENTED = "àáâãäåāçćčďèéêëēěíìîïīñńňòóôõöōøřśšșťțùúûüūůýÿžźż"
-_FOLDED = "aaaaaaacccdeeeeeeiiiiinnnooooooorssstt" "uuuuuuyyzzz"
+# Letters that decompose into a plain one and a mark, and the plain one, place by place.
+_ACCENTED = "àáâãäåāçćčďèéêëēěíìîïīñńňòóôõöōřśšșťțùúûüūůýÿžźż"
+_FOLDED = "aaaaaaacccdeeeeeeiiiiinnnoooooorsssttuuuuuuyyzzz"
 
 
 def surnames(authors: Column) -> Column:
