@@ -17,7 +17,7 @@ def test_latest_and_ties(spark):
 
 
 def test_cache(spark):
-    rows = [(1, "k", "{}", T), (2, "k", '{"a":1}', T + timedelta(hours=10)), (3, "old", "{}", T), (4, "bad", "{", T + timedelta(hours=11)), (5, "list", "[]", T + timedelta(hours=11))]
+    rows = [(1, "k", "{}", T), (2, "k", '\n {"a":1}', T + timedelta(hours=10)), (3, "old", "{}", T), (4, "bad", "{", T + timedelta(hours=11)), (5, "list", "[]", T + timedelta(hours=11))]
     df = spark.createDataFrame(rows, "raw_id long, cache_key string, payload string, fetched_at timestamp")
     now = F.lit(T + timedelta(hours=12))
     hits = state.cache_get(df, now, 2)

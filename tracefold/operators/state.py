@@ -32,7 +32,7 @@ def current_verdicts(verdicts: DataFrame) -> DataFrame:
 
 
 def is_json_object(payload: Column) -> Column:
-    return F.try_parse_json(payload).isNotNull() & F.ltrim(payload).startswith("{")
+    return F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json(payload)), F.lit("OBJECT")), F.lit(False))
 
 
 def cache_get(responses: DataFrame, now: Column, ttl_hours: float) -> DataFrame:
