@@ -97,3 +97,32 @@ def test_family_join_finds_all_pairs_above_the_threshold(spark):
             want.add((a, b))
     got = {(r.fa, r.fb) for r in names.family_links(spark.createDataFrame([(w,) for w in words], "family string"), 0.4).collect() if r.fa < r.fb}
     assert got == want and ("vonzuthudorran", "zuthudorran") in got
+
+
+def clusters_of(df):
+    got: dict = {}
+    for r in df.collect():
+        got.setdefault(r.cluster, set()).add(r.node)
+    return sorted(map(sorted, got.values()))
+
+
+def test_tied_nodes_form_one_cluster_however_many(spark):
+    n = 100
+    # A second group: one frequent spelling and rare ones tied with it alone, which join it one by one.
+    star = range(1000, 1000 + 60)
+    nodes = spark.createDataFrame([(i, 1) for i in range(n)] + [(i, 10_000 if i == 1000 else 1) for i in star], "node long, size long")
+    edges = [(a, b, 0.9) for a in range(n) for b in range(a + 1, n)] + [(1000, i, 0.9) for i in star if i > 1000]
+    got = names.average_linkage(nodes, spark.createDataFrame(edges, "a long, b long, similarity double"))
+    assert clusters_of(got) == [list(range(n)), list(star)]
+
+
+def test_rounds_in_one_task_and_over_tables_give_the_same(spark):
+    import random
+
+    rng = random.Random(9)
+    ids = [rng.randrange(-(2**63), 2**63) for _ in range(50)]
+    nodes = spark.createDataFrame([(i, rng.randint(1, 5)) for i in ids], "node long, size long")
+    pairs = [(min(a, b), max(a, b)) for k, a in enumerate(ids) for b in ids[:k] if rng.random() < 0.3]
+    edges = spark.createDataFrame([(a, b, rng.choice([0.95, 0.9, 0.855, 0.65])) for a, b in pairs], "a long, b long, similarity double")
+    got = clusters_of(names.average_linkage(nodes, edges))
+    assert got == clusters_of(names.average_linkage(nodes, edges, local=0)) and 1 < len(got) < 50

@@ -11,11 +11,14 @@ and sums only. No top-n is cut off: every pair above the threshold counts.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +30,11 @@ LINKAGE = 0.5
 #: A word found in at least this share of all names may be a given name; so there are at most the mean number
 #: of words divided by it.
 FREQUENT = 0.0005
-MAX_ROUNDS = 40
+#: Edges that one task can hold: rounds over no more than these run there.
+LOCAL_EDGES = 200_000
+#: Means of similarities are compared in whole units of one in so many.
+UNITS = 1_000_000_000
+_MASK = (1 << 64) - 1
 #: Records of one title that can be one work.
 MAX_RECORDS = 24
 
@@ -319,32 +326,118 @@ def node_similarities(nodes: DataFrame, links: DataFrame, together: DataFrame) -
     )
 
 
-def average_linkage(nodes: DataFrame, edges: DataFrame, least: float = LINKAGE) -> DataFrame:
+def _signed(n: int) -> int:
+    return n - (1 << 64) if n >= 1 << 63 else n
+
+
+def _draw(a: int, b: int) -> int:
+    """xxhash64(a, b) of Spark."""
+    seed = xxhash.xxh64_intdigest((a & _MASK).to_bytes(8, "little"), 42)
+    return _signed(xxhash.xxh64_intdigest((b & _MASK).to_bytes(8, "little"), seed))
+
+
+def merge_rounds(edges: list[tuple[int, int, float, float, float]], least: int) -> list[tuple[int, int]]:
+    """(gone, into) of all rounds of average_linkage over (a, b, total, na, nb), in order. Only the neighbours of
+    merged clusters look for their nearest again."""
+    size: dict[int, float] = {}
+    total: dict[int, dict[int, float]] = {}
+    for a, b, t, na, nb in edges:
+        size[a], size[b] = na, nb
+        total.setdefault(a, {})[b] = t
+        total.setdefault(b, {})[a] = t
+    draw = lru_cache(1 << 20)(_draw)
+
+    def nearest(x: int) -> tuple[int, int, int, int] | None:
+        near = ((math.floor(t / (size[x] * size[y]) * UNITS + 0.5), min(x, y), max(x, y)) for y, t in total[x].items())
+        return max(((m, draw(a, b), -a, -b) for m, a, b in near if m >= least), default=None)
+
+    best = {x: nearest(x) for x in total}
+    merges: list[tuple[int, int]] = []
+    looked = set(best)
+    while True:
+        mutual = {c for x in looked if x in best and (c := best[x]) and best[-c[2]] == best[-c[3]]}
+        if not mutual:
+            return merges
+        looked = set()
+        for _, _, a, b in mutual:
+            a, b = -a, -b
+            merges.append((b, a))
+            for y, t in total.pop(b).items():
+                total[y].pop(b)
+                if y != a:
+                    total[a][y] = total[y][a] = total[a].get(y, 0.0) + t
+            size[a] += size.pop(b)
+            best.pop(b)
+            looked |= {a, *total[a]}
+        looked &= best.keys()
+        for x in looked:
+            best[x] = nearest(x)
+        # A cluster that kept its nearest may have become the nearest of one that looked again.
+        looked |= {y for x in looked if (c := best[x]) for y in (-c[2], -c[3])}
+
+
+def _finished(state: DataFrame, least: int) -> DataFrame:
+    """(gone, into): the rounds that are left, in one task."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = [e for batch in it for e in zip(*(c.to_pylist() for c in batch.columns))]
+        merges = merge_rounds(edges, least)
+        into = dict(merges)
+        # Each node's last cluster.
+        for gone, at in reversed(merges):
+            into[gone] = into.get(at, at)
+        yield pa.RecordBatch.from_arrays([pa.array(list(into), pa.int64()), pa.array(list(into.values()), pa.int64())], names=["gone", "into"])
+
+    return state.select("a", "b", "total", "na", "nb").coalesce(1).mapInArrow(run, "gone long, into long")
+
+
+def average_linkage(nodes: DataFrame, edges: DataFrame, least: float = LINKAGE, local: int = LOCAL_EDGES) -> DataFrame:
     """(node, cluster): average-linkage clusters. nodes: (node, size); edges: (a, b, similarity) with a < b, pairs
     without an edge have similarity 0. Each round merges every pair of clusters that are each other's nearest
-    above the threshold, ties going to the smaller ids; such merges don't disturb each other in average linkage.
+    above the threshold; such merges don't disturb each other in average linkage. Ties go by a hash of the pair, so
+    that of a group of tied clusters about a quarter merges per round. Rounds go on until no such pair is left;
+    each has one at least as long as any mean reaches the threshold.
+
+    A cluster without a mean at the threshold never merges again, as means only fall, and its edges are let go.
+    From `local` edges left on, one task goes on by the same rounds.
     """
     size = nodes.select("node", F.col("size").cast("double").alias("size"))
     state = edges.join(size.select(F.col("node").alias("a"), F.col("size").alias("na")), "a").join(
         size.select(F.col("node").alias("b"), F.col("size").alias("nb")), "b"
     ).select("a", "b", (F.col("similarity") * F.col("na") * F.col("nb")).alias("total"), "na", "nb")
+    floor = math.floor(least * UNITS + 0.5)
     state = written(state, "linkage")
     into = nodes.select("node", F.col("node").alias("cluster"))
-    merges: list[DataFrame] = []
-    for _ in range(MAX_ROUNDS):
-        near = state.withColumn("mean", F.round(F.col("total") / (F.col("na") * F.col("nb")), 9)).filter(F.col("mean") >= least)
-        choice = F.struct(F.col("mean"), (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))
-        best = (
+    moves: list[DataFrame] = []
+
+    def moved_into(into: DataFrame, moves: list[DataFrame]) -> DataFrame:
+        for m in moves:
+            into = into.join(m.withColumnRenamed("gone", "cluster"), "cluster", "left").select("node", F.coalesce("into", "cluster").alias("cluster"))
+        return into
+
+    while True:
+        # Whole numbers, so that equal means are equal whatever the order of the sums.
+        near = state.withColumn("mean", F.floor(F.col("total") / (F.col("na") * F.col("nb")) * F.lit(float(UNITS)) + 0.5)).filter(F.col("mean") >= floor)
+        choice = F.struct(F.col("mean"), F.xxhash64("a", "b").alias("draw"), F.col("a"), F.col("b"))
+        best = written(
             near.select(F.col("a").alias("node"), choice.alias("c"))
             .unionByName(near.select(F.col("b").alias("node"), choice.alias("c")))
             .groupBy("node")
-            .agg(F.max("c").alias("c"))
+            .agg(F.max("c").alias("c")),
+            "nearest",
         )
+        state = state.join(best.select(F.col("node").alias("a")), "a", "left_semi").join(best.select(F.col("node").alias("b")), "b", "left_semi")
+        state = written(state, "linkage")
+        if state.count() <= local:
+            moves.append(written(_finished(state, floor), "merges"))
+            break
         mutual = best.groupBy("c").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == 2)
-        merge = written(mutual.select((-F.col("c.a")).alias("into"), (-F.col("c.b")).alias("gone")), "merges")
+        merge = written(mutual.select(F.col("c.a").alias("into"), F.col("c.b").alias("gone")), "merges")
         if merge.isEmpty():
             break
-        merges.append(merge)
+        moves.append(merge)
+        if len(moves) == 10:
+            into, moves = written(moved_into(into, moves), "clusters-so-far"), []
         moved = lambda side: merge.select(F.col("gone").alias(side), F.col("into").alias(f"{side}_into"))
         named = state.join(moved("a"), "a", "left").join(moved("b"), "b", "left").select(
             F.coalesce("a_into", "a").alias("x"), F.coalesce("b_into", "b").alias("y"), "total", "na", "nb", "a", "b"
@@ -364,9 +457,7 @@ def average_linkage(nodes: DataFrame, edges: DataFrame, least: float = LINKAGE)
             .select("a", "b", "total", "na", "nb")
         )
         state = written(state, "linkage")
-    for m in merges:
-        into = into.join(m.withColumnRenamed("gone", "cluster"), "cluster", "left").select("node", F.coalesce("into", "cluster").alias("cluster"))
-    return into
+    return moved_into(into, moves)
 
 
 def name_links(sources: DataFrame, least: float = LINKAGE) -> tuple[DataFrame, DataFrame]:
