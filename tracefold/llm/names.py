@@ -3,10 +3,11 @@
 Distinct strings are parsed into family, given names and initials with the help of where their words stand in
 all names. Families become vectors of character n-grams weighted by rarity; pairs of similar families come from
 a sparse cosine join over an inverted index that only looks at the rarest n-grams of each vector, which is
-exact for the threshold. Spellings of linked families that agree in an initial are compared by given names,
-middle initials and by the works they share, and grouped by average-linkage clustering, run as rounds of
-merging all pairs of clusters that are each other's nearest: the dendrogram of average linkage, found by joins
-and sums only. No top-n is cut off: every pair above the threshold counts.
+exact for the threshold: every pair that reaches it counts, and no top-n is cut off. The cosine is a factor of
+the similarity of two spellings; edit distance, given names, middle initials and the works they share are the
+others. Spellings are grouped by average-linkage clustering, run as rounds of merging all pairs of clusters that
+are each other's nearest: the dendrogram of average linkage, found by joins and sums only. A spelling that names
+two authors, as works tell, also joins the second one's cluster if its mean similarity there reaches the threshold.
 """
 
 from __future__ import annotations
@@ -35,8 +36,11 @@ LOCAL_EDGES = 200_000
 #: Means of similarities are compared in whole units of one in so many.
 UNITS = 1_000_000_000
 _MASK = (1 << 64) - 1
-#: Records of one title that can be one work.
-MAX_RECORDS = 24
+#: Rows of one key that are paired with the others of that key in one task.
+PART = 1024
+#: What families at the least cosine are worth, and what is left of it if more than slips part them.
+LEAST_ALIKE = 0.8
+UNLIKE = 0.1
 
 # Short forms of given names, particles, decorations, words of organisations.
 NICKNAMES = {
@@ -55,6 +59,7 @@ NICKNAMES = {
     for n in ns.split()
 }
 PARTICLES = frozenset("da de del della der di do dos du la le van von den ten ter al el bin ibn st mac".split())
+_GLUED = PARTICLES | {a + b for a in PARTICLES for b in PARTICLES}
 _FULL = frozenset(NICKNAMES.values())
 _DECORATION = re.compile(r"[,\s]+(?:ph\.?\s?d|m\.?d|jr|sr|iii|ii|msc|dr|prof)\b\.?|^(?:dr|prof|mr|mrs|ms)\.?\s+|[*†‡§¹²³]|<[^>]*>", re.I)
 ORGANISATION = {
@@ -194,17 +199,27 @@ def parsed_names(names: DataFrame, given: frozenset[str]) -> DataFrame:
 
 
 def _glued(long: Column, short: Column) -> Column:
-    """Whether a family is another one with a particle printed to it."""
-    return long.endswith(short) & F.substring(long, F.lit(1), F.length(long) - F.length(short)).isin(*PARTICLES)
+    """Whether a family is another one with a particle or two printed to it."""
+    return long.endswith(short) & F.substring(long, F.lit(1), F.length(long) - F.length(short)).isin(*sorted(_GLUED))
 
 
-def family_links(families: DataFrame, least: float = FAMILY_COSINE) -> DataFrame:
-    """(fa, fb, cosine), each pair in both orders: families whose n-gram vectors have at least this cosine and
-    that a few letters turn into each other. The join is exact: of two vectors with that cosine, the n-grams
-    that hold all but `least` squared of each one's length share one."""
+def within_keys(left: DataFrame, right: DataFrame, keys: list[str], part: int) -> DataFrame:
+    """left joined with right on keys, null keys with none: a key with more than `part` rows of right is spread over
+    as many tasks as it has parts, each of which has all of the key's left rows."""
+    sizes = right.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts"))
+    lots = F.pmod(F.xxhash64(*right.columns, F.lit("lot")), "parts").cast("int")
+    a = left.join(sizes, keys).withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    b = right.join(sizes, keys).withColumn("lot", lots).drop("parts")
+    return a.join(b, [*keys, "lot"]).drop("lot")
+
+
+def family_links(families: DataFrame, least: float = FAMILY_COSINE, part: int = PART) -> DataFrame:
+    """(fa, fb, cosine), each pair in both orders: families whose n-gram vectors have at least this cosine. The join is
+    exact: of two vectors with that cosine, the n-grams that hold all but `least` squared of each one's length share
+    one. Of the pairs so met, those go on whose shared n-grams, with all that may be left, can reach the cosine."""
     padded = F.concat(F.lit("^"), F.col("family"), F.lit("$"))
-    grams = families.filter(F.length("family") >= 3).select(
-        "family", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3))))).alias("gram")
+    grams = families.filter(F.length("family") > 0).select(
+        "family", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("family")), lambda i: F.substring(padded, i, F.lit(3))))).alias("gram")
     )
     n = families.count()
     rarity = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
@@ -212,89 +227,86 @@ def family_links(families: DataFrame, least: float = FAMILY_COSINE) -> DataFrame
     vector = (
         weighted.groupBy("family")
         .agg(F.array_sort(F.collect_list(F.struct("df", "gram", "w"))).alias("grams"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-        .select("family", F.transform("grams", lambda g: F.struct(g["gram"].alias("gram"), (g["w"] / F.col("norm")).alias("w"))).alias("v"))
+        .select(
+            F.xxhash64("family").alias("id"), "family", "norm",
+            F.transform("grams", lambda g: F.struct(g["gram"].alias("gram"), (g["w"] / F.col("norm")).alias("w"))).alias("v"),
+            F.transform("grams", lambda g: F.struct(F.xxhash64(g["gram"]).alias("gram"), (g["w"] * g["w"]).alias("square"))).alias("squares"),
+        )
     )
     vector = written(vector, "family-vectors")
     # What is left after the prefix has a length below `least`, and with any unit vector a cosine below it.
-    entries = vector.select("family", F.posexplode("v").alias("pos", "g"), "v").withColumn(
-        "before", F.aggregate(F.slice("v", F.lit(1), F.col("pos")), F.lit(0.0), lambda acc, g: acc + g["w"] * g["w"])
-    )
-    prefix = entries.filter(1 - F.col("before") >= least * least).select(F.col("g.gram").alias("gram"), "family")
+    before = F.transform("v", lambda _, i: F.aggregate(F.slice("v", F.lit(1), i), F.lit(0.0), lambda acc, g: acc + g["w"] * g["w"]))
+    inside = F.size(F.filter(before, lambda b: 1 - b >= least * least))
+    weights = F.transform("v", lambda g: g["w"])
+    left = F.aggregate(F.slice(weights, inside + 1, F.size("v")), F.lit(0.0), lambda acc, w: acc + w)
+    prefix = vector.select("id", left.alias("left"), F.array_max(weights).alias("top"), F.explode(F.slice("v", F.lit(1), inside)).alias("g"))
+    prefix = written(prefix.select(F.xxhash64("g.gram").alias("gram"), "id", F.col("g.w").alias("w"), "left", "top"), "family-prefixes")
     # Few bytes, many comparisons: a number of partitions that isn't merged by size keeps all cores at work.
     spark = families.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    prefix = written(prefix, "family-prefixes")
-    a = prefix.withColumnRenamed("family", "fa").repartition(parts, "gram")
-    b = prefix.withColumnRenamed("family", "fb").repartition(parts, "gram")
-    shorter = F.least(F.length("fa"), F.length("fb"))
-    pairs = (
-        a.join(b, "gram")
-        .filter((F.col("fa") < F.col("fb")) & (F.abs(F.length("fa") - F.length("fb")) <= 4))
-        .withColumn("edit", F.levenshtein("fa", "fb", 6))
-        .filter(
-            F.col("edit").between(0, F.greatest(F.lit(2), F.least(F.lit(3), shorter / 3.5)))
-            # Letters swapped only, twice at most.
-            | (F.col("edit").between(0, 4) & (F.array_sort(F.split("fa", "")) == F.array_sort(F.split("fb", ""))))
-            | _glued(F.col("fa"), F.col("fb"))
-            | _glued(F.col("fb"), F.col("fa"))
-        )
-        .select("fa", "fb")
-        .distinct()
-    )
-    dot = F.aggregate(
-        "va",
-        F.lit(0.0),
-        lambda acc, g: acc + g["w"] * F.coalesce(F.aggregate(F.filter("vb", lambda h: h["gram"] == g["gram"]), F.lit(0.0), lambda s, h: s + h["w"]), F.lit(0.0)),
-    )
-    scored = (
-        pairs.join(vector.select(F.col("family").alias("fa"), F.col("v").alias("va")), "fa")
-        .join(vector.select(F.col("family").alias("fb"), F.col("v").alias("vb")), "fb")
-        .select("fa", "fb", dot.alias("cosine"))
-        .filter(F.col("cosine") >= least)
-    )
+    side = lambda k: prefix.select("gram", *(F.col(c).alias(k if c == "id" else c + k) for c in ("id", "w", "left", "top")))
+    met = within_keys(side("a").repartition(parts, "gram"), side("b").repartition(parts, "gram"), ["gram"], part).filter(F.col("a") < F.col("b"))
+    # Shared n-grams outside of either prefix lie behind the prefix that ends first, so the sum of the weights it leaves
+    # times the largest weight of the other vector bounds what they add.
+    reach = F.sum(F.col("wa") * F.col("wb")) + F.max(F.greatest(F.col("lefta") * F.col("topb"), F.col("leftb") * F.col("topa")))
+    pairs = met.groupBy("a", "b").agg(reach.alias("reach")).filter(F.col("reach") >= least - 1e-9).select("a", "b")
+    # An n-gram weighs the same in both vectors but for their lengths.
+    dot = F.aggregate(F.array_intersect("sa", "sb"), F.lit(0.0), lambda acc, g: acc + g["square"])
+    own = lambda k: vector.select(F.col("id").alias(k), F.col("family").alias(f"f{k}"), F.col("norm").alias(f"n{k}"), F.col("squares").alias(f"s{k}"))
+    scored = pairs.join(own("a"), "a").join(own("b"), "b").select("fa", "fb", F.least(F.lit(1.0), dot / (F.col("na") * F.col("nb"))).alias("cosine"))
+    scored = written(scored, "family-cosines").filter(F.col("cosine") >= least)
     back = scored.select(F.col("fb").alias("fa"), F.col("fa").alias("fb"), "cosine")
     return scored.unionByName(back)
 
 
-def shared_works(sources: DataFrame, parsed: DataFrame) -> DataFrame:
-    """(a, b, together): how many works name both nodes, over works that at least two records describe: records
-    with the same title of four words or more. A title of more than MAX_RECORDS records, such as "letter to the
-    editor", names no work and is no evidence."""
+def works_of_nodes(sources: DataFrame, parsed: DataFrame) -> DataFrame:
+    """(node, work): the works that name a node, over works that at least two records describe: records with the same
+    title of four words or more, half of which, at least, agree in an author's first letters. A title such as "letter
+    to the editor", whose records agree in no author, names no work, however few or many they are."""
     key = F.trim(F.regexp_replace(F.lower("title"), r"[^\p{L}\p{N}]+", " "))
     records = sources.select("source_id", key.alias("work"), "authors").filter(F.size(F.split("work", " ")) >= 4)
-    told = records.groupBy("work").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(2, MAX_RECORDS)).select("work")
-    entries = (
-        records.join(told, "work", "left_semi")
-        .select(F.xxhash64("work").alias("work"), F.explode("authors").alias("name"))
-        .select("work", F.xxhash64("name").alias("id"))
-        .join(parsed.select("id", "node", "kind", "family", F.substring("first", 1, 1).alias("initial")), "id")
-        .select("work", "node", F.when(F.col("kind") == "p", F.substring("family", 1, 2)).otherwise("").alias("start"))
-        .distinct()
-    )
-    entries = written(entries, "name-works")
-    return (
-        entries.select("work", "start", F.col("node").alias("a"))
-        .join(entries.select("work", "start", F.col("node").alias("b")), ["work", "start"])
-        .filter(F.col("a") < F.col("b"))
-        .groupBy("a", "b")
-        .agg(F.count(F.lit(1)).alias("together"))
+    told = records.groupBy("work").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    named = (
+        records.join(told.select("work"), "work", "left_semi")
+        .select("source_id", F.xxhash64("work").alias("work"), F.explode("authors").alias("name"))
+        .select("source_id", "work", F.xxhash64("name").alias("id"))
+        .join(parsed.select("id", "node", F.substring("family", 1, 3).alias("start")), "id")
     )
+    named = written(named.select("source_id", "work", "node", "start"), "named-works")
+    agreed = named.groupBy("work", "start").agg(F.count_distinct("source_id").alias("of")).groupBy("work").agg(F.max("of").alias("most"))
+    with_authors = named.groupBy("work").agg(F.count_distinct("source_id").alias("n"))
+    works = agreed.join(with_authors, "work").filter(F.col("most") * 2 >= F.col("n")).select("work")
+    return named.select("work", "node").distinct().join(works, "work", "left_semi")
+
 
+def together(pairs: DataFrame, entries: DataFrame) -> DataFrame:
+    """(a, b, together): how many works name both nodes of each pair. Of each pair, the node with fewer works looks for
+    them, so a work or node of any size costs its own pairs only."""
+    counts = entries.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    sized = pairs.select("a", "b").join(counts.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(counts.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+    fewer = F.col("na") <= F.col("nb")
+    looking = sized.select("a", "b", F.when(fewer, F.col("a")).otherwise(F.col("b")).alias("node"), F.when(fewer, F.col("b")).otherwise(F.col("a")).alias("other"))
+    shared = looking.join(entries, "node").select("a", "b", "work", F.col("other").alias("node")).join(entries, ["node", "work"], "left_semi")
+    return shared.groupBy("a", "b").agg(F.count(F.lit(1)).alias("together"))
 
-def node_similarities(nodes: DataFrame, links: DataFrame, together: DataFrame) -> DataFrame:
+
+def node_similarities(nodes: DataFrame, links: DataFrame, entries: DataFrame, part: int = PART) -> DataFrame:
     """(a, b, similarity, together) with a < b of all compatible nodes of the same or linked families."""
     near = links.unionByName(nodes.select(F.col("family").alias("fa"), F.col("family").alias("fb")).distinct().withColumn("cosine", F.lit(1.0)))
-    info = nodes.withColumn("initial", F.substring("first", 1, 1))
-    x = info.select(*(F.col(c).alias(f"{c}_x") for c in info.columns))
-    y = info.select(*(F.col(c).alias(f"{c}_y") for c in info.columns))
-    same_kind = F.col("kind_x") == F.col("kind_y")
-    pairs = x.join(near.select(F.col("fa").alias("family_x"), F.col("fb").alias("near_y"), "cosine"), "family_x").join(
-        y, (F.col("near_y") == F.col("family_y")) & (F.col("initial_x") == F.col("initial_y")) & same_kind
-    )
-    pairs = pairs.filter(F.col("node_x") < F.col("node_y")).join(
-        together.select(F.col("a").alias("node_x"), F.col("b").alias("node_y"), "together"), ["node_x", "node_y"], "left"
-    ).fillna({"together": 0})
-
+    info = nodes.withColumn("initial", F.substring("first", 1, 1)).drop("size")
+    keys = ["family_y", "initial", "kind"]
+    side = lambda k: info.select("initial", "kind", *(F.col(c).alias(f"{c}_{k}") for c in info.columns if c not in ("initial", "kind")))
+    x = side("x").join(near.select(F.col("fa").alias("family_x"), F.col("fb").alias("family_y"), "cosine"), "family_x")
+    pairs = within_keys(x, side("y"), keys, part).filter(F.col("node_x") < F.col("node_y"))
+    pairs = written(_compared(pairs).filter(F.col("alone") + F.col("support") > 0), "name-pairs")
+    both = together(pairs, entries)
+    pairs = pairs.join(both, ["a", "b"], "left").fillna({"together": 0})
+    similarity = F.least(F.lit(1.0), F.col("alone") + F.when(F.col("together") > 0, F.col("support")).otherwise(0.0))
+    return pairs.select("a", "b", similarity.alias("similarity"), "together").filter(F.col("similarity") > 0)
+
+
+def _compared(pairs: DataFrame) -> DataFrame:
+    """(a, b, alone, support): the similarity of two nodes by themselves and what shared works add to it."""
     fx, fy, mx, my = (F.col(c) for c in ("first_x", "first_y", "middle_x", "middle_y"))
     full_x, full_y = F.length(fx) > 1, F.length(fy) > 1
     edit = F.levenshtein(fx, fy)
@@ -310,20 +322,28 @@ def node_similarities(nodes: DataFrame, links: DataFrame, together: DataFrame) -
     )
     one_middle = (F.length(mx) == 0) != (F.length(my) == 0)
     middle = F.when(one_middle, 0.85).when((mx == my) | mx.startswith(my) | my.startswith(mx), 1.0).otherwise(0.0)
-    # Families that passed the edit check are slips of one another, whatever their exact cosine.
-    alike = F.when(F.col("cosine") == 1, 1.0).otherwise(0.9)
+    # The cosine from its threshold to 1; families that more than a few slips part keep UNLIKE of it.
+    fam_x, fam_y = F.col("family_x"), F.col("family_y")
+    far = F.levenshtein(fam_x, fam_y)
+    slips = (
+        (far <= F.greatest(F.lit(2), F.least(F.lit(3), F.least(F.length(fam_x), F.length(fam_y)) / 3.5)))
+        | ((far <= 4) & (F.array_sort(F.split(fam_x, "")) == F.array_sort(F.split(fam_y, ""))))  # letters swapped only
+        | _glued(fam_x, fam_y)
+        | _glued(fam_y, fam_x)
+    )
+    alike = F.lit(LEAST_ALIKE) + (1 - LEAST_ALIKE) * (F.col("cosine") - FAMILY_COSINE) / (1 - FAMILY_COSINE)
+    alike = F.when(fam_x == fam_y, 1.0).otherwise(alike * F.when(slips, 1.0).otherwise(UNLIKE))
     person = alike * given * middle
-    person = F.when(given * middle > 0, F.least(F.lit(1.0), person + F.when(F.col("together") > 0, 0.3).otherwise(0.0))).otherwise(0.0)
     rx, ry = F.col("rest_x"), F.col("rest_y")
-    far = F.levenshtein(rx, ry)
+    rest = F.levenshtein(rx, ry)
     organisation = F.when(F.split(rx, " ")[0] != F.split(ry, " ")[0], 0.0).otherwise(
-        F.when(far <= F.greatest(F.lit(2), F.length(rx) / 10), alike * F.when(far == 0, 1.0).otherwise(0.9)).otherwise(0.0)
-    )
-    similarity = F.when(F.col("kind_x") == "p", person).when(F.col("kind_x") == "o", organisation).otherwise(0.0)
-    return (
-        pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b"), similarity.alias("similarity"), "together")
-        .filter(F.col("similarity") > 0)
+        F.when(rest <= F.greatest(F.lit(2), F.length(rx) / 10), alike * F.when(rest == 0, 1.0).otherwise(0.9)).otherwise(0.0)
     )
+    return pairs.select(
+        F.col("node_x").alias("a"), F.col("node_y").alias("b"),
+        F.when(F.col("kind") == "p", person).when(F.col("kind") == "o", organisation).otherwise(0.0).alias("alone"),
+        F.when((F.col("kind") == "p") & (given * middle > 0), 0.3).otherwise(0.0).alias("support"),
+    )
 
 
 def _signed(n: int) -> int:
@@ -460,40 +480,57 @@ def average_linkage(nodes: DataFrame, edges: DataFrame, least: float = LINKAGE,
     return moved_into(into, moves)
 
 
-def name_links(sources: DataFrame, least: float = LINKAGE) -> tuple[DataFrame, DataFrame]:
-    """(parsed names with node, cluster; direct links (a, b) of nodes of different clusters that name one author in
-    the same work)."""
+def second_clusters(nodes: DataFrame, edges: DataFrame, clusters: DataFrame, least: float) -> DataFrame:
+    """(node, cluster) of nodes that name more than one author: a node that shares a work with a spelling at the
+    threshold, yet lies in another cluster, also belongs to that one's cluster if its mean similarity with it, as
+    average linkage takes it, reaches the threshold."""
+    other = clusters.select(F.col("node").alias("b"), F.col("cluster").alias("at"))
+    size = nodes.select("node", F.col("size").cast("double").alias("size"))
+    whole = clusters.join(size, "node").groupBy(F.col("cluster").alias("at")).agg(F.sum("size").alias("whole"))
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity", "together"))
+    near = (
+        both.join(clusters.select(F.col("node").alias("a"), "cluster"), "a")
+        .join(other, "b")
+        .filter(F.col("cluster") != F.col("at"))
+        .join(size.select(F.col("node").alias("b"), "size"), "b")
+        .groupBy("a", "at")
+        .agg(F.sum(F.col("similarity") * F.col("size")).alias("total"), F.max((F.col("together") > 0) & (F.col("similarity") >= least)).alias("told"))
+        .filter("told")
+    )
+    return near.join(whole, "at").filter(F.col("total") / F.col("whole") >= least).select(F.col("a").alias("node"), F.col("at").alias("cluster"))
+
+
+def name_memberships(sources: DataFrame, least: float = LINKAGE) -> tuple[DataFrame, DataFrame]:
+    """(parsed names with node and cluster, further (node, cluster) of nodes that name several authors)."""
     names = written(distinct_names(sources), "names")
     parsed = written(parsed_names(names, given_names(names)), "parsed-names")
     nodes = parsed.groupBy("node", "kind", "family", "first", "middle", "rest", "known").agg(F.count(F.lit(1)).alias("size"))
     nodes = written(nodes, "name-nodes")
     links = family_links(nodes.select("family").distinct())
-    edges = written(node_similarities(nodes, links, shared_works(sources, parsed)), "name-edges")
+    entries = written(works_of_nodes(sources, parsed), "name-works")
+    edges = written(node_similarities(nodes, links, entries), "name-edges")
     clusters = written(average_linkage(nodes, edges.select("a", "b", "similarity"), least), "name-clusters")
-    direct = edges.filter((F.col("together") > 0) & (F.col("similarity") >= least)).select("a", "b")
-    return parsed.join(clusters, "node"), direct
+    return parsed.join(clusters, "node"), second_clusters(nodes, edges, clusters, least)
 
 
 def variant_pairs(sources: DataFrame, least: float = LINKAGE) -> DataFrame:
-    """(name_a, name_b), name_a < name_b by code points: different strings that name one person or organisation.
+    """(name_a, name_b), name_a < name_b by code points: different strings of one cluster.
 
     Strings are taken exactly as stored; null, blank and "et al." are no names, null author lists have none, and a
     string occurs once however often it is used. A string used for two authors is linked to the spellings of both
     if the works tell so. Names of any length are read whole.
     """
-    members, direct = name_links(sources, least)
+    members, second = name_memberships(sources, least)
     m = written(members.select("name", "node", "cluster"), "name-members")
-    a, b = m.select(F.col("name").alias("name_a"), "cluster"), m.select(F.col("name").alias("name_b"), "cluster")
-    within = a.join(b, "cluster").filter(F.col("name_a") < F.col("name_b")).select("name_a", "name_b")
-    across = direct.join(m.select(F.col("node").alias("a"), F.col("name").alias("x")), "a").join(m.select(F.col("node").alias("b"), F.col("name").alias("y")), "b")
-    across = across.select(F.least("x", "y").alias("name_a"), F.greatest("x", "y").alias("name_b")).filter(F.col("name_a") < F.col("name_b"))
-    return within.unionByName(across).distinct()
+    every = written(m.select("name", "cluster").unionByName(m.select("name", "node").join(second, "node").select("name", "cluster")), "name-memberships")
+    a, b = every.select(F.col("name").alias("name_a"), "cluster"), every.select(F.col("name").alias("name_b"), "cluster")
+    return a.join(b, "cluster").filter(F.col("name_a") < F.col("name_b")).select("name_a", "name_b").distinct()
 
 
 def name_clusters(sources: DataFrame, least: float = LINKAGE) -> DataFrame:
     """(name, first_name, spellings): one row per distinct string with the least spelling of its cluster and the
     cluster's size."""
-    members, _ = name_links(sources, least)
+    members, _ = name_memberships(sources, least)
     m = written(members.select("name", "cluster"), "name-members")
     info = m.groupBy("cluster").agg(F.min("name").alias("first_name"), F.count(F.lit(1)).alias("spellings"))
     return m.join(info, "cluster").select("name", "first_name", "spellings")
