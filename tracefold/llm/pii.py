@@ -8,6 +8,7 @@ whole in a single pass for the cues and a few for the shapes, so nothing is shuf
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import cache
 from typing import NamedTuple
@@ -28,24 +29,38 @@ class Span(NamedTuple):
 
 # ---- Fixed values: words around mentions -------------------------------------------------------------------
 
-#: Words before a person's name; 2 stands alone, 1 needs the shape of a name.
+#: Words before a person's name. Those of weight 2 introduce nothing but a name, in whatever letters; after those of
+#: weight 1 a name needs its shape.
 NAME_CUES = {
     **dict.fromkeys(
-        "corresponding author:|correspondence:|correspondence to|checked by|data go to|signed the report as|in an interview,|reprints from|"
-        "signed for the board:|signed by|data steward:|author=|name=|reviewed by|prepared by|contact person:|"
+        "author:|correspondence:|correspondence to|checked by|signed by|reviewed by|prepared by|interview,|steward:|person:|board:|author=|name=|"
         "korrespondenz:|ansprechpartner ist|ansprechpartnerin ist|ansprechpartner:|rückfragen an|unterzeichnet von|"
         "correspondance :|correspondance:|remercions|joindre|contacter|signé par|"
         "correspondencia:|agradecemos a|llamar a|a nombre de|contactar a|firmado por|"
         "感谢|通讯作者:|通讯作者:|联系人:|联系人:|作者:".split("|"),
         2,
     ),
-    **dict.fromkeys("participant|thank|thanks to|grateful to|indebted to|interview with|dear|sincerely,|danken|teilnehmer|teilnehmerin|contact".split("|"), 1),
+    **dict.fromkeys(
+        "participant|patient|patient,|referee was|reviewer was|editor was|author was|supervisor|colleague|thank|thanks to|thanks go to|grateful to|indebted to|"
+        "interview with|spoke with|spoke to|dear|sincerely,|regards,|yours,|contact|please ask|ask|write to|written by|collected by|provided by|"
+        "conducted by|performed by|drawn by|translated by|approved by|edited by|led by|named|"
+        "grüßen|danken|dank an|teilnehmer|teilnehmerin|patientin|gezeichnet|erhoben von|betreut von|"
+        "cordialement,|salutations,|participante|patiente|rédigé par|relu par|atentamente,|saludos,|paciente|redactado por|revisado por".split("|"),
+        1,
+    ),
 }
+#: Words that make a name of what follows them with another word in between: "data go to", "signed the report as".
+NAME_CUES_APART = re.compile(
+    r"\b(?:(?:go(?:es)?|sent|send|addressed|directed|returned) to|sign(?:s|ed|ing)?(?: \w+){0,3} as|(?:reprints?|copies|samples|data|code)(?: \w+){0,3} from)(?= )", re.I
+)
 #: Words after a person's name.
-NAME_AFTER = ("died in the", "'s comments", "’s comments", "recalled how", "recalled that")
+NAME_AFTER = {
+    **dict.fromkeys(("died in", "'s comments", "’s comments", "recalled"), 2),
+    **dict.fromkeys("wrote|said|replied|withdrew|kindly|lives|lived|agreed to|called|phoned|signed".split("|"), 1),
+}
 ID_CUES = (
     "national id|passport|orcid|dni|nif|nie|steuer-id|steueridentifikationsnummer|steuernummer|sozialversicherungsnummer|sécurité sociale|"
-    "nir|social security|national insurance|insurance number|tax id|tax number|personalausweis|pasaporte|passeport|reisepass|the form gives|"
+    "nir|social security|national insurance|insurance number|tax id|tax number|personalausweis|pasaporte|passeport|reisepass|"
     "id=|\"id\":|身份证号|身份证|护照"
 ).split("|")
 PHONE_CUES = re.compile(
@@ -66,6 +81,7 @@ STREET_WORDS = (
 STOP = frozenset(
     "and or the a an on in at of for from to by with who whom whose was were is are has had have did does would said says recalled wrote died "
     "that this these those as after before when while not but if then than so we our you your they their he she his her its it no both each all any "
+    "about without during since because until "
     "anonymous referees referee reviewers reviewer editor editors authors author participants colleagues staff team members everyone us them "
     "withdrew signed phone fax tel orcid passport national flat apt room street road email mail id dni introduction methods results discussion "
     "conclusion conclusions background abstract keywords acknowledgements references bibliography appendix table figure section note notes "
@@ -90,12 +106,18 @@ _PHONE = re.compile(
     r"|0\d(?:([ .]?)\d\d)(?:\1\d\d){3}|0\d{9,10}"
 )
 _ID_VALUE = re.compile(
-    r"\d{4}[- ]?\d{4}[- ]?\d{4}[- ]?\d{3}[\dX]|\d ?\d{2} ?\d{2} ?\d{2} ?\d{3} ?\d{3} ?\d{2}|\d{2} ?\d{3} ?\d{3} ?\d{3}(?! ?\d)|"
+    r"\d{17}[\dX](?![\dX])|\d{4}[- ]?\d{4}[- ]?\d{4}[- ]?\d{3}[\dX](?!\d)|\d ?\d{2} ?\d{2} ?\d{2} ?\d{3} ?\d{3} ?\d{2}(?!\d)|\d{2} ?\d{3} ?\d{3} ?\d{3}(?! ?\d)|"
     r"[XYZ][- ]?\d{7}[- ]?[A-Z]\b|\d{8}[- ]?[A-Z]\b|\d{3}[- ]?\d{2}[- ]?\d{4}(?!\d)|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Z]\b|"
-    r"[A-Z]{1,2} ?\d{3} ?\d{3,5}(?!\d)|[A-Z]{1,2}\d{6,9}(?!\d)|\d{17}[\dX]"
+    r"[A-Z]{1,2} ?\d{3} ?\d{3,5}(?!\d)|[A-Z]{1,2}\d{6,9}(?!\d)"
 )
 _ID_GAP = re.compile(r"(?:\s?(?:number|no\.?|nr\.?|n°|num\.?))?[\s:=#(\"]{0,4}", re.I)
-_ID_FREE = re.compile(r"(?<![\w/.-])(?:\d{4}-\d{4}-\d{4}-\d{3}[\dX]|\d{3}-\d{2}-\d{4}|[A-Z]{2} \d{2} \d{2} \d{2} [A-D])(?![\w-])")
+#: Shapes that are proposed without a label.
+_ID_FREE = re.compile(
+    r"(?<![\w/.+-])(?:\d{17}[\dX]|\d{4}[- ]?\d{4}[- ]?\d{4}[- ]?\d{3}[\dX]|\d ?\d{2} ?\d{2} ?\d{2} ?\d{3} ?\d{3} ?\d{2}|\d{2} \d{3} \d{3} \d{3}|\d{11}|"
+    r"\d{3}[- ]\d{2}[- ]\d{4}|[XYZ]-?\d{7}-?[A-Z]|\d{8}[- ]?[A-Z]|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|[A-Z]{1,2} \d{3} \d{3,5}|[A-Z]{1,2}\d{6,9})(?![\w-]|[.,/]\d)"
+)
+_ID_NEAR = re.compile(r"\b(?:id|ids|identity|identification|identifier|passport|tax|insurance|social|payroll|personnel|form|ausweis|steuer|identit[éy]|identidad|fiscal|orcid)\b", re.I)
+_ID_NOT = re.compile(r"(?:grant|sample|trial|isbn|issn|trn|phone|tel|fax|call|ring|doi|arxiv|order|card|kennzeichen|version|n[ro]\.)\W{0,3}$", re.I)
 _HOUSE = r"\d{1,5}[a-z]?(?:\s?[-–]\s?\d{1,5}[a-z]?)?"
 _FLAT = r"(?:Flat|Apt\.?|Apartment|Unit|Suite|Floor|Room) ?\d{1,4}[A-Z]?"
 _ADDRESS = re.compile(
@@ -126,10 +148,19 @@ def mod97_valid(digits: str) -> bool:
 
 
 def luhn_valid(digits: str) -> bool:
+    """Check digit of the Canadian number and of many others."""
     total = sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits)))
     return total % 10 == 0
 
 
+def chinese_valid(text: str) -> bool:
+    """ISO 7064 mod 11-2 over 17 digits."""
+    total = 0
+    for c in text[:-1]:
+        total = (total + int(c)) * 2
+    return len(text) == 18 and text[-1] == "0123456789X"[(12 - total % 11) % 11]
+
+
 def tax_valid(digits: str) -> bool:
     """Check digit of the German number, ISO 7064 mod 11, 10."""
     product = 10
@@ -139,14 +170,38 @@ def tax_valid(digits: str) -> bool:
 
 
 def dni_valid(text: str) -> bool:
-    return len(text) == 9 and text[:8].isdigit() and "TRWAGMYFPDXBNJZSQVHLCKE"[int(text[:8]) % 23] == text[8]
+    """Check letter of the Spanish numbers, those of foreigners with X, Y or Z in front among them."""
+    digits = str("XYZ".find(text[0])) + text[1:] if text[0] in "XYZ" else text
+    return len(digits) == 9 and digits[:8].isdigit() and "TRWAGMYFPDXBNJZSQVHLCKE"[int(digits[:8]) % 23] == digits[8]
 
 
-def checksum(value: str) -> bool:
+def checksum(value: str) -> bool | None:
+    """Whether the check digits of a number are right; None if numbers of its shape have none."""
     v = re.sub(r"[\s-]", "", value).upper()
-    if v[:-1].isdigit():
-        return {16: orcid_valid, 9: dni_valid}.get(len(v), lambda _: False)(v) or (v.isdigit() and {15: mod97_valid, 11: tax_valid}.get(len(v), lambda _: False)(v))
-    return False
+    if re.fullmatch(r"[XYZ]\d{7}[A-Z]|\d{8}[A-Z]", v):
+        return dni_valid(v)
+    if re.fullmatch(r"\d{3}[- ]\d{3}[- ]\d{3}", value):
+        return luhn_valid(v)
+    if not re.fullmatch(r"\d+[\dX]", v):
+        return None
+    check = {18: chinese_valid, 16: orcid_valid}.get(len(v)) or (v.isdigit() and {15: mod97_valid, 11: tax_valid}.get(len(v)))
+    return check(v) if check else None
+
+
+def shape_score(value: str) -> float:
+    """How much the shape alone speaks for an identity number."""
+    if re.fullmatch(r"\d{3}-\d{2}-\d{4}|[A-Z]{2} \d{2} \d{2} \d{2} [A-D]", value):
+        return 1.0
+    if re.fullmatch(r"\d{4}-\d{4}-\d{4}-\d{3}[\dX]|\d{17}[\dX]|\d \d{2} \d{2} \d{2} \d{3} \d{3} \d{2}", value):
+        return 0.5
+    return -0.5 if value.isdigit() else 0.0
+
+
+def id_score(value: str, before: str, labelled: bool) -> float:
+    """Score of a proposed identity number: a label, the shape, right or wrong check digits, and the words before."""
+    valid = checksum(value)
+    score = (2.0 + max(0.0, shape_score(value)) if labelled else shape_score(value)) + (0.0 if valid is None else 1.0 if valid else -1.0)
+    return score + 0.5 * bool(_ID_NEAR.search(before)) - 2.0 * (not labelled and bool(_ID_NOT.search(before)))
 
 
 # ---- Proposals ---------------------------------------------------------------------------------------------
@@ -162,8 +217,8 @@ def _cues() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for cue, weight in NAME_CUES.items():
         a.add_word(cue, ("name", len(cue), weight))
-    for cue in NAME_AFTER:
-        a.add_word(cue, ("after", len(cue), 2))
+    for cue, weight in NAME_AFTER.items():
+        a.add_word(cue, ("after", len(cue), weight))
     for cue in ID_CUES:
         a.add_word(cue, ("id", len(cue), 2))
     for cue in STREET_WORDS:
@@ -176,9 +231,11 @@ def emails(t: str) -> list[Span]:
     found = []
     for m in _AT.finditer(t):
         i = m.start()
-        back = t[max(0, i - 80) : i]
-        gap = back.endswith(" ")
-        left = _LOCAL.search(back[:-1] if gap else back)
+        gap = t[i - 1 : i] == " "
+        at = end = i - gap
+        while at and (t[at - 1].isalnum() or t[at - 1] in "_.+-"):
+            at -= 1
+        left = _LOCAL.search(t, at, end)
         right = _HOST.match(t, m.end())
         if not left or not right:
             continue
@@ -221,17 +278,20 @@ def phones(t: str) -> list[Span]:
 
 
 def numbers(t: str, cues: list[int]) -> list[Span]:
-    found = []
+    """Identity numbers: those behind a label and those of a telling shape, by score."""
+    found, seen = [], set()
     for at in cues:
         gap = _ID_GAP.match(t, at)
         m = _ID_VALUE.match(t, gap.end())
         if m and (gap.end() > at or t[at - 1] in "=:"):
-            found.append(Span(m.start(), m.end(), "id_number"))
+            seen.add(m.start())
+            if id_score(m.group(), t[max(0, at - 40) : at], True) >= 1:
+                found.append(Span(m.start(), m.end(), "id_number"))
     for m in _ID_FREE.finditer(t):
-        before, after = t[max(0, m.start() - 24) : m.start()], t[m.end() : m.end() + 8]
-        score = 1.0 + checksum(m.group()) + bool(re.match(r"\s?(?:for |\()", after)) - 2 * bool(re.search(r"(?:grant|sample|trial|isbn|issn|trn|phone|tel|fax)\W{0,3}$", before, re.I))
-        if score >= 1:
-            found.append(Span(m.start(), m.end(), "id_number"))
+        if m.start() not in seen:
+            after = bool(re.match(r"\s?(?:for |\()", t[m.end() : m.end() + 6]))
+            if id_score(m.group(), t[max(0, m.start() - 40) : m.start()], False) + 0.5 * after >= 1:
+                found.append(Span(m.start(), m.end(), "id_number"))
     return found
 
 
@@ -240,7 +300,7 @@ def addresses(t: str, streets: list[int]) -> list[Span]:
     found = []
     windows: list[list[int]] = []
     for at in streets:
-        a, b = max(0, at - 90), at + 70
+        a, b = max(0, at - 200), at + 400
         if windows and a <= windows[-1][1]:
             windows[-1][1] = b
         else:
@@ -279,9 +339,13 @@ def name_at(t: str, at: int, weight: int) -> Span | None:
         if (w.lower() in STOP and not _second_particle(tokens, w)) or w == "will" or _CJK.search(w) or (tokens and m.start(1) == end and not tokens[-1].endswith(("-", "."))):
             break
         short = len(w) == 1 or w.endswith(".")
-        tokens.append(w)
-        end = m.end() if short else m.end(1)
-        if dot and not short:
+        # A name in capitals doesn't go on into other words in small letters.
+        if w[0].islower() and w.lower() not in PARTICLES and not _AL.match(w) and sum(x[0].isupper() for x in tokens) >= 2:
+            break
+        possessive = w.endswith(("'s", "’s"))
+        tokens.append(w[:-2] if possessive else w)
+        end = m.end() if short else m.end(1) - 2 * possessive
+        if (dot and not short) or possessive:
             break
         if t[end : end + 2] == ", " and not comma:
             full = [x for x in tokens if x.lower() not in PARTICLES]
@@ -310,7 +374,7 @@ def name_at(t: str, at: int, weight: int) -> Span | None:
 
 def name_before(t: str, end: int) -> Span | None:
     """A person's name that ends at `end`."""
-    window = t[max(0, end - 90) : end]
+    window = t[max(0, end - 200) : end]
     base = end - len(window)
     words = [(m.start(), m.group()) for m in re.finditer(r"\S+", window)]
     taken: list[tuple[int, str]] = []
@@ -349,6 +413,11 @@ def name_before(t: str, end: int) -> Span | None:
     return Span(base + taken[-1][0], end, "name")
 
 
+def _capital(name: str) -> bool:
+    words = [w for w in name.replace(",", " ").split() if w.lower() not in PARTICLES]
+    return all(_AL.sub("", w)[0].isupper() for w in words) and words[0].lower() not in STOP
+
+
 _NEXT_NAME = re.compile(r"(?:,? (?:and|und|et|y|&) |, )")
 _MAIL_BEFORE = re.compile(r"\s?[<(]$")
 
@@ -360,7 +429,7 @@ def mentions(t: str) -> list[Span]:
     low = _fold(t)
     names: list[tuple[int, int]] = []
     ids: list[int] = []
-    after: list[int] = []
+    after: list[tuple[int, int]] = []
     streets: list[int] = []
     for last, (what, n, weight) in _cues().iter(low):
         start, end = last + 1 - n, last + 1
@@ -368,7 +437,7 @@ def mentions(t: str) -> list[Span]:
             if not low[end : end + 1].isalpha() and (" " in low[end : end + 2] or not low[end : end + 1].isalnum()):
                 streets.append(start)
         elif what == "after":
-            after.append(start)
+            after.append((start, weight))
         elif start and low[start - 1].isalnum() and low[start].isalpha() and not _CJK.match(low[start]):
             continue
         elif what == "id":
@@ -380,18 +449,23 @@ def mentions(t: str) -> list[Span]:
     id_spans = numbers(t, ids)
     found += id_spans + addresses(t, streets) + phones(t)
     people: list[Span] = []
+    names += [(m.end(), 2) for m in NAME_CUES_APART.finditer(t)]
     for at, weight in names:
         span = name_at(t, at, weight)
         while span:
             people.append(span)
             more = _NEXT_NAME.match(t, span.end)
-            span = name_at(t, more.end(), 1) if more and weight == 1 else None
+            span = name_at(t, more.end(), 1) if more else None
+    for m in TITLE.finditer(t):
+        if t[m.start()].isupper() and (not m.start() or not t[m.start() - 1].isalnum()) and (span := name_at(t, m.start(), 1)):
+            people.append(span)
     for s in id_spans:
         m = re.compile(r"\s?(?:for |\()").match(t, s.end)
         if m and (span := name_at(t, m.end(), 2)):
             people.append(span)
-    for at in after:
-        if span := name_before(t, len(t[:at].rstrip())):
+    for at, weight in after:
+        # A word such as "wrote" stands behind all kinds of subjects; only names are in capitals.
+        if (span := name_before(t, at - (t[at - 1 : at] == " "))) and (weight == 2 or _capital(t[span.start : span.end])):
             people.append(span)
     for s in mail:
         m = _MAIL_BEFORE.search(t, max(0, s.start - 2), s.start)
@@ -401,13 +475,10 @@ def mentions(t: str) -> list[Span]:
     order = {"email": 0, "id_number": 1, "phone": 2, "address": 3, "name": 4}
     kept: list[Span] = []
     for s in sorted(set(found + people), key=lambda s: (order[s.kind], s.start, -s.end)):
-        if all(s.end <= k.start or s.start >= k.end for k in _near(kept, s)):
-            kept.append(s)
-    return sorted(kept)
-
-
-def _near(kept: list[Span], s: Span) -> list[Span]:
-    return [k for k in kept if k.start < s.end and s.start < k.end]
+        at = bisect_left(kept, s)  # spans kept so far don't overlap, so only the neighbours can
+        if (at == 0 or kept[at - 1].end <= s.start) and (at == len(kept) or s.end <= kept[at].start):
+            kept.insert(at, s)
+    return kept
 
 
 #: White space that isn't a single blank.
@@ -430,8 +501,6 @@ def collapse_space(text: str) -> tuple[str, list[tuple[int, int]]]:
 
 def redact(text: str, spans: list[Span], shifts: list[tuple[int, int]]) -> str:
     """The text as it was with each mention replaced by its kind in brackets."""
-    from bisect import bisect_right
-
     keys = [k for k, _ in shifts]
 
     def place(i: int) -> int:
