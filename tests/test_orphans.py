@@ -60,11 +60,36 @@ def test_one_hot_key_and_empty_tables(spark):
 def test_folding_in_two_batches_gives_the_same_state(spark):
     claims = spark.createDataFrame([(i, 1, f"C{i}", [f"R{i % 3}", "R9"], DAY, None, "x") for i in range(20)], CLAIMS)
     refs = spark.createDataFrame([(i, 1, f"R{i}", [f"C{i}"], DAY, DAY if i == 2 else None, "x") for i in range(3)], REFS)
-    whole = orphans.key_state(claims, refs)
-    deltas = orphans.reference_deltas(orphans.naming_rows(claims, "ledger_claims", "ref_ids"))
+    whole = orphans.key_state(orphans.fold_deltas(orphans.change_deltas(claims, refs)))
+    deltas = orphans.reference_deltas(claims, "ledger_claims", "ref_ids")
     first, second = deltas.filter("ledger_id = 1").limit(15), orphans.existence_deltas(refs, "ref_id", "ledger_claims")
     rest = deltas.exceptAll(first)
-    state = orphans.fold_deltas(orphans.fold_deltas(first).unionByName(rest).unionByName(second))
+    folded = orphans.fold_deltas(orphans.fold_deltas(first).unionByName(orphans.fold_deltas(rest.unionByName(second)).select(orphans.fold_deltas(first).columns)))
+    state = orphans.key_state(folded)
     mine = {tuple(r) for r in state.collect()}
     assert mine == {tuple(r) for r in whole.filter("source_table = 'ledger_claims'").collect()}
     assert {r.target_key for r in orphans.open_keys(state).collect()} == {"R2", "R9"}
+
+
+def test_a_later_deletion_takes_counts_and_arrivals_back(spark):
+    t = lambda n: DAY + timedelta(days=n)
+    claims = [(1, 1, "C1", ["R1"], t(5), None, "x"), (2, 1, "C2", ["R1"], t(9), t(20), "x")]
+    refs = [(1, 1, "R1", None, t(1), t(20), "x"), (2, 1, "R1", None, t(7), t(30), "x")]
+    deltas = orphans.change_deltas(spark.createDataFrame(claims, CLAIMS), spark.createDataFrame(refs, REFS)).filter("target_key = 'R1'").cache()
+    got = []
+    for day in (10, 25, 40):
+        # The state of one day after the other, each from the one before and the changes since.
+        folded = orphans.fold_deltas(deltas.filter(deltas.happened_at <= t(day)))
+        r = orphans.key_state(folded).first()
+        got.append((r.refs, r.inserted, r.existing, r.named_at, r.usable_at))
+    assert got == [(2, 2, 2, t(5), t(1)), (1, 2, 1, t(5), t(7)), (1, 2, 0, t(5), None)]
+
+
+def test_rows_of_a_hot_key_are_spread(spark):
+    from tracefold.functions.skew import spread_join
+
+    rows = spark.createDataFrame([(1 if i % 3 else i + 10, i) for i in range(300)] + [(None, 999)], "k long, row long")
+    keyed = rows.groupBy("k").count().withColumnRenamed("count", "n").withColumn("v", rows.k * 2)
+    for share in (1, 3, 1000):
+        got = spread_join(rows, keyed.filter("k is not null"), "k", "n", "row", share).collect()
+        assert sorted((r.k, r.row, r.v) for r in got) == sorted((1 if i % 3 else i + 10, i, 2 * (1 if i % 3 else i + 10)) for i in range(300))

@@ -120,12 +120,12 @@ def test_stream_of_arrivals(spark, tmp_path):
 def test_state_folded_by_a_stream(spark, tmp_path):
     schema = "row_id long, ledger_id long, claim_id string, ref_ids array<string>, arrived_at timestamp, deleted_at timestamp"
     claims = spark.createDataFrame([(1, 1, "C1", ["R1", "R2"], None, None)], schema)
-    deltas = orphans.reference_deltas(orphans.naming_rows(claims, "ledger_claims", "ref_ids"))
+    deltas = orphans.reference_deltas(claims, "ledger_claims", "ref_ids")
     fold = arrivals.fold_into(str(tmp_path / "state"))
     fold(deltas, 0)
     fold(deltas, 1)
     fold(deltas, 1)  # a batch that is run again
-    assert {r.target_key: r.refs for r in spark.read.parquet(str(tmp_path / "state" / "1")).collect()} == {"R1": 2, "R2": 2}
+    assert {r.target_key: r.refs for r in arrivals.folded_state(spark, str(tmp_path / "state")).collect()} == {"R1": 2, "R2": 2}
 
 
 def test_progress_logs(spark, tmp_path):

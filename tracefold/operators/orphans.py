@@ -1,10 +1,10 @@
 """References to records that do not exist: signed counts per key from change deltas.
 
-Every delivered row is a change. A usable row adds one to the existence of its own key; a deleted row adds
-its insertion and takes it back. A usable row adds one reference to each distinct id it names. The deltas of
-both kinds are summed per (table, ledger, key), with a partial sum before the only shuffle, so one hot key
-costs each map task one record. Keys with positive references and zero existence are the current orphans;
-keys that exist, yet whose first usable row arrived after the first naming row, are the late candidates.
+Every delivered row is a change: it adds one to the existence of its own key and one reference to each distinct id it
+names; a deletion takes both back by deltas of minus one. Deltas are summed per (table, ledger, key) and arrival, with
+a partial sum before the shuffle, so one hot key costs each map task one record per arrival, and earliest arrivals can
+be taken back as well. Keys with positive references and zero existence are the current orphans; keys that exist, yet
+whose first usable row arrived after the first naming row, are the late candidates.
 """
 
 from __future__ import annotations
@@ -12,75 +12,70 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Buckets over which the naming rows of one key are spread when they are joined with the key's state.
-SALTS = 8
+from tracefold.functions.skew import spread_join
+from tracefold.session import written
+
+KEYS = ["source_table", "ledger_id", "target_key"]
+COUNTS = ["refs", "inserted", "existing"]
+
+
+def _named_ids(df: DataFrame, table: str, ids: str, *more: str) -> DataFrame:
+    return df.select(
+        F.lit(table).alias("source_table"), "row_id", "ledger_id", F.col("arrived_at").alias("named_at"), *more,
+        F.explode(F.array_distinct(F.col(ids))).alias("target_key"),
+    ).filter(F.col("target_key").isNotNull())
 
 
 def naming_rows(df: DataFrame, table: str, ids: str) -> DataFrame:
     """One row per usable row and distinct non-null id it names. A null or empty array names nothing."""
-    return (
-        df.filter(F.col("deleted_at").isNull())
-        .select(
-            F.lit(table).alias("source_table"),
-            "row_id",
-            "ledger_id",
-            F.col("arrived_at").alias("named_at"),
-            F.explode(F.array_distinct(F.col(ids))).alias("target_key"),
-        )
-        .filter(F.col("target_key").isNotNull())
-    )
+    return _named_ids(df.filter(F.col("deleted_at").isNull()), table, ids)
+
+
+def _changes() -> Column:
+    """Of each row its insertion and, if it was deleted, its deletion: sign and time."""
+    change = lambda sign, at: F.struct(F.lit(sign).cast("long").alias("sign"), at.alias("happened_at"))
+    inserted, deleted = change(1, F.col("arrived_at")), change(-1, F.col("deleted_at"))
+    return F.explode(F.when(F.col("deleted_at").isNull(), F.array(inserted)).otherwise(F.array(inserted, deleted))).alias("change")
 
 
 def existence_deltas(df: DataFrame, key: str, named_by: str) -> DataFrame:
-    live = F.col("deleted_at").isNull()
-    return df.filter(F.col(key).isNotNull()).select(
-        F.lit(named_by).alias("source_table"),
-        "ledger_id",
-        F.col(key).alias("target_key"),
-        F.lit(0).cast("long").alias("refs"),
-        F.lit(1).cast("long").alias("inserted"),
-        F.when(live, 1).otherwise(0).cast("long").alias("existing"),
-        F.lit(None).cast("timestamp").alias("named_at"),
-        # An unknown arrival can't be shown to be late, so it counts as the earliest.
-        F.when(live, F.coalesce(F.col("arrived_at"), F.lit("0001-01-01").cast("timestamp"))).alias("usable_at"),
-    )
+    """One delta per change of a row with that key. An unknown arrival can't be shown to be late, so it counts as the
+    earliest. `inserted` counts deliveries and is never taken back."""
+    return df.filter(F.col(key).isNotNull()).select("ledger_id", key, "arrived_at", "deleted_at", _changes()).select(
+        F.lit(named_by).alias("source_table"), "ledger_id", F.col(key).alias("target_key"),
+        F.coalesce(F.col("arrived_at"), F.lit("0001-01-01").cast("timestamp")).alias("arrived_at"), F.col("change.happened_at").alias("happened_at"),
+        F.lit(0).cast("long").alias("refs"), F.greatest(F.col("change.sign"), F.lit(0).cast("long")).alias("inserted"), F.col("change.sign").alias("existing"),
+    )
 
 
-def reference_deltas(naming: DataFrame) -> DataFrame:
+def reference_deltas(df: DataFrame, table: str, ids: str) -> DataFrame:
+    """One delta per change of a row and distinct non-null id it names."""
     zero = F.lit(0).cast("long")
-    return naming.select(
-        "source_table",
-        "ledger_id",
-        "target_key",
-        F.lit(1).cast("long").alias("refs"),
-        zero.alias("inserted"),
-        zero.alias("existing"),
-        "named_at",
-        F.lit(None).cast("timestamp").alias("usable_at"),
+    return _named_ids(df.select("row_id", "ledger_id", "arrived_at", ids, _changes()), table, ids, "change").select(
+        *KEYS, F.col("named_at").alias("arrived_at"), F.col("change.happened_at").alias("happened_at"),
+        F.col("change.sign").alias("refs"), zero.alias("inserted"), zero.alias("existing"),
+    )
+
+
+def change_deltas(claims: DataFrame, refs: DataFrame) -> DataFrame:
+    """The deltas of all changes of both tables."""
+    return (
+        reference_deltas(claims, "ledger_claims", "ref_ids")
+        .unionByName(reference_deltas(refs, "bib_refs", "cited_by_claims"))
+        .unionByName(existence_deltas(refs, "ref_id", "ledger_claims"))
+        .unionByName(existence_deltas(claims, "claim_id", "bib_refs"))
     )
 
 
 def fold_deltas(deltas: DataFrame) -> DataFrame:
-    """Sums deltas, or states folded before with new deltas: the operator is its own incremental form."""
-    return deltas.groupBy("source_table", "ledger_id", "target_key").agg(
-        F.sum("refs").alias("refs"),
-        F.sum("inserted").alias("inserted"),
-        F.sum("existing").alias("existing"),
-        F.min("named_at").alias("named_at"),
-        F.min("usable_at").alias("usable_at"),
-    )
+    """Sums deltas, or sums folded before with new deltas: the operator is its own incremental form."""
+    return deltas.groupBy(*KEYS, "arrived_at").agg(*(F.sum(c).alias(c) for c in COUNTS))
 
 
-def key_state(claims: DataFrame, refs: DataFrame) -> DataFrame:
-    """The counts of every key of both tables."""
-    from_claims = naming_rows(claims, "ledger_claims", "ref_ids")
-    from_refs = naming_rows(refs, "bib_refs", "cited_by_claims")
-    return fold_deltas(
-        reference_deltas(from_claims)
-        .unionByName(reference_deltas(from_refs))
-        .unionByName(existence_deltas(refs, "ref_id", "ledger_claims"))
-        .unionByName(existence_deltas(claims, "claim_id", "bib_refs"))
-    )
+def key_state(folded: DataFrame) -> DataFrame:
+    """The counts of every key and the earliest arrivals that count: of a row that names it and of a usable row."""
+    first = lambda count: F.min(F.when(F.col(count) > 0, F.col("arrived_at")))
+    return folded.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in COUNTS), first("refs").alias("named_at"), first("existing").alias("usable_at"))
 
 
 def open_keys(state: DataFrame) -> DataFrame:
@@ -98,7 +93,7 @@ def _kind() -> Column:
     )
 
 
-def orphan_references(claims: DataFrame, refs: DataFrame, salts: int = SALTS) -> DataFrame:
+def orphan_references(claims: DataFrame, refs: DataFrame) -> DataFrame:
     """One row per usable row and distinct id it names that leads to no usable record of its ledger.
 
     Ids are exact strings, the empty string among them; null ids and null arrays name nothing. Null ledgers
@@ -106,33 +101,15 @@ def orphan_references(claims: DataFrame, refs: DataFrame, salts: int = SALTS) ->
     of a usable target counts as earliest. Empty tables give no rows. Only the named columns are read, so
     extra columns don't matter.
     """
-    keys = (
-        open_keys(key_state(claims, refs))
-        .drop("named_at", "refs")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        .alias("k")
-    )
-    naming = (
-        naming_rows(claims, "ledger_claims", "ref_ids")
-        .unionByName(naming_rows(refs, "bib_refs", "cited_by_claims"))
-        .withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(salts)).cast("int"))
-        .alias("n")
-    )
-    on = (
-        (F.col("n.source_table") == F.col("k.source_table"))
-        & F.col("n.ledger_id").eqNullSafe(F.col("k.ledger_id"))
-        & (F.col("n.target_key") == F.col("k.target_key"))
-        & (F.col("n.salt") == F.col("k.salt"))
-    )
+    key = F.xxhash64("source_table", F.col("ledger_id").isNull(), "ledger_id", "target_key").alias("key")
+    keys = open_keys(key_state(fold_deltas(change_deltas(claims, refs))))
+    keys = written(keys.select(key, *(F.col(c).alias(f"k_{c}") for c in KEYS), "refs", "inserted", "existing", "usable_at"), "open-keys")
+    naming = naming_rows(claims, "ledger_claims", "ref_ids").unionByName(naming_rows(refs, "bib_refs", "cited_by_claims"))
+    found = spread_join(naming.select(key, "*"), keys, "key", "refs", "row_id")
+    same = [F.col(f"k_{c}").eqNullSafe(F.col(c)) for c in KEYS]  # the join is on the keys' hash
     return (
-        naming.join(keys, on)
-        .select(
-            F.col("n.source_table").alias("source_table"),
-            F.col("n.row_id").alias("row_id"),
-            F.col("n.target_key").alias("target_key"),
-            _kind().alias("kind"),
-            F.date_format("named_at", "yyyy-MM").alias("period"),
-        )
+        found.filter(same[0] & same[1] & same[2])
+        .select("source_table", "row_id", "target_key", _kind().alias("kind"), F.date_format("named_at", "yyyy-MM").alias("period"))
         .filter(F.col("kind").isNotNull())
     )
 

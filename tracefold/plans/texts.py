@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracefold.config import Settings
 from tracefold.functions import repair
-from tracefold.operators import segment, state
+from tracefold.operators import orphans, segment, state
 from tracefold.session import table
 from tracefold.streaming import arrivals
 
@@ -205,6 +205,7 @@ SELECT n.source_table, n.ledger_id, n.target_key, refs, coalesce(inserted, 0) AS
 """)
 def w02_orphan_state(spark: SparkSession, d: str) -> DataFrame:
     """Keys without a usable record after the stream of changes has been folded batch by batch."""
-    deltas = arrivals.orphan_deltas(arrivals.table_stream(spark, d, "ledger_claims"), arrivals.table_stream(spark, d, "bib_refs"))
-    state_now = arrivals.run_fold(deltas)
+    deltas = orphans.change_deltas(table(spark, d, "ledger_claims"), table(spark, d, "bib_refs"))
+    feed = spark.readStream.schema(deltas.schema).option("maxFilesPerTrigger", 4).parquet(arrivals.in_slices(deltas, "happened_at", 4, "orphan-changes"))
+    state_now = orphans.key_state(arrivals.run_fold(feed))
     return state_now.filter((F.col("refs") > 0) & (F.col("existing") == 0)).select("source_table", "ledger_id", "target_key", "refs", "inserted")

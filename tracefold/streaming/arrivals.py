@@ -42,37 +42,40 @@ def run_available(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{at}/rows")
 
 
-def orphan_deltas(claims: DataFrame, refs: DataFrame) -> DataFrame:
-    """The change deltas of both streams as one stream."""
-    return (
-        orphans.reference_deltas(orphans.naming_rows(claims, "ledger_claims", "ref_ids"))
-        .unionByName(orphans.reference_deltas(orphans.naming_rows(refs, "bib_refs", "cited_by_claims")))
-        .unionByName(orphans.existence_deltas(refs, "ref_id", "ledger_claims"))
-        .unionByName(orphans.existence_deltas(claims, "claim_id", "bib_refs"))
-    )
+def in_slices(changes: DataFrame, at: str, slices: int, name: str) -> str:
+    """Writes changes to a folder of the shared folder in the order of time `at`, one slice after the other, as a feed
+    would deliver them; changes without a time come first."""
+    folder = f"{ensure_checkpoint_dir(changes.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    second = F.unix_seconds(F.col(at).cast("timestamp"))
+    low, high = changes.agg(F.min(second), F.max(second)).first()
+    low, high = low or 0, (high or 0) + 1
+    place = F.coalesce(F.floor((second - low) * slices / (high - low)), F.lit(0))
+    for k in range(slices):
+        changes.filter(place == k).write.mode("append").parquet(folder)
+    return folder
 
 
 def run_fold(deltas: DataFrame) -> DataFrame:
-    """Folds all available deltas batch by batch and gives the state after the last one."""
+    """Folds all available deltas batch by batch and gives the sums after the last one."""
     spark = deltas.sparkSession
     at = f"{ensure_checkpoint_dir(spark)}/orphan-state-{uuid.uuid4().hex}"
     query = deltas.writeStream.foreachBatch(fold_into(f"{at}/state")).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
     query.awaitTermination()
-    last = query.lastProgress
-    if last is None:  # nothing has arrived
+    if query.lastProgress is None:  # nothing has arrived
         return spark.createDataFrame([], orphans.fold_deltas(deltas).schema)
-    return spark.read.parquet(f"{at}/state/{last['batchId']}")
+    return folded_state(spark, f"{at}/state")
 
 
 def fold_into(state_path: str):
-    """A foreachBatch function that folds a batch of deltas into the stored key state: each batch writes a new
-    version beside the old one, so a batch that is run again gives the same state."""
+    """A foreachBatch function that adds the sums of a batch's deltas to the stored state. A batch writes the keys it
+    changes, in a folder of its own, so one that is run again leaves the same state, and none rewrites what others
+    wrote; the state is the sum of all folders."""
 
     def run(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        deltas = orphans.fold_deltas(batch)
-        if epoch > 0:
-            deltas = orphans.fold_deltas(deltas.unionByName(spark.read.parquet(f"{state_path}/{epoch - 1}")))
-        deltas.write.mode("overwrite").parquet(f"{state_path}/{epoch}")
+        orphans.fold_deltas(batch).write.mode("overwrite").parquet(f"{state_path}/epoch={epoch}")
 
     return run
+
+
+def folded_state(spark: SparkSession, state_path: str) -> DataFrame:
+    return orphans.fold_deltas(spark.read.parquet(state_path).drop("epoch"))
