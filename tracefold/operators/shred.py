@@ -12,7 +12,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracefold.session import written
@@ -106,122 +106,97 @@ def adjacency(raw: DataFrame, key: str = "raw_id", payload: str = "payload") ->
     )
 
 
-def _children(parents: DataFrame, nodes: DataFrame, keep: list[str], where: Column) -> DataFrame:
-    """Joins parent nodes, given by (raw_id, at), with their child nodes that meet `where`."""
-    c = nodes.filter(where).select(
-        "raw_id",
-        F.col("parent").alias("at"),
-        F.col("node").alias("child"),
-        F.col("label").alias("c_label"),
-        F.col("ordinal").alias("c_ordinal"),
-        F.col("kind").alias("c_kind"),
-        F.col("scalar").alias("c_scalar"),
-    )
-    return parents.select("raw_id", "at", *keep).join(c, ["raw_id", "at"]).drop("at").withColumnRenamed("child", "at")
+#: Labels under which the entity tables look.
+LABELS = [
+    "message", "items", "indexed", "date-parts", "license", "URL", "content-domain", "domain", "author", "reference",
+    "DOI", "type", "publisher", "issue", "volume", "given", "family", "name", "sequence", "key", "year", "unstructured",
+]
+
+
+def _side(nodes: DataFrame) -> DataFrame:
+    """The nodes as children, by reply and parent. All steps join with this one table, so it is read and shuffled once."""
+    return nodes.filter(F.col("label").isin(LABELS) | F.col("ordinal").isNotNull()).select(
+        "raw_id", F.col("parent").alias("at"), F.col("node").alias("child"), F.col("label").alias("c_label"), F.col("ordinal").alias("c_ordinal"),
+        F.col("kind").alias("c_kind"), F.col("scalar").alias("c_scalar"),
+    )
+
+
+def _step(frontier: DataFrame, nodes: DataFrame, go: Column, want: Column, keep: bool = False) -> DataFrame:
+    """Takes the rows of the frontier for which `go` holds to their children under the label `want`, or to the elements
+    of a list where `want` is null; the other rows stay where they are. Rows without such a child are let go unless
+    `keep`. `ordinal` is the child's place, null for rows that stayed. One chain of joins comes of it, no branch."""
+    f = frontier.withColumns({"go": F.coalesce(go, F.lit(False)), "want": want.cast("string")}).alias("f")
+    # Of both sides, so that the join stays on (raw_id, at) and the children's table the same for every step.
+    wanted = F.col("f.go") & F.when(F.col("f.want").isNull(), F.col("c.c_ordinal").isNotNull()).otherwise(F.col("c.c_label") == F.col("f.want"))
+    on = (F.col("f.raw_id") == F.col("c.raw_id")) & (F.col("f.at") == F.col("c.at")) & wanted
+    rest = [c for c in frontier.columns if c not in ("raw_id", "at", "kind", "scalar", "ordinal")]
+    joined = f.join(_side(nodes).alias("c"), on, "left")
+    if not keep:
+        joined = joined.filter(F.col("c.child").isNotNull() | ~F.col("f.go"))
+    moved = lambda new, old: F.when(F.col("f.go"), F.col(new)).otherwise(F.col(old)).alias(old.removeprefix("f."))
+    return joined.select(
+        "f.raw_id", F.coalesce("c.child", "f.at").alias("at"), moved("c.c_kind", "f.kind"), moved("c.c_scalar", "f.scalar"), F.col("c.c_ordinal").alias("ordinal"),
+        *(F.col(f"f.{c}").alias(c) for c in rest),
+    )
 
 
 def works(nodes: DataFrame) -> DataFrame:
-    """(raw_id, item_pos, at): the work is the message, or each element of its items, or the whole reply where
-    there is no message. A null or other non-object work holds nothing."""
-    roots = nodes.filter(F.col("parent").isNull()).select("raw_id", F.col("node").alias("at"))
-    top = nodes.filter((F.col("parent") == 0) & (F.col("label") == "message"))
-    message = top.filter(F.col("kind") == "object").select("raw_id", F.col("node").alias("at"))
-    whole = roots.join(top.select("raw_id"), "raw_id", "left_anti").select("raw_id", F.lit(0).alias("item_pos"), "at")
-    items = _children(message, nodes, [], F.col("label") == "items")
-    plain = message.join(items.select("raw_id"), "raw_id", "left_anti").select("raw_id", F.lit(0).alias("item_pos"), "at")
-    listed = _children(
-        items.filter(F.col("c_kind") == "array").select("raw_id", "at"),
-        nodes,
-        [],
-        F.col("ordinal").isNotNull() & (F.col("kind") == "object"),
-    ).select("raw_id", F.col("c_ordinal").alias("item_pos"), "at")
-    single = items.filter(F.col("c_kind") == "object").select("raw_id", F.lit(0).alias("item_pos"), "at")
-    return whole.unionByName(plain).unionByName(listed).unionByName(single)
-
-
-def _elements(lists: DataFrame, nodes: DataFrame, keep: list[str], place: str) -> DataFrame:
+    """(raw_id, item_pos, at, kind, scalar): the work is the message, or each element of its items, or the whole reply
+    where there is no message. A null or other non-object work holds nothing."""
+    always, kind = F.lit(True), F.col("kind")
+    roots = nodes.filter(F.col("parent").isNull()).select("raw_id", F.col("node").alias("at"), "kind", "scalar")
+    top = _step(roots, nodes, always, F.lit("message"), keep=True).withColumn("wrapped", kind.isNotNull()).filter(~F.col("wrapped") | (kind == "object"))
+    # Only a message can hold items.
+    items = _step(top, nodes, F.col("wrapped"), F.lit("items"), keep=True)
+    each = _step(items, nodes, kind == "array", F.lit(None), keep=False).filter(kind.isNull() | (kind == "object"))
+    return each.select("raw_id", F.coalesce("ordinal", F.lit(0)).alias("item_pos"), "at", F.lit("object").alias("kind"), F.lit(None).cast("string").alias("scalar"))
+
+
+def _elements(lists: DataFrame, nodes: DataFrame, place: str) -> DataFrame:
     """The elements of list nodes with their place; a single value in place of a list is its only element."""
-    inside = _children(
-        lists.filter(F.col("c_kind") == "array"), nodes, keep, F.col("ordinal").isNotNull()
-    ).withColumn(place, F.col("c_ordinal"))
-    alone = lists.filter(F.col("c_kind") != "array").withColumn(place, F.lit(0))
-    cols = ["raw_id", *keep, "at", "c_kind", "c_scalar", place]
-    return inside.select(*cols).unionByName(alone.select(*cols))
+    return _step(lists, nodes, F.col("kind") == "array", F.lit(None)).withColumn(place, F.coalesce("ordinal", F.lit(0)))
+
+
+#: The lists of a work whose leaves are told: under which label of which part they are.
+_LISTS = {"indexed": "date-parts", "content-domain": "domain", "license": "URL"}
 
 
 def work_leaves(nodes: DataFrame) -> DataFrame:
     """The non-null leaves of `indexed.date-parts`, `license.URL` and `content-domain.domain` of each work, with
-    their places. A flat date-parts list has outer place 0."""
-    held = _children(
-        works(nodes),
-        nodes,
-        ["item_pos"],
-        F.col("label").isin("indexed", "license", "content-domain") & F.col("kind").isin("object", "array"),
+    their places. A flat date-parts list has outer place 0.
+
+    The three kinds of leaves go down together, one join per level; only licences are lists above their label.
+    """
+    part, kind = F.col("part"), F.col("kind")
+    licence = part == "license"
+    label = F.element_at(F.create_map(*(F.lit(x) for kv in _LISTS.items() for x in kv)), part)
+    parts = works(nodes).withColumn("part", F.explode(F.array(*(F.lit(k) for k in _LISTS))))
+    held = _step(parts, nodes, F.lit(True), part).filter(F.when(licence, kind.isin("object", "array")).otherwise(kind == "object"))
+    # Elements of licence lists, and what other parts hold under their label; then the licences' URL, and the others'
+    # elements; then elements of lists within, which domains don't have.
+    first = _step(held, nodes, ~licence | (kind == "array"), F.when(~licence, label)).withColumn("pos1", F.when(licence, F.coalesce("ordinal", F.lit(0))))
+    second = _step(first.filter(~licence | (kind == "object")), nodes, licence | (kind == "array"), F.when(licence, label)).withColumn(
+        "pos1", F.when(licence, F.col("pos1")).otherwise(F.coalesce("ordinal", F.lit(0)))
     )
-
-    dates = _children(
-        held.filter((F.col("c_label") == "indexed") & (F.col("c_kind") == "object")).select("raw_id", "at", "item_pos"),
-        nodes,
-        ["item_pos"],
-        F.col("label") == "date-parts",
-    )
-    outer = _elements(dates.drop("c_label", "c_ordinal"), nodes, ["item_pos"], "outer")
-    nested = _children(
-        outer.filter(F.col("c_kind") == "array"), nodes, ["item_pos", "outer"], F.col("ordinal").isNotNull()
-    ).select("raw_id", "item_pos", F.col("outer").alias("pos1"), F.col("c_ordinal").alias("pos2"), "c_kind", "c_scalar")
-    bare = outer.filter(F.col("c_kind") == "scalar")
     # Scalars beside lists count as lists of one; scalars alone are a flat list.
-    mixed = outer.filter(F.col("c_kind") == "array").select("raw_id", "item_pos").distinct().withColumn("mixed", F.lit(True))
-    bare = bare.join(mixed, ["raw_id", "item_pos"], "left").select(
-        "raw_id",
-        "item_pos",
-        F.when(F.col("mixed"), F.col("outer")).otherwise(0).alias("pos1"),
-        F.when(F.col("mixed"), 0).otherwise(F.col("outer")).alias("pos2"),
-        "c_kind",
-        "c_scalar",
-    )
-    date_leaves = nested.unionByName(bare).withColumn("field", F.lit("indexed.date-parts"))
-
-    licences = _elements(held.filter(F.col("c_label") == "license").drop("c_label", "c_ordinal"), nodes, ["item_pos"], "pos1")
-    urls = _children(licences.filter(F.col("c_kind") == "object"), nodes, ["item_pos", "pos1"], F.col("label") == "URL")
-    url_leaves = _elements(urls.drop("c_label", "c_ordinal"), nodes, ["item_pos", "pos1"], "pos2").withColumn(
-        "field", F.lit("license.URL")
-    )
-
-    domains = _children(
-        held.filter((F.col("c_label") == "content-domain") & (F.col("c_kind") == "object")).select("raw_id", "at", "item_pos"),
-        nodes,
-        ["item_pos"],
-        F.col("label") == "domain",
-    )
-    domain_leaves = (
-        _elements(domains.drop("c_label", "c_ordinal"), nodes, ["item_pos"], "pos1")
-        .withColumn("pos2", F.lit(0))
-        .withColumn("field", F.lit("content-domain.domain"))
-    )
-
-    cols = ["raw_id", "item_pos", "field", "pos1", "pos2", "c_kind", "c_scalar"]
-    return (
-        date_leaves.select(*cols)
-        .unionByName(url_leaves.select(*cols))
-        .unionByName(domain_leaves.select(*cols))
-        .filter(F.col("c_kind") == "scalar")
-        .select("raw_id", "item_pos", "field", "pos1", "pos2", F.col("c_scalar").alias("value"))
-    )
+    mixed = F.max(kind == "array").over(Window.partitionBy("raw_id", "item_pos", "part"))
+    second = second.withColumn("flat", (part == "indexed") & ~mixed)
+    third = _step(second, nodes, (kind == "array") & (part != "content-domain"), F.lit(None))
+    inner = F.coalesce(F.col("ordinal"), F.when(F.col("flat"), F.col("pos1")).otherwise(0))
+    return third.filter(kind == "scalar").select(
+        "raw_id", "item_pos", F.concat_ws(".", part, label).alias("field"), F.when(F.col("flat"), 0).otherwise(F.col("pos1")).alias("pos1"),
+        inner.alias("pos2"), F.col("scalar").alias("value"),
+    )
 
 
 def entity_table(nodes: DataFrame, owners: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Pivots the scalar children of owner nodes (raw_id, at, any columns to keep) into one row per owner.
+    """Pivots the scalar children of owner nodes (raw_id, at, kind, scalar, any columns to keep) into one row per owner.
     columns: JSON label to column name. Owners without any of them keep a row of nulls."""
-    keep = [c for c in owners.columns if c not in ("raw_id", "at")]
-    kids = nodes.filter(F.col("label").isin(*columns) & (F.col("kind") == "scalar")).select(
-        "raw_id", F.col("parent").alias("at"), "label", "scalar"
-    )
-    return (
-        owners.join(kids, ["raw_id", "at"], "left")
-        .groupBy("raw_id", "at", *keep)
-        .agg(*(F.max(F.when(F.col("label") == k, F.col("scalar"))).alias(v) for k, v in columns.items()))
-    )
+    keep = [c for c in owners.columns if c not in ("raw_id", "at", "kind", "scalar")]
+    wanted = owners.withColumn("owner", F.col("at")).withColumn("label", F.explode(F.array(*(F.lit(k) for k in columns))))
+    kids = _step(wanted, nodes, F.lit(True), F.col("label"), keep=True)
+    value = F.when(F.col("kind") == "scalar", F.col("scalar"))
+    return kids.groupBy("raw_id", F.col("owner").alias("at"), *keep).agg(*(F.max(F.when(F.col("label") == k, value)).alias(v) for k, v in columns.items()))
 
 
 def shred(raw: DataFrame) -> DataFrame:
@@ -236,21 +211,17 @@ def work_table(nodes: DataFrame) -> DataFrame:
     ).withColumnRenamed("at", "work_node")
 
 
+def _listed(nodes: DataFrame, label: str) -> DataFrame:
+    """The objects listed under a label of each work, with their place."""
+    lists = _step(works(nodes).withColumn("work_node", F.col("at")), nodes, F.lit(True), F.lit(label))
+    return _elements(lists, nodes, "pos").filter(F.col("kind") == "object").drop("ordinal")
+
+
 def author_table(nodes: DataFrame) -> DataFrame:
     """One row per author object of a work, with its place in the list and the link to its work."""
-    w = works(nodes).withColumn("work_node", F.col("at"))
-    lists = _children(w, nodes, ["item_pos", "work_node"], F.col("label") == "author").drop("c_label", "c_ordinal")
-    each = _elements(lists, nodes, ["item_pos", "work_node"], "pos").filter(F.col("c_kind") == "object")
-    return entity_table(
-        nodes, each.select("raw_id", "at", "item_pos", "work_node", "pos"), {"given": "given", "family": "family", "name": "name", "sequence": "sequence"}
-    ).drop("at")
+    return entity_table(nodes, _listed(nodes, "author"), {"given": "given", "family": "family", "name": "name", "sequence": "sequence"}).drop("at")
 
 
 def reference_table(nodes: DataFrame) -> DataFrame:
     """One row per cited reference of a work, with its place in the list and the link to its work."""
-    w = works(nodes).withColumn("work_node", F.col("at"))
-    lists = _children(w, nodes, ["item_pos", "work_node"], F.col("label") == "reference").drop("c_label", "c_ordinal")
-    each = _elements(lists, nodes, ["item_pos", "work_node"], "pos").filter(F.col("c_kind") == "object")
-    return entity_table(
-        nodes, each.select("raw_id", "at", "item_pos", "work_node", "pos"), {"key": "key", "DOI": "doi", "year": "year", "unstructured": "unstructured"}
-    ).drop("at")
+    return entity_table(nodes, _listed(nodes, "reference"), {"key": "key", "DOI": "doi", "year": "year", "unstructured": "unstructured"}).drop("at")

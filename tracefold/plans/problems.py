@@ -21,15 +21,15 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_works(spark: SparkSession, d: str) -> DataFrame:
-    return shred.work_table(shred.shred(table(spark, d, "crossref_raw")))
+    return shred.work_table(shred.shred(table(spark, d, "crossref_raw"))).drop("work_node")
 
 
 def p3_authors(spark: SparkSession, d: str) -> DataFrame:
-    return shred.author_table(shred.shred(table(spark, d, "crossref_raw")))
+    return shred.author_table(shred.shred(table(spark, d, "crossref_raw"))).drop("work_node")
 
 
 def p3_references(spark: SparkSession, d: str) -> DataFrame:
-    return shred.reference_table(shred.shred(table(spark, d, "crossref_raw")))
+    return shred.reference_table(shred.shred(table(spark, d, "crossref_raw"))).drop("work_node")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_works, p3_authors, p3_references)}
@@ -59,6 +59,44 @@ WITH naming AS (
 )
 """
 
+#: The works of all replies; items are taken where they are objects, and a message's own fields where it has no items.
+_WORKS = """
+WITH replies AS (
+  SELECT raw_id, CAST(payload AS JSON) AS j FROM crossref_raw
+  WHERE payload IS NOT NULL AND json_valid(payload) AND json_type(payload) = 'OBJECT'
+), messages AS (
+  SELECT raw_id, CASE
+    WHEN NOT list_contains(json_keys(j), 'message') THEN j
+    WHEN json_type(j, '$.message') = 'OBJECT' THEN json_extract(j, '$.message')
+    WHEN json_type(j, '$.message') = 'VARCHAR' AND json_valid(json_extract_string(j, '$.message'))
+      THEN CAST(json_extract_string(j, '$.message') AS JSON) END AS m,
+    list_contains(json_keys(j), 'message') AS wrapped
+  FROM replies
+), works AS (
+  SELECT raw_id, 0 AS item_pos, m AS w FROM messages
+  WHERE json_type(m) = 'OBJECT' AND NOT (wrapped AND list_contains(json_keys(m), 'items'))
+  UNION ALL
+  SELECT raw_id, CAST(unnest(range(CAST(json_array_length(m, '$.items') AS BIGINT))) AS INT), unnest(CAST(json_extract(m, '$.items') AS JSON[]))
+  FROM messages WHERE json_type(m) = 'OBJECT' AND wrapped AND json_type(m, '$.items') = 'ARRAY'
+)
+"""
+
+
+def _value(of: str, label: str) -> str:
+    """A scalar under a label as text."""
+    path = f"$.\"{label}\""
+    return f"CASE WHEN json_type({of}, '{path}') NOT IN ('NULL', 'OBJECT', 'ARRAY') THEN json_extract_string({of}, '{path}') END"
+
+
+def _listed(label: str, columns: dict[str, str]) -> str:
+    return _WORKS + f"""
+, lists AS (SELECT raw_id, item_pos, json_extract(w, '$.{label}') AS l FROM works WHERE json_type(w) = 'OBJECT' AND json_type(w, '$.{label}') IN ('ARRAY', 'OBJECT')),
+each AS (SELECT raw_id, item_pos, CASE WHEN json_type(l) = 'ARRAY' THEN CAST(l AS JSON[]) ELSE [l] END AS es FROM lists),
+one AS (SELECT raw_id, item_pos, CAST(unnest(range(len(es))) AS INT) AS pos, unnest(es) AS e FROM each)
+SELECT raw_id, item_pos, pos, {", ".join(f"{_value('e', k)} AS {v}" for k, v in columns.items())}
+FROM one WHERE json_type(e) = 'OBJECT'"""
+
+
 SQL = {
     "p1_found": _ORPHANS + "SELECT source_table, row_id, target_key, kind, period FROM cases WHERE kind IS NOT NULL",
     "p1_report": _ORPHANS
@@ -105,4 +143,10 @@ SELECT raw_id, CAST(item_pos AS INT) AS item_pos, field, CAST(pos1 AS INT) AS po
        json_extract_string(v, '$') AS value
 FROM leaves WHERE v IS NOT NULL AND json_type(v) NOT IN ('NULL', 'OBJECT', 'ARRAY')
 """,
+    "p3_works": _WORKS
+    + "SELECT raw_id, item_pos, "
+    + ", ".join(f"{_value('w', k)} AS {v}" for k, v in {"DOI": "doi", "type": "type", "publisher": "publisher", "issue": "issue", "volume": "volume"}.items())
+    + " FROM works WHERE json_type(w) = 'OBJECT'",
+    "p3_authors": _listed("author", {"given": "given", "family": "family", "name": "name", "sequence": "sequence"}),
+    "p3_references": _listed("reference", {"key": "key", "DOI": "doi", "year": "year", "unstructured": "unstructured"}),
 }
