@@ -91,5 +91,5 @@ def test_rows_of_a_hot_key_are_spread(spark):
     rows = spark.createDataFrame([(1 if i % 3 else i + 10, i) for i in range(300)] + [(None, 999)], "k long, row long")
     keyed = rows.groupBy("k").count().withColumnRenamed("count", "n").withColumn("v", rows.k * 2)
     for share in (1, 3, 1000):
-        got = spread_join(rows, keyed.filter("k is not null"), "k", "n", "row", share).collect()
+        got = spread_join(rows, keyed.filter("k is not null"), ["k"], "n", "row", share).collect()
         assert sorted((r.k, r.row, r.v) for r in got) == sorted((1 if i % 3 else i + 10, i, 2 * (1 if i % 3 else i + 10)) for i in range(300))

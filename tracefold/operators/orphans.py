@@ -105,7 +105,7 @@ def orphan_references(claims: DataFrame, refs: DataFrame) -> DataFrame:
     keys = open_keys(key_state(fold_deltas(change_deltas(claims, refs))))
     keys = written(keys.select(key, *(F.col(c).alias(f"k_{c}") for c in KEYS), "refs", "inserted", "existing", "usable_at"), "open-keys")
     naming = naming_rows(claims, "ledger_claims", "ref_ids").unionByName(naming_rows(refs, "bib_refs", "cited_by_claims"))
-    found = spread_join(naming.select(key, "*"), keys, "key", "refs", "row_id")
+    found = spread_join(naming.select(key, "*"), keys, ["key"], "refs", "row_id")
     same = [F.col(f"k_{c}").eqNullSafe(F.col(c)) for c in KEYS]  # the join is on the keys' hash
     return (
         found.filter(same[0] & same[1] & same[2])
