@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tracefold.llm import entities, names, pii
-from tracefold.llm.reference_parts import FIELDS, VenueFinder, parts_of
+from tracefold.llm.reference_parts import LABELLED, VenueFinder, parts_of
 
 PIECES = st.sampled_from(
     ["Ann", " ", ",", ".", "de", "al-", "von", "AB", "É", "ß", "İ", "­", " ", "\n", "(", ")", "12", "1999", "pp.", "vol.", "no", "doi:10.1234/ab.1999.1", "arXiv:1234.56789",
@@ -18,7 +18,7 @@ FINDER = VenueFinder(["Annals of Open Studies", ""])
 @given(TEXTS, st.one_of(st.none(), TEXTS), st.one_of(st.none(), st.lists(st.one_of(st.none(), TEXTS), max_size=3)))
 def test_reference_parts(raw, title, authors):
     got = parts_of(raw, title, authors, FINDER)
-    assert len(got) == len(FIELDS) and all(isinstance(x, str) for x in got[1:])
+    assert len(got) == len(LABELLED) + 1 and all(isinstance(x, str) for x in got[1:])
 
 
 @settings(max_examples=400, deadline=None)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import ahocorasick
 
-#: Parts of a reference, in the order of the fields of `parts_of`.
-FIELDS = ("text", "year", "venue", "volume", "pages", "identifier", "accessed")
+#: Parts of a reference that have a label or shape, in the order of `parts_of`.
+LABELLED = ("year", "venue", "volume", "pages", "identifier", "accessed")
 
 _SUFFIX = r"10\W?\d{4,5}\W?(?:[a-z]{2,12}\W?(?:1[89]|20)\d\d\W?\d{1,7}|\S*?(?=[\s,;|\"”»“]|$))"
 _IDENTIFIER = re.compile(
@@ -36,24 +37,28 @@ def letters(text: str | None) -> str:
 
 
 class VenueFinder:
-    """Finds the longest known venue name or abbreviation in a text of letters and digits."""
+    """Finds the longest known venue name or abbreviation in a text of letters and digits. Names of few letters, such as
+    "Cell", count only as whole words."""
+
+    SHORT = 6
 
     def __init__(self, names: list[str]):
         self.found = ahocorasick.Automaton()
         for n in {letters(x) for x in names}:
-            if len(n) >= 6:
+            if n:
                 self.found.add_word(n, len(n))
         self.empty = len(self.found) == 0
         if not self.empty:
             self.found.make_automaton()
 
-    def find(self, text: str) -> tuple[int, int] | None:
+    def find(self, text: str, whole: Callable[[int, int], bool], start: int = 0, end: int | None = None) -> tuple[int, int] | None:
+        """The name's span between start and end; `whole` tells whether a span begins and ends at word ends."""
         if self.empty:
             return None
         best = None
-        for end, n in self.found.iter(text):
-            if best is None or n > best[1] - best[0]:
-                best = (end + 1 - n, end + 1)
+        for last, n in self.found.iter(text, start, len(text) if end is None else end):
+            if (best is None or n > best[1] - best[0]) and (n >= self.SHORT or whole(last + 1 - n, last + 1)):
+                best = (last + 1 - n, last + 1)
         return best
 
 
@@ -126,12 +131,12 @@ def parts_of(raw: str | None, title: str | None, authors: list[str | None] | Non
 
     found: list[str] = []
     name = letters(title)
-    span = venues.find(stream)
+    whole = lambda x, y: _edges(s, at, x, y)
+    span = venues.find(stream, whole)
     a = stream.find(name) if name else -1
     # A title may hold a venue's words; then the venue is looked for outside of it.
     if a >= 0 and span and a <= span[0] and span[1] <= a + len(name):
-        inside = venues.find(stream[a + len(name) :])
-        span = (inside[0] + a + len(name), inside[1] + a + len(name)) if inside else venues.find(stream[:a])
+        span = venues.find(stream, whole, a + len(name)) or venues.find(stream, whole, 0, a)
     venue = cut(span)
     if name:
         while a >= 0 and not (free(a, a + len(name)) and _edges(s, at, a, a + len(name))):
@@ -175,20 +180,9 @@ def parts_of(raw: str | None, title: str | None, authors: list[str | None] | Non
             elif x and (t := letters(x)):
                 found.append(t)
     year, volume, pages = _numbers(zones)
-    if title is None:
-        # Nothing tells for certain where authors end, so the two texts count as a ring.
-        found = [_ring("".join(found) if len(found) < 3 else "".join(sorted(found)))]
     return found, year, venue, volume, pages, identifier, accessed
 
 
-def _ring(text: str) -> str:
-    """The least rotation: the same for AB and BA."""
-    if not text:
-        return ""
-    first, twice, n = min(text), text + text, len(text)
-    return min(twice[i : i + n] for i, c in enumerate(text) if c == first)
-
-
 def _edges(s: str, at: list[int], a: int, b: int) -> bool:
     """Whether the span begins and ends at word ends of the printed text."""
     before, after = at[a] - 1, at[b - 1] + 1
