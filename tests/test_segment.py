@@ -56,7 +56,7 @@ def test_entry_ids(spark):
 
 @pytest.mark.parametrize(
     "text,numbers",
-    [("x [1] y [2, 3] z [1-3]", [1, 2, 3]), ("[4–6; 9]", [4, 5, 6, 9]), ("[Fig. 1]", []), ("[9-2] [0-3] [1-200]", []), (None, None), ("[3, 3]", [3]), ("[12345678901]", [])],
+    [("x [1] y [2, 3] z [1-3]", [1, 2, 3]), ("[4–6; 9]", [4, 5, 6, 9]), ("[Fig. 1]", []), ("[9-2] [0-3] [1-200]", []), (None, None), ("[3, 3]", [3]), ("[12345678901]", []), ("[1 2]", []), ("[1000-1050]", []), ("[1 - 3]", [1, 2, 3]), ("[3, 1 , 2]", [3, 1, 2])],
 )
 def test_markers(spark, text, numbers):
     assert one(spark, segment.marker_numbers(F.col("t")), text) == numbers
@@ -94,9 +94,28 @@ def test_running_heads(spark):
 def test_repairs(spark):
     from tracefold.functions import repair
 
-    assert one(spark, repair.dehyphenate(F.col("t")), "exam-\nple pre-\nand post 10-\n12 so\u00adft") == "example pre-\nand post 10-\n12 soft"
-    assert one(spark, repair.repair_doi(F.col("t")), "doi: 10. 1234 / ab") == "doi:10.1234/ab"
-    assert one(spark, repair.compose_accents(F.col("t")), "cafe\u0301") == "caf\u00e9"
-    assert one(spark, repair.tidy_punctuation(F.col("t")), "As said [ ] , twice () ; . . Yes ( so ) .") == "As said, twice. Yes (so)."
-    for f in (repair.dehyphenate, repair.repair_doi, repair.compose_accents, repair.tidy_punctuation):
-        assert one(spark, f(F.col("t")), None) is None
+    assert one(spark, repair.dehyphenate(F.col("t")), "exam-\nple amplitude- and fluctuation-based rule- based 10-\n12 Re-\nad") == "example amplitude- and fluctuation-based rule- based 10-\n12 Read"
+    assert one(spark, repair.repair_doi(F.col("t")), "DOI:  10.3390/ e10030261, 10.1021/acs.chemrev. 9b00829. 10.1234/ab. 9 x") == "doi:10.3390/e10030261, 10.1021/acs.chemrev.9b00829. 10.1234/ab. 9 x"
+    assert one(spark, repair.compose_accents(F.col("t")), "cafe\u0301 S\u00b4mieja C\u02c7ech") == "caf\u00e9 \u015amieja \u010cech"
+
+
+@pytest.mark.parametrize(
+    "text,tidy",
+    [
+        ("An algorithm proposed in @. It", "An algorithm. It"), ("as used in @, and", "as used, and"), ("found in @ and the references therein", "found in the references therein"),
+        ("See, e.g., @ for references on", "See, e.g., references on"), ("so (see @) it", "so it"), ("words @ and @.", "words and."), ("no ( ) bracket , here .", "no ( ) bracket , here ."),
+    ],
+)
+def test_tidy(spark, text, tidy):
+    from tracefold.functions import repair
+
+    assert one(spark, repair.tidy_punctuation(F.col("t")), text.replace("@", repair.DELETED)) == tidy
+
+
+@pytest.mark.parametrize("line", ["References.", "7.References", "VI Bibliography", "  12. works cited ", "IV.LITERATURE CITED."])
+def test_headings(spark, line):
+    assert one(spark, F.col("t").rlike(segment.HEADING), line) and not one(spark, F.col("t").rlike(segment.HEADING), line + " at the end")
+
+
+def test_reflow(spark):
+    assert one(spark, segment.reflow(F.col("t")), "We saw 12 Cases here. 2.1 Methods were\n• one • two 3.2.1 End") == ["We saw 12 Cases here.", "2.1 Methods were", "• one", "• two", "3.2.1 End"]

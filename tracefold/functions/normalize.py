@@ -1,6 +1,6 @@
 """Identifiers, titles and names in comparable form, and how far two of them agree.
 
-Everything is a Column of built-in functions but for two Arrow functions: Unicode decomposition, which only sees
+Everything is a Column of built-in functions but for Arrow functions: Unicode decomposition, which only sees
 values that aren't plain ASCII, and the Gestalt ratio, which only sees pairs that aren't equal or empty.
 """
 
@@ -13,7 +13,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 ARXIV_DOI = r"(?i)10\.48550/arxiv\.(\S+)"
 
@@ -65,36 +65,35 @@ def sorted_similarity(a: Column, b: Column) -> Column:
     return F.when(~some, 0.0).when(a == b, 1.0).otherwise(F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), ratio)), 4))
 
 
-def _surname_of(clean: Column, words: Column) -> Column:
-    last = F.element_at(words, -1)
-    return (
-        F.when(F.contains(clean, F.lit(",")), F.element_at(F.split(F.trim(F.split_part(clean, F.lit(","), F.lit(1))), r"\s+"), -1))
-        .when(F.size(words) <= 1, clean)
-        .when(F.regexp_replace(last, r"\.", "").rlike(r"^[\p{Lu}-]{1,3}$"), F.element_at(words, -2))
-        .otherwise(last)
-    )
-
+@F.pandas_udf(ArrayType(StringType()))
+def _decomposed_each(column: pd.Series) -> pd.Series:
+    return column.map(lambda names: [_decompose(n) for n in names], na_action="ignore")
 
-def surname(author: Column) -> Column:
-    """Of "Family, Given": the last word before the comma; a trailing word of up to three capitals is initials; else
-    the last word. Null if nothing is left."""
-    clean = F.trim(author)
-    return F.nullif(_surname_of(clean, F.split(clean, r"\s+")), F.lit(""))
 
-
-# Letters that decompose into a plain one and a mark, and the plain one, place by place.
-_ACCENTED = "àáâãäåāçćčďèéêëēěíìîïīñńňòóôõöōřśšșťțùúûüūůýÿžźż"
-_FOLDED = "aaaaaaacccdeeeeeeiiiiinnnoooooorsssttuuuuuuyyzzz"
+def _comparable_each(names: Column) -> Column:
+    """normalise_text of every element; arrays of plain ASCII don't leave the JVM."""
+    plain = F.transform(names, lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")))
+    ascii_only = F.array_join(names, " ").rlike(r"^[\x00-\x7F]*$")
+    return F.when(ascii_only, plain).otherwise(_decomposed_each(F.when(~ascii_only, names)))
 
 
 def surnames(authors: Column) -> Column:
-    """Distinct comparable surnames of a list, sorted; null and empty names are left out, a null list is empty."""
+    """Distinct comparable surnames of a list, sorted. Of "Family, Given" the last comparable word before the comma; of
+    several words the last comparable one of the last word, or the word before it whole if the last is up to three
+    capitals, which are initials; a single word whole. Null and empty names are left out, a null list is empty."""
     # Each step binds its result for the next: a lambda would else evaluate the words once per use.
-    clean = F.transform(F.coalesce(authors, F.array().cast("array<string>")), F.trim)
+    clean = F.filter(F.transform(F.coalesce(authors, F.array().cast("array<string>")), lambda c: F.trim(c)), lambda c: c != "")
     worded = F.transform(clean, lambda c: F.struct(c.alias("c"), F.split(c, r"\s+").alias("w")))
-    chosen = F.transform(worded, lambda x: F.lower(_surname_of(x["c"], x["w"])))
-    keys = F.transform(chosen, lambda c: F.trim(F.regexp_replace(F.translate(c, _ACCENTED, _FOLDED), "[^a-z0-9]+", " ")))
-    return F.array_sort(F.array_distinct(F.filter(keys, lambda k: k.isNotNull() & (k != ""))))
+    told = F.transform(
+        worded, lambda x: F.struct(x["c"].alias("c"), x["w"].alias("w"), F.contains(x["c"], F.lit(",")).alias("comma"), F.regexp_replace(F.element_at(x["w"], -1), r"\.+$", "").alias("tail"))
+    )
+    initials = lambda x: x["tail"].rlike(r"^\p{Lu}{1,3}$")
+    chosen = F.transform(
+        told, lambda x: F.when(x["comma"], F.split_part(x["c"], F.lit(","), F.lit(1))).when(F.size(x["w"]) == 1, x["c"]).when(initials(x), F.try_element_at(x["w"], F.lit(-2))).otherwise(x["tail"])
+    )
+    last = F.transform(told, lambda x: x["comma"] | ((F.size(x["w"]) > 1) & ~initials(x)))
+    keys = F.zip_with(_comparable_each(chosen), last, lambda k, one: F.when(one, F.element_at(F.split(k, " "), -1)).otherwise(k))
+    return F.array_sort(F.array_distinct(F.filter(keys, lambda k: k != "")))
 
 
 def author_overlap(a: Column, b: Column) -> Column:
@@ -149,6 +148,11 @@ def is_printed(identifier: Column, entry: Column) -> Column:
     return (bare != "") & (F.contains(within, bare) | F.contains(within, F.regexp_replace(bare, r"v\d+$", "")))
 
 
+def printed_or_null(identifier: Column, entry: Column) -> Column:
+    """An identifier if it stands in the printed entry, else null: what no one can point to on the page was made up."""
+    return F.when(is_printed(identifier, entry), identifier)
+
+
 def request_key(url: Column, params: Column, schema_version: int) -> Column:
     """SHA-256 of the request with its parameters in order of name; the version is a part of the key."""
     ordered = F.map_from_entries(F.array_sort(F.map_entries(params)))

@@ -36,6 +36,30 @@ def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
 
 
+def unflagged_retractions(entries: DataFrame, key: str) -> DataFrame:
+    """Keys of entries whose record is retracted and whose indicators don't say so."""
+    said = F.coalesce(F.array_contains("indicators", "retracted"), F.lit(False))
+    return entries.filter(F.coalesce("is_retracted", F.lit(False)) & ~said).select(key)
+
+
+def misaligned(entries: DataFrame, key: list[str], parts: list[str]) -> DataFrame:
+    """Entries whose parts, such as reference and verdict, name different ids; a missing part differs from any id."""
+    same = F.lit(True)
+    for p in parts[1:]:
+        same = same & F.col(parts[0]).eqNullSafe(F.col(p))
+    return entries.filter(~same).select(*key, *parts)
+
+
+def dropped(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """(first key, entries, kept, complete): per group how many distinct entries there were and how many came out; a
+    step may add nothing and leave out nothing."""
+    group, *rest = keys
+    a = before.select(*keys).dropDuplicates().withColumn("b", F.lit(1))
+    both = a.join(after.select(*keys).dropDuplicates().withColumn("a", F.lit(1)), keys, "full_outer")
+    counted = both.groupBy(group).agg(F.count("b").alias("entries"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("kept"), F.count_if(F.col("b").isNull()).alias("added"))
+    return counted.select(group, "entries", "kept", ((F.col("kept") == F.col("entries")) & (F.col("added") == 0)).alias("complete"))
+
+
 def strict(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """The same rows; the job fails at the first row that breaks a rule."""
     broken = F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in rules.items())))

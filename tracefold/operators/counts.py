@@ -33,15 +33,27 @@ def coverage(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, 0.0).otherwise(F.round(part / whole, 4))
 
 
-def headline(verdicts: DataFrame) -> DataFrame:
-    total, verified = F.count(F.lit(1)), F.count_if(F.col("status") == "verified")
-    return verdicts.groupBy("ledger_id").agg(
+def headline(verdicts: DataFrame, resolved: DataFrame, claims: DataFrame) -> DataFrame:
+    """Counts per ledger. resolved: (ledger_id, ref_id) of references with a record; coverage is the share of entries
+    with one. claims: the ledgers' claims."""
+    found = resolved.select("ledger_id", "ref_id", F.lit(True).alias("found")).dropDuplicates(["ledger_id", "ref_id"])
+    total, verified, known = F.count(F.lit(1)), F.count_if(F.col("status") == "verified"), F.count_if("found")
+    per = verdicts.join(found, ["ledger_id", "ref_id"], "left").groupBy("ledger_id").agg(
         total.alias("total"),
         (total - verified).alias("worth_checking"),
         verified.alias("verified"),
-        coverage(F.count_if(F.col("status") != "unresolvable").cast("double"), total).alias("coverage"),
+        known.alias("resolved"),
+        coverage(known.cast("double"), total).alias("coverage"),
         F.countDistinct("judge_model").alias("judges"),
     )
+    said = claims.groupBy("ledger_id").agg(F.count(F.lit(1)).alias("claims"))
+    return per.join(said, "ledger_id", "left").fillna({"claims": 0})
+
+
+def shared_ids(rows: DataFrame, column: str) -> DataFrame:
+    """(ids, rows, not_in_pairs): distinct ids of all rows, rows with one, and ids that other than two rows share."""
+    each = rows.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    return each.agg(F.count(F.lit(1)).alias("ids"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count_if(F.col("n") != 2).alias("not_in_pairs"))
 
 
 def status_shares(verdicts: DataFrame) -> DataFrame:

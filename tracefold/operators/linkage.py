@@ -172,16 +172,25 @@ def _flags(refs: DataFrame, claims: DataFrame, sources: DataFrame, resolved: Dat
     return refs.select("row_id").join(lone, "row_id", "left").join(twins, "row_id", "left"), signals(refs, sources, resolved).join(gone, "source_id")
 
 
-def indicators(refs: DataFrame, claims: DataFrame, sources: DataFrame, resolved: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(row_id, indicators): orphan, duplicate_entry, retracted, doi_mismatch, version_mismatch, in this order, joined
-    by commas. A null signal fires nothing."""
+def indicators(
+    refs: DataFrame, claims: DataFrame, sources: DataFrame, resolved: DataFrame, settings: Settings = Settings(), malformed: DataFrame | None = None
+) -> DataFrame:
+    """(row_id, indicators, notes): malformed, orphan, duplicate_entry, retracted, doi_mismatch, version_mismatch, in
+    this order, joined by commas, and in words why. A null signal fires nothing. malformed: (row_id) of the references
+    that extraction could not read; a reference without a title isn't one of them by that alone."""
     flags, s = _flags(refs, claims, sources, resolved)
     mixed = F.col("is_preprint").isNotNull() & (F.col("title_similarity") >= settings.title_strong) & (F.col("printed_preprint") != F.col("is_preprint"))
     told = s.select("row_id", "gone", (F.col("doi_match") == F.lit(False)).alias("other_doi"), mixed.alias("mixed"))
     flag = lambda c, name: F.when(F.coalesce(F.col(c), F.lit(False)), F.lit(name))
     joined = flags.join(told, "row_id", "left")
-    names = [("orphan", "orphan"), ("twin", "duplicate_entry"), ("gone", "retracted"), ("other_doi", "doi_mismatch"), ("mixed", "version_mismatch")]
-    return joined.select("row_id", F.concat_ws(",", *(flag(c, n) for c, n in names)).alias("indicators"))
+    if malformed is None:
+        joined = joined.withColumn("unread", F.lit(False))
+    else:
+        joined = joined.join(malformed.select("row_id", F.lit(True).alias("unread")).dropDuplicates(), "row_id", "left")
+    names = [("unread", "malformed"), ("orphan", "orphan"), ("twin", "duplicate_entry"), ("gone", "retracted"), ("other_doi", "doi_mismatch"), ("mixed", "version_mismatch")]
+    why = [("unread", "the entry could not be read"), ("orphan", "no citation leads here"), ("twin", "same title and year as another entry, other details"),
+           ("gone", "the record is retracted"), ("other_doi", "printed and registered DOI differ"), ("mixed", "preprint against published version")]
+    return joined.select("row_id", F.concat_ws(",", *(flag(c, n) for c, n in names)).alias("indicators"), F.concat_ws("; ", *(flag(c, n) for c, n in why)).alias("notes"))
 
 
 def first_match(rules: list[tuple[Column, Column]], otherwise: Column) -> Column:

@@ -19,7 +19,7 @@ from tracefold.functions.normalize import mask_digits
 
 # Line ends that count as such anywhere, headings, markers.
 NEWLINE = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
-HEADING = r"(?i)^\s*((\d+|[ivxlc]+)\.?\s+)?(references|bibliography|works cited|literature cited)\s*$"
+HEADING = r"(?i)^\s*((\d+|[ivxlc]+)\.?\s*)?(references|bibliography|works cited|literature cited)\.?\s*$"
 BRACKETED = r"^\s*\[(\d{1,3})\]\s+\S"
 NUMBERED = r"^\s*(\d{1,3})[.)]\s+\S"
 MARKER = r"\[(\d[\d\s,;–—-]*)\]"
@@ -150,14 +150,15 @@ def sentences(text: Column) -> Column:
 
 def marker_numbers(text: Column) -> Column:
     """Distinct reference numbers cited in a text, in first-seen order: "1, 3-5" is 1, 3, 4, 5. A range that runs
-    backwards, starts at 0 or spans a hundred or more gives nothing."""
+    backwards, starts at 0, has more than three digits or spans a hundred or more gives nothing, nor do numbers with
+    blanks alone between them."""
     dash = "[-–—]"
     parts = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(MARKER), F.lit(1)), lambda g: F.split(g, "[,;]")))
 
     def numbers(part: Column) -> Column:
-        p = F.regexp_replace(part, r"\s", "")
-        a = F.regexp_extract(p, rf"^(\d{{1,9}}){dash}(\d{{1,9}})$", 1)
-        b = F.regexp_extract(p, rf"^(\d{{1,9}}){dash}(\d{{1,9}})$", 2)
+        p = F.trim(F.regexp_replace(part, r"\s+", " "))
+        a = F.regexp_extract(p, rf"^(\d{{1,3}}) ?{dash} ?(\d{{1,3}})$", 1)
+        b = F.regexp_extract(p, rf"^(\d{{1,3}}) ?{dash} ?(\d{{1,3}})$", 2)
         none = F.array().cast("array<int>")
         low, high = F.nullif(a, F.lit("")).cast("int"), F.nullif(b, F.lit("")).cast("int")
         good = (low > 0) & (low <= high) & (high - low < 100)
@@ -184,9 +185,10 @@ def claims(docs: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def reflow(text: Column) -> Column:
-    """Paragraphs of a text that lost its breaks: cut before section numbers and bullets."""
+    """Paragraphs of a text that lost its breaks: cut before dotted section numbers with a capital behind, and bullets."""
     flat = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return F.split(flat, r"\s+(?=\d{1,2}(?:\.\d{1,2})*\.? [A-Z][a-z]|[•▪‣] )")
+    parts = F.split(flat, r"(?<![\d.])(?=\d+(?:\.\d+)+ [A-Z])|(?=• )")
+    return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
 
 
 def remapped_markers(text: Column, new_number) -> Column:

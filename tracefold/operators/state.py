@@ -6,41 +6,62 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row per key by the order columns, nulls first. A running maximum of one struct, so a key of any size
-    costs each map task one row; there is no sort or window over the group."""
-    rest = [c for c in df.columns if c not in keys and c not in order]
+def latest(df: DataFrame, keys: list[str], order: list[str], columns: list[str] | None = None) -> DataFrame:
+    """The last row per key by the order columns, nulls first, with `columns` (all of them by default): ask only for
+    what is needed, as nothing else is read or shuffled. A running maximum, so a key of any size costs each map task one
+    row; there is no window over the group.
+
+    With the order columns alone, a time and an id, the maximum is one number of fixed width and the aggregate hashes.
+    """
+    rest = [c for c in df.columns if c not in keys and c not in order] if columns is None else [c for c in columns if c not in keys and c not in order]
+    if not rest and [df.schema[c].dataType.typeName() for c in order] == ["timestamp", "long"]:
+        return _newest(df, keys, *order)
     newest = F.max_by(F.struct(*order, *rest), F.struct(*order))
     return df.groupBy(*keys).agg(newest.alias("row")).select(*keys, *(F.col(f"row.{c}").alias(c) for c in [*order, *rest]))
 
 
+def _newest(df: DataFrame, keys: list[str], time: str, row: str) -> DataFrame:
+    """(keys, time, row) of the last row per key: microseconds and id as digits of one decimal."""
+    wide = "decimal(38,0)"
+    step, none = F.lit(1 << 64).cast(wide), F.lit(-(1 << 62)).cast("long")
+    digits = lambda c, low: F.coalesce(c, low).cast("decimal(19,0)")
+    rank = (digits(F.unix_micros(time), none).cast(wide) * step + digits(F.col(row), F.lit(-(1 << 63)).cast("long"))).cast(wide)
+    # The id is what is left of the nearest whole step, as it lies within half of one.
+    last = df.select(*keys, rank.alias("rank")).groupBy(*keys).agg(F.max("rank").alias("rank"))
+    micros = F.floor(((F.col("rank") + F.lit(1 << 63).cast(wide)) / step)).cast("long")
+    left = (F.col("rank") - micros.cast(wide) * step).cast("long")
+    return last.select(*keys, F.when(micros != none, F.timestamp_micros(micros)).alias(time), left.alias(row))
+
+
 def usable(df: DataFrame) -> DataFrame:
     return df.filter(F.col("deleted_at").isNull())
 
 
-def current_references(refs: DataFrame) -> DataFrame:
+def current_references(refs: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Of each (ledger, reference) the usable row that arrived last."""
-    return latest(usable(refs), ["ledger_id", "ref_id"], ["arrived_at", "row_id"])
+    return latest(usable(refs), ["ledger_id", "ref_id"], ["arrived_at", "row_id"], columns)
 
 
-def current_claims(claims: DataFrame) -> DataFrame:
-    return latest(usable(claims), ["ledger_id", "claim_id"], ["arrived_at", "row_id"])
+def current_claims(claims: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    return latest(usable(claims), ["ledger_id", "claim_id"], ["arrived_at", "row_id"], columns)
 
 
-def current_verdicts(verdicts: DataFrame) -> DataFrame:
-    return latest(verdicts, ["ledger_id", "ref_id"], ["judged_at", "verdict_id"])
+def current_verdicts(verdicts: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    return latest(verdicts, ["ledger_id", "ref_id"], ["judged_at", "verdict_id"], columns)
 
 
 def is_json_object(payload: Column) -> Column:
     return F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json(payload)), F.lit("OBJECT")), F.lit(False))
 
 
-def cache_get(responses: DataFrame, now: Column, ttl_hours: float) -> DataFrame:
-    """The last stored reply per key if it is a JSON object and not strictly older than the time to live. Older rows
-    stay stored, so a longer time to live finds them again at once."""
-    last = latest(responses, ["cache_key"], ["fetched_at", "raw_id"])
+def cache_get(responses: DataFrame, now: Column, ttl_hours: float, payload: bool = False) -> DataFrame:
+    """(cache_key, raw_id, fetched_at): the last stored reply per key if it is a JSON object and not strictly older than
+    the time to live. Older rows stay stored, so a longer time to live finds them again at once. Payloads are looked at
+    where they are read and stay there, unless asked for."""
+    seen = responses.select("cache_key", "raw_id", "fetched_at", is_json_object(F.col("payload")).alias("good"), *(["payload"] if payload else []))
+    last = latest(seen, ["cache_key"], ["fetched_at", "raw_id"], ["good", *(["payload"] if payload else [])])
     age = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("fetched_at").cast("timestamp"))) / 3.6e9
-    return last.filter((age <= ttl_hours) & is_json_object(F.col("payload")))
+    return last.filter((age <= ttl_hours) & F.col("good")).drop("good")
 
 
 def cache_misses(wanted: DataFrame, hits: DataFrame) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tracefold.config import INDICATORS, STATUSES, Settings
 from tracefold.functions import normalize as N
 from tracefold.operators import constraints, counts, linkage, state
 from tracefold.session import table, written
-from tracefold.sources import files, payloads
+from tracefold.sources import files, payloads, replies
 
 SETTINGS = Settings()
 #: Length of each ledger's reviewer worklist.
@@ -48,16 +49,14 @@ def _text(c: str) -> str:
     return f"trim(regexp_replace(strip_accents(lower(coalesce({c}, ''))), '[^a-z0-9]+', ' ', 'g'))"
 
 
-def _surname(a: str) -> str:
-    words = f"regexp_split_to_array(trim({a}), '\\s+')"
-    return f"""CASE WHEN contains({a}, ',') THEN regexp_split_to_array(trim(split_part(trim({a}), ',', 1)), '\\s+')[-1]
-      WHEN len({words}) <= 1 THEN trim({a})
-      WHEN regexp_full_match(replace({words}[-1], '.', ''), '[\\p{{Lu}}-]{{1,3}}') THEN {words}[-2]
-      ELSE {words}[-1] END"""
-
-
 def _surnames(c: str) -> str:
-    key = f"trim(regexp_replace(strip_accents(lower({_surname('a')})), '[^a-z0-9]+', ' ', 'g'))"
+    """Last comparable word before a comma or of the last word; all of a single word, and of the one before initials."""
+    words = "regexp_split_to_array(trim(a), '\\s+')"
+    tail = f"regexp_replace({words}[-1], '\\.+$', '')"
+    initials = f"regexp_full_match({tail}, '\\p{{Lu}}{{1,3}}')"
+    last = lambda x: f"string_split({_text(x)}, ' ')[-1]"
+    comma = "split_part(trim(a), ',', 1)"
+    key = f"CASE WHEN contains(a, ',') THEN {last(comma)} WHEN len({words}) = 1 THEN {_text('a')} WHEN {initials} THEN {_text(words + '[-2]')} ELSE {last(tail)} END"
     return f"list_sort(list_distinct(list_filter(list_transform(coalesce({c}, []), lambda a: {key}), lambda k: k IS NOT NULL AND k <> '')))"
 
 
@@ -66,7 +65,7 @@ def _surnames(c: str) -> str:
 
 @query(f"WITH {_CURRENT} SELECT ledger_id, ref_id, row_id, arrived_at FROM cur")
 def c00_current_references(spark: SparkSession, d: str) -> DataFrame:
-    return state.current_references(table(spark, d, "bib_refs").select("ledger_id", "ref_id", "row_id", "arrived_at", "deleted_at")).drop("deleted_at")
+    return state.current_references(table(spark, d, "bib_refs"), [])
 
 
 @query("""
@@ -165,13 +164,13 @@ def pred_p05_printed_identifiers(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_CURRENT} SELECT ledger_id, ref_id, count(*) AS claims, min(claim_id) AS first_claim FROM cit GROUP BY ledger_id, ref_id")
 def j06_citation_inversion(spark: SparkSession, d: str) -> DataFrame:
-    return linkage.citing_claims(state.current_claims(table(spark, d, "ledger_claims")))
+    return linkage.citing_claims(_claims(spark, d))
 
 
 @query(f"WITH {_CURRENT} SELECT row_id, ledger_id, ref_id FROM cur ANTI JOIN cit USING (ledger_id, ref_id)")
 def j05_uncited_references(spark: SparkSession, d: str) -> DataFrame:
-    refs = state.current_references(table(spark, d, "bib_refs"))
-    return linkage.uncited(refs, state.current_claims(table(spark, d, "ledger_claims"))).select("row_id", "ledger_id", "ref_id")
+    refs = state.current_references(table(spark, d, "bib_refs"), [])
+    return linkage.uncited(refs, _claims(spark, d)).select("row_id", "ledger_id", "ref_id")
 
 
 _RESOLVE = f"""
@@ -198,15 +197,23 @@ WITH {_CURRENT}, reg AS (
 """
 
 
-def _resolved(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    refs = state.current_references(table(spark, d, "bib_refs"))
+#: Columns of a reference that lookups and signals ask for.
+ASKED = ["title", "authors", "year", "doi", "arxiv_id"]
+
+
+def _claims(spark: SparkSession, d: str) -> DataFrame:
+    return state.current_claims(table(spark, d, "ledger_claims"), ["ref_ids"])
+
+
+def _resolved(spark: SparkSession, d: str, columns: list[str] = ASKED) -> tuple[DataFrame, DataFrame, DataFrame]:
+    refs = state.current_references(table(spark, d, "bib_refs"), columns)
     sources = table(spark, d, "resolved_sources")
     return refs, sources, linkage.resolve(refs, sources)
 
 
 @query(_RESOLVE + "SELECT row_id, source_id, branch FROM resolved")
 def j01_resolver_waterfall(spark: SparkSession, d: str) -> DataFrame:
-    return _resolved(spark, d)[2]
+    return _resolved(spark, d, ["title", "doi", "arxiv_id"])[2]
 
 
 @query(f"""
@@ -230,7 +237,7 @@ keyed AS (
 
 @query(f"WITH {_CURRENT}, {_TWINS} SELECT row_id, sibling FROM twins")
 def j04_divergent_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    return linkage.divergent_duplicates(state.current_references(table(spark, d, "bib_refs")))
+    return linkage.divergent_duplicates(state.current_references(table(spark, d, "bib_refs"), ASKED))
 
 
 _SIGNALS = f"""
@@ -261,8 +268,9 @@ def m03_title_similarity(spark: SparkSession, d: str) -> DataFrame:
 def d01_indicators(spark: SparkSession, d: str) -> DataFrame:
     """Uses the Gestalt ratio; its other parts have SQL of their own above."""
     refs, sources, resolved = _resolved(spark, d)
-    refs = written(refs.drop("raw_text", "recorded_at"), "references")
-    return linkage.indicators(refs, state.current_claims(table(spark, d, "ledger_claims")), sources, linkage.resolve(refs, sources), SETTINGS)
+    refs = written(refs, "references")
+    unread = refs.filter(F.coalesce("title", "doi", "arxiv_id").isNull() & (F.coalesce(F.size("authors"), F.lit(0)) < 1) & F.col("year").isNull())
+    return linkage.indicators(refs, _claims(spark, d), sources, linkage.resolve(refs, sources), SETTINGS, unread.select("row_id"))
 
 
 @query(_RESOLVE.rstrip() + ", " + _TWINS.strip() + _SIGNALS + f"""
@@ -274,7 +282,7 @@ LEFT JOIN sig ON sig.row_id = cur.row_id LEFT JOIN ret ON ret.source_id = sig.so
 """)
 def d02_exact_indicators(spark: SparkSession, d: str) -> DataFrame:
     refs, sources, resolved = _resolved(spark, d)
-    return linkage.exact_indicators(refs, state.current_claims(table(spark, d, "ledger_claims")), sources, resolved)
+    return linkage.exact_indicators(refs, _claims(spark, d), sources, resolved)
 
 
 @query(f"""
@@ -283,7 +291,7 @@ WITH {_CURRENT} SELECT ledger_id, ref_id, CASE WHEN side = 'e' THEN 'expected on
   UNION ALL SELECT DISTINCT ledger_id, ref_id, 'o' FROM ver ANTI JOIN cur USING (ledger_id, ref_id))
 """)
 def j08_reconciliation(spark: SparkSession, d: str) -> DataFrame:
-    refs = state.current_references(table(spark, d, "bib_refs").select("ledger_id", "ref_id", "arrived_at", "row_id", "deleted_at"))
+    refs = state.current_references(table(spark, d, "bib_refs"), [])
     return counts.reconcile(refs, table(spark, d, "verdicts"), ["ledger_id", "ref_id"])
 
 
@@ -307,20 +315,27 @@ _INDICATOR = _VOCABULARY.format(", ".join(f"'{s}'" for s in INDICATORS), "indica
 
 @query(f"WITH {_CURRENT} SELECT l.ledger_id, s.status, count(ver.verdict_id) AS n FROM (SELECT DISTINCT ledger_id FROM ver) l CROSS JOIN {_STATUS} s LEFT JOIN ver ON ver.ledger_id = l.ledger_id AND ver.status = s.status GROUP BY ALL")
 def a01_summary_counts(spark: SparkSession, d: str) -> DataFrame:
-    return counts.summary_counts(state.current_verdicts(table(spark, d, "verdicts")))
+    return counts.summary_counts(state.current_verdicts(table(spark, d, "verdicts"), ["status"]))
 
 
 @query(f"WITH {_CURRENT} SELECT l.ledger_id, i.indicator, count(ver.verdict_id) AS n FROM (SELECT DISTINCT ledger_id FROM ver) l CROSS JOIN {_INDICATOR} i LEFT JOIN ver ON ver.ledger_id = l.ledger_id AND list_contains(ver.indicators, i.indicator) GROUP BY ALL")
 def a02_indicator_counts(spark: SparkSession, d: str) -> DataFrame:
-    return counts.indicator_counts(state.current_verdicts(table(spark, d, "verdicts")))
+    return counts.indicator_counts(state.current_verdicts(table(spark, d, "verdicts"), ["indicators"]))
 
 
-@query(f"""
-WITH {_CURRENT} SELECT ledger_id, count(*) AS total, count(*) FILTER (status <> 'verified') AS worth_checking, count(*) FILTER (status = 'verified') AS verified,
-  round(count(*) FILTER (status <> 'unresolvable') / count(*), 4) AS coverage, count(DISTINCT judge_model) AS judges FROM ver GROUP BY ledger_id
+@query(_RESOLVE + """
+, known AS (SELECT DISTINCT cur.ledger_id, cur.ref_id FROM cur JOIN resolved USING (row_id) WHERE source_id IS NOT NULL),
+said AS (SELECT ledger_id, count(*) AS claims FROM cla GROUP BY ledger_id),
+per AS (SELECT ledger_id, count(*) AS total, count(*) FILTER (status <> 'verified') AS worth_checking, count(*) FILTER (status = 'verified') AS verified,
+  count(known.ref_id) AS resolved, round(count(known.ref_id) / count(*), 4) AS coverage, count(DISTINCT judge_model) AS judges
+  FROM ver LEFT JOIN known USING (ledger_id, ref_id) GROUP BY ledger_id)
+SELECT per.*, coalesce(claims, 0) AS claims FROM per LEFT JOIN said USING (ledger_id)
 """)
 def a05_headline(spark: SparkSession, d: str) -> DataFrame:
-    return counts.headline(state.current_verdicts(table(spark, d, "verdicts")))
+    refs, _, resolved = _resolved(spark, d)
+    known = refs.select("row_id", "ledger_id", "ref_id").join(resolved.filter(F.col("source_id").isNotNull()), "row_id")
+    verdicts = state.current_verdicts(table(spark, d, "verdicts"), ["status", "judge_model"])
+    return counts.headline(verdicts, known, state.current_claims(table(spark, d, "ledger_claims"), []))
 
 
 @query(f"""
@@ -344,9 +359,9 @@ SELECT ledger_id, count(*) AS rows, count(*) FILTER (matched) AS matched_rows, b
 """)
 def a10_all_rows_match(spark: SparkSession, d: str) -> DataFrame:
     """Whether the orphan indicator of every verdict of a ledger agrees with the citations."""
-    refs = state.current_references(table(spark, d, "bib_refs").select("ledger_id", "ref_id", "arrived_at", "row_id", "deleted_at"))
-    verdicts = state.current_verdicts(table(spark, d, "verdicts"))
-    cited = linkage.citations(state.current_claims(table(spark, d, "ledger_claims"))).select("ledger_id", "ref_id", F.lit(True).alias("cited")).dropDuplicates()
+    refs = state.current_references(table(spark, d, "bib_refs"), [])
+    verdicts = state.current_verdicts(table(spark, d, "verdicts"), ["indicators"])
+    cited = linkage.citations(_claims(spark, d)).select("ledger_id", "ref_id", F.lit(True).alias("cited")).dropDuplicates()
     said = F.coalesce(F.array_contains("indicators", "orphan"), F.lit(False))
     scored = refs.join(verdicts.select("ledger_id", "ref_id", said.alias("said")), ["ledger_id", "ref_id"]).join(cited, ["ledger_id", "ref_id"], "left")
     return counts.all_rows_match(scored.withColumn("matched", F.col("said") == F.col("cited").isNull()), ["ledger_id"], "matched")
@@ -376,7 +391,7 @@ SELECT verdict_id, same FROM checks
 def a15_same_indicators(spark: SparkSession, d: str) -> DataFrame:
     """Whether each verdict has the same set of indicators as the current one of its reference."""
     v = table(spark, d, "verdicts")
-    last = state.current_verdicts(v).select("ledger_id", "ref_id", F.col("indicators").alias("current"))
+    last = state.current_verdicts(v, ["indicators"]).select("ledger_id", "ref_id", F.col("indicators").alias("current"))
     return v.join(last, ["ledger_id", "ref_id"]).select("verdict_id", counts.same_set(F.col("indicators"), F.col("current")).alias("same"))
 
 
@@ -385,7 +400,7 @@ WITH {_CURRENT} SELECT ledger_id, ref_id, verdict_id, status, priority, position
   SELECT *, CAST(row_number() OVER (PARTITION BY ledger_id ORDER BY priority DESC NULLS LAST, ref_id, verdict_id) AS INT) AS position FROM ver) WHERE position <= {TOP}
 """)
 def k01_worklist(spark: SparkSession, d: str) -> DataFrame:
-    return counts.worklist(state.current_verdicts(table(spark, d, "verdicts")), TOP)
+    return counts.worklist(state.current_verdicts(table(spark, d, "verdicts"), ["status", "priority"]), TOP)
 
 
 @query(f"""
@@ -394,8 +409,8 @@ WITH {_CURRENT} SELECT ver.verdict_id, coalesce(cur.title, cur.raw_text) AS show
 FROM ver JOIN cur USING (ledger_id, ref_id)
 """)
 def k03_row_view(spark: SparkSession, d: str) -> DataFrame:
-    refs = state.current_references(table(spark, d, "bib_refs"))
-    v = state.current_verdicts(table(spark, d, "verdicts")).select("ledger_id", "ref_id", "verdict_id", "status")
+    refs = state.current_references(table(spark, d, "bib_refs"), ["title", "raw_text", "authors", "doi", "arxiv_id"])
+    v = state.current_verdicts(table(spark, d, "verdicts"), ["status"]).select("ledger_id", "ref_id", "verdict_id", "status")
     url = F.coalesce(F.concat(F.lit("https://doi.org/"), N.normalise_doi(F.col("doi"))), F.concat(F.lit("https://arxiv.org/abs/"), F.col("arxiv_id")))
     return v.join(refs, ["ledger_id", "ref_id"]).select(
         "verdict_id", F.coalesce("title", "raw_text").alias("shown"), F.array_join("authors", "; ").alias("authors"), "status", url.alias("url")
@@ -403,19 +418,34 @@ def k03_row_view(spark: SparkSession, d: str) -> DataFrame:
 
 
 _RULES = """
-SELECT verdict_id, rule FROM (
-  SELECT verdict_id, unnest(list_filter([
+WITH broken AS (
+  SELECT verdict_id, variant, CASE WHEN variant = 1 THEN 1 + coalesce(confidence, 0.5) ELSE confidence END AS confidence, CASE WHEN variant = 2 THEN -0.25 ELSE priority END AS priority,
+    CASE WHEN variant = 3 THEN '' ELSE rationale END AS rationale, CASE WHEN variant = 4 THEN list_concat(coalesce(checks, []), ['a', 'b', 'c', 'd']) ELSE checks END AS checks,
+    CASE WHEN variant = 5 THEN upper(status) ELSE status END AS status, CASE WHEN variant = 6 THEN list_concat(coalesce(indicators, []), ['other']) ELSE indicators END AS indicators,
+    CASE WHEN variant = 7 THEN NULL ELSE ref_id END AS ref_id, ledger_id
+  FROM verdicts CROSS JOIN (SELECT unnest(range(0, 8)) AS variant))
+SELECT verdict_id, CAST(variant AS INT) AS variant, rule FROM (
+  SELECT verdict_id, variant, unnest(list_filter([
     CASE WHEN confidence NOT BETWEEN 0 AND 1 THEN 'confidence_bounds' END, CASE WHEN priority NOT BETWEEN 0 AND 1 THEN 'priority_bounds' END,
     CASE WHEN coalesce(length(rationale) < 1, true) THEN 'rationale_empty' END, CASE WHEN len(checks) > 3 THEN 'too_many_checks' END,
     CASE WHEN NOT coalesce(status IN ('verified', 'needs_check', 'conflict', 'unresolvable'), false) THEN 'unknown_status' END,
     CASE WHEN len(list_filter(indicators, lambda i: i NOT IN ('retracted', 'version_mismatch', 'doi_mismatch', 'duplicate_entry', 'orphan', 'malformed'))) > 0 THEN 'unknown_indicator' END,
-    CASE WHEN ref_id IS NULL OR ledger_id IS NULL THEN 'no_reference' END], lambda r: r IS NOT NULL)) AS rule FROM verdicts)
+    CASE WHEN ref_id IS NULL OR ledger_id IS NULL THEN 'no_reference' END], lambda r: r IS NOT NULL)) AS rule FROM broken)
 """
 
 
 @query(_RULES)
 def v01_violations(spark: SparkSession, d: str) -> DataFrame:
-    return constraints.violations(table(spark, d, "verdicts"), "verdict_id", constraints.verdict_rules(SETTINGS.max_checks))
+    """Every verdict as it is and with each of seven faults, so that every rule has rows that break it."""
+    v = table(spark, d, "verdicts").withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    fault = lambda k, c, value: F.when(F.col("variant") == k, value).otherwise(F.col(c)).alias(c)
+    more = lambda c, *words: F.concat(F.coalesce(c, F.array().cast("array<string>")), F.array(*map(F.lit, words)))
+    broken = v.select(
+        "verdict_id", "variant", "ledger_id", fault(1, "confidence", 1 + F.coalesce("confidence", F.lit(0.5))), fault(2, "priority", F.lit(-0.25)), fault(3, "rationale", F.lit("")),
+        fault(4, "checks", more("checks", "a", "b", "c", "d")), fault(5, "status", F.upper("status")), fault(6, "indicators", more("indicators", "other")), fault(7, "ref_id", F.lit(None)),
+    )
+    keyed = broken.withColumn("key", F.struct("verdict_id", "variant"))
+    return constraints.violations(keyed, "key", constraints.verdict_rules(SETTINGS.max_checks)).select("key.verdict_id", "key.variant", "rule")
 
 
 @query("SELECT ledger_id, ref_id, count(*) AS n FROM bib_refs WHERE deleted_at IS NULL GROUP BY ledger_id, ref_id HAVING count(*) > 1")
@@ -447,18 +477,17 @@ SELECT ledger_id, entries, counted, entries = counted AND entries = ids AS consi
 """)
 def a04_consistency(spark: SparkSession, d: str) -> DataFrame:
     """Whether the counts per status add up to the entries and every id occurs once."""
-    v = state.current_verdicts(table(spark, d, "verdicts").select("ledger_id", "ref_id", "status", "judged_at", "verdict_id"))
+    v = state.current_verdicts(table(spark, d, "verdicts"), ["status"])
     per = v.groupBy("ledger_id").agg(
         F.count(F.lit(1)).alias("entries"), F.count_if(F.col("status").isin(*STATUSES)).alias("counted"), F.countDistinct("ref_id").alias("ids")
     )
     return per.select("ledger_id", "entries", "counted", ((F.col("entries") == F.col("counted")) & (F.col("entries") == F.col("ids"))).alias("consistent"))
 
 
-@query("SELECT judge_model, count(*) AS rows, count(DISTINCT ledger_id) AS ledgers, count(DISTINCT status) AS statuses, round(avg(confidence), 6) AS confidence FROM verdicts GROUP BY judge_model")
+@query(f"SELECT count(*) AS ids, CAST(coalesce(sum(n), 0) AS BIGINT) AS rows, count(*) FILTER (n <> 2) AS not_in_pairs FROM (SELECT {_doi('doi')} AS k, count(*) AS n FROM bib_refs WHERE doi IS NOT NULL GROUP BY ALL)")
 def a17_totals(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "verdicts").groupBy("judge_model").agg(
-        F.count(F.lit(1)).alias("rows"), F.countDistinct("ledger_id").alias("ledgers"), F.countDistinct("status").alias("statuses"), F.round(F.avg("confidence"), 6).alias("confidence")
-    )
+    """Totals of ids that rows share, here printed identifiers."""
+    return counts.shared_ids(table(spark, d, "bib_refs").select(N.normalise_doi(F.col("doi")).alias("k")), "k")
 
 
 @query(f"""
@@ -468,15 +497,15 @@ FROM cur LEFT JOIN n USING (ledger_id, ref_id)
 """)
 def pred_p07_payload(spark: SparkSession, d: str) -> DataFrame:
     """What a judge is shown of each reference, nothing else, with the number of its citations."""
-    refs = state.current_references(table(spark, d, "bib_refs").select("row_id", "ledger_id", "ref_id", "title", "year", "doi", "arrived_at", "deleted_at"))
-    cited = linkage.citing_claims(state.current_claims(table(spark, d, "ledger_claims"))).select("ledger_id", "ref_id", "claims")
+    refs = state.current_references(table(spark, d, "bib_refs"), ["title", "year", "doi"])
+    cited = linkage.citing_claims(_claims(spark, d)).select("ledger_id", "ref_id", "claims")
     shown = F.struct("ref_id", "title", "year", "doi", F.coalesce("claims", F.lit(0)).alias("claims"))
     return refs.join(cited, ["ledger_id", "ref_id"], "left").select("row_id", F.to_json(shown, {"ignoreNullFields": "false"}).alias("payload"))
 
 
 @query("""
 SELECT verdict_id, CASE WHEN confidence IS NULL THEN 'not comparable' ELSE printf('%.2f', confidence) END AS confidence_text,
-  CASE WHEN length(t) > 60 THEN left(t, 59) || '…' ELSE t END AS short_rationale, CAST(round(priority * 100) AS BIGINT) AS percent
+  CASE WHEN length(t) > 60 THEN left(t, 59) || '…' ELSE t END AS short_rationale, CAST(round_even(priority * 100, 0) AS BIGINT) AS percent, CAST(round_even(floor(priority * 40) / 40 * 100, 0) AS BIGINT) AS half_percent
 FROM (SELECT *, trim(regexp_replace(rationale, '\\s+', ' ', 'g')) AS t FROM verdicts)
 """)
 def pred_p10_row_text(spark: SparkSession, d: str) -> DataFrame:
@@ -485,7 +514,9 @@ def pred_p10_row_text(spark: SparkSession, d: str) -> DataFrame:
         "verdict_id",
         F.when(F.col("confidence").isNull(), "not comparable").otherwise(F.format_string("%.2f", "confidence")).alias("confidence_text"),
         F.when(F.length(flat) > 60, F.concat(F.left(flat, F.lit(59)), F.lit("…"))).otherwise(flat).alias("short_rationale"),
-        F.round(F.col("priority") * 100).cast("long").alias("percent"),
+        F.bround(F.col("priority") * 100).cast("long").alias("percent"),
+        # Steps of 2.5 per cent: every other one lies half-way.
+        F.bround(F.floor(F.col("priority") * 40) / 40 * 100).cast("long").alias("half_percent"),
     )
 
 
@@ -509,6 +540,111 @@ def u01_author_sets(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query("""
+WITH p AS (
+  SELECT row_id, raw_text, doi, arxiv_id, regexp_replace(lower(coalesce(raw_text, '')), '\\s+', '', 'g') AS entry,
+    list_transform([doi, arxiv_id], lambda v: regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(v), '\\s+', '', 'g'),
+      '^(https?://|(dx\\.)?doi\\.org/|www\\.|arxiv\\.org/(abs|pdf)/|doi:|arxiv:|urn:)+', ''), '^[./,;:]+', ''), '[./,;:]+$', '')) AS bare FROM bib_refs),
+q AS (SELECT *, bare[1] <> '' AND (contains(entry, bare[1]) OR contains(entry, regexp_replace(bare[1], 'v\\d+$', ''))) AS d_ok,
+  bare[2] <> '' AND (contains(entry, bare[2]) OR contains(entry, regexp_replace(bare[2], 'v\\d+$', ''))) AS a_ok FROM p)
+SELECT row_id, CASE WHEN d_ok THEN doi END AS doi, CASE WHEN a_ok THEN arxiv_id END AS arxiv_id,
+  concat_ws(',', CASE WHEN doi IS NOT NULL AND NOT d_ok THEN 'doi' END, CASE WHEN arxiv_id IS NOT NULL AND NOT a_ok THEN 'arxiv_id' END) AS nulled FROM q
+""")
+def pred_p06_unprinted_identifiers(spark: SparkSession, d: str) -> DataFrame:
+    """Identifiers that stand in the printed entry; the others become null and are named."""
+    kept = {c: N.printed_or_null(F.col(c), F.col("raw_text")) for c in ("doi", "arxiv_id")}
+    nulled = [F.when(F.col(c).isNotNull() & k.isNull(), F.lit(c)) for c, k in kept.items()]
+    return table(spark, d, "bib_refs").select("row_id", *(k.alias(c) for c, k in kept.items()), F.concat_ws(",", *nulled).alias("nulled"))
+
+
+@query(_RESOLVE.rstrip() + f"""
+, gone AS (SELECT s.source_id FROM (SELECT source_id, coalesce(is_retracted, false) AS own, {_doi('doi')} AS doi FROM resolved_sources) s
+  LEFT JOIN (SELECT DISTINCT {_doi('doi')} AS doi FROM resolved_sources WHERE provider = 'openalex' AND is_retracted AND doi IS NOT NULL) f ON s.doi = f.doi WHERE own OR f.doi IS NOT NULL)
+SELECT ver.verdict_id FROM ver JOIN cur USING (ledger_id, ref_id) JOIN resolved USING (row_id) JOIN gone USING (source_id) WHERE NOT list_contains(coalesce(ver.indicators, []), 'retracted')
+""")
+def v06_unflagged_retractions(spark: SparkSession, d: str) -> DataFrame:
+    refs, sources, resolved = _resolved(spark, d, ["title", "doi", "arxiv_id"])
+    v = state.current_verdicts(table(spark, d, "verdicts"), ["indicators"])
+    entries = v.join(refs.select("ledger_id", "ref_id", "row_id"), ["ledger_id", "ref_id"]).join(resolved, "row_id").join(linkage.retracted(sources), "source_id")
+    return constraints.unflagged_retractions(entries, "verdict_id")
+
+
+@query(f"""
+WITH {_CURRENT}, a AS (SELECT ledger_id, ref_id, row_number() OVER (PARTITION BY ledger_id ORDER BY ref_id) AS n FROM cur),
+b AS (SELECT ledger_id, ref_id, row_number() OVER (PARTITION BY ledger_id ORDER BY ref_id) AS n FROM ver)
+SELECT a.ledger_id, CAST(a.n AS INT) AS n, a.ref_id AS reference, b.ref_id AS verdict FROM a JOIN b USING (ledger_id, n) WHERE a.ref_id IS DISTINCT FROM b.ref_id
+""")
+def v07_misaligned_entries(spark: SparkSession, d: str) -> DataFrame:
+    """References and verdicts of a ledger put together by their place alone, as a faulty writer would do."""
+    place = F.row_number().over(Window.partitionBy("ledger_id").orderBy("ref_id")).alias("n")
+    a = state.current_references(table(spark, d, "bib_refs"), []).select("ledger_id", F.col("ref_id").alias("reference"), place)
+    b = state.current_verdicts(table(spark, d, "verdicts"), []).select("ledger_id", F.col("ref_id").alias("verdict"), place)
+    return constraints.misaligned(a.join(b, ["ledger_id", "n"]), ["ledger_id", "n"], ["reference", "verdict"])
+
+
+@query(f"""
+WITH {_CURRENT}, o AS (SELECT DISTINCT ledger_id, ref_id FROM verdicts),
+x AS (SELECT ledger_id, ref_id, cur.row_id IS NOT NULL AS b, o.ref_id IS NOT NULL AS a FROM (SELECT ledger_id, ref_id, row_id FROM cur) cur FULL OUTER JOIN o USING (ledger_id, ref_id))
+SELECT ledger_id, count(*) FILTER (b) AS entries, count(*) FILTER (a AND b) AS kept, count(*) FILTER (a AND b) = count(*) FILTER (b) AND count(*) FILTER (NOT b) = 0 AS complete FROM x GROUP BY ledger_id
+""")
+def v09_dropped_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Whether judging left out none of a ledger's references and added none."""
+    return constraints.dropped(state.current_references(table(spark, d, "bib_refs"), []), table(spark, d, "verdicts"), ["ledger_id", "ref_id"])
+
+
+@query("""
+WITH last AS (SELECT * FROM crossref_raw QUALIFY row_number() OVER (PARTITION BY cache_key ORDER BY fetched_at DESC NULLS LAST, raw_id DESC) = 1),
+now AS (SELECT max(fetched_at) AS t FROM crossref_raw),
+hit AS (SELECT cache_key FROM last, now WHERE fetched_at >= t - INTERVAL 30 DAY AND payload IS NOT NULL AND json_valid(payload) AND ltrim(payload, E' \\n\\t\\r') LIKE '{%')
+SELECT DISTINCT cache_key FROM crossref_raw WHERE cache_key NOT IN (SELECT cache_key FROM hit WHERE cache_key IS NOT NULL)
+""")
+def c02_cache_misses(spark: SparkSession, d: str) -> DataFrame:
+    """Keys that have to be fetched again: no reply within 30 days of the last fetch, or none that is an object."""
+    raw = table(spark, d, "crossref_raw").filter(F.col("cache_key").isNotNull())
+    now = table(spark, d, "crossref_raw").agg(F.max("fetched_at")).first()[0]
+    return state.cache_misses(raw, state.cache_get(raw, F.lit(now), 30 * 24.0))
+
+
+@query("""
+SELECT verdict_id, status, greatest(0.0, least(1.0, confidence * 2)) AS confidence, trim(rationale) AS rationale, CAST(least(3, len(list_filter(list_transform(coalesce(checks, []), lambda c: trim(c)), lambda c: c <> '')) * 2) AS INT) AS n_checks
+FROM verdicts WHERE length(trim(rationale)) > 0 AND status IN ('verified', 'needs_check', 'conflict', 'unresolvable')
+""")
+def m16_verdict_replies(spark: SparkSession, d: str) -> DataFrame:
+    """Verdicts written into judging replies, with prose and another object around them, and read back: status in
+    capitals, confidence out of bounds, checks twice."""
+    v = table(spark, d, "verdicts")
+    checks = F.coalesce("checks", F.array().cast("array<string>"))
+    body = F.to_json(F.struct(F.upper("status").alias("status"), (F.col("confidence") * 2).alias("confidence"), F.concat(F.lit(" "), "rationale").alias("rationale"), F.concat(checks, checks).alias("checks")))
+    reply = F.concat(F.lit('<think>{"status": "none"}</think> First {"draft": 1}, then:\n```json\n'), body, F.lit("\n```\nDone {so far."))
+    read = v.select("verdict_id", replies.verdict_fields(reply, SETTINGS.max_checks).alias("f")).filter(F.col("f").isNotNull())
+    return read.select("verdict_id", "f.status", "f.confidence", "f.rationale", F.size("f.checks").alias("n_checks"))
+
+
+@query("""
+SELECT row_id, nullif(trim(title), '') AS title, CAST(len(list_filter(list_transform(coalesce(authors, []), lambda a: trim(a)), lambda a: a <> '')) AS INT) AS n_authors,
+  CASE WHEN year BETWEEN 1500 AND 2199 THEN year END AS year, nullif(trim(doi), '') AS doi FROM bib_refs
+""")
+def m15_reference_replies(spark: SparkSession, d: str) -> DataFrame:
+    """References written into extraction replies between prose, and read back."""
+    r = table(spark, d, "bib_refs")
+    fields = F.struct("title", F.coalesce("authors", F.array().cast("array<string>")).alias("authors"), F.concat(F.lit("("), "year", F.lit(")")).alias("year"), "doi", "arxiv_id", "venue")
+    reply = F.concat(F.lit("Here it is:\n```json\n"), F.to_json(fields, {"ignoreNullFields": "false"}), F.lit("\n```\nAnything else?"))
+    read = r.select("row_id", replies.reference_fields(reply).alias("f"))
+    return read.select("row_id", "f.title", F.size("f.authors").alias("n_authors"), "f.year", "f.doi")
+
+
+@query("SELECT source_id, title, CAST(coalesce(len(authors), 0) AS INT) AS n_authors, year, doi, coalesce(is_retracted, false) AS is_retracted, is_preprint FROM resolved_sources")
+def s13_openalex_works(spark: SparkSession, d: str) -> DataFrame:
+    """Records written as replies of that provider and read back."""
+    s = table(spark, d, "resolved_sources")
+    people = F.transform(F.coalesce("authors", F.array().cast("array<string>")), lambda a: F.struct(F.struct(a.alias("display_name")).alias("author")))
+    kind = F.when(F.col("is_preprint"), "preprint").when(~F.col("is_preprint"), "article")
+    where = F.struct(F.struct(F.col("venue").alias("display_name"), F.when(~F.col("is_preprint"), "journal").alias("type")).alias("source"))
+    reply = F.to_json(F.struct("doi", F.col("title").alias("display_name"), people.alias("authorships"), F.col("year").alias("publication_year"), "is_retracted", kind.alias("type"), where.alias("primary_location")))
+    read = s.select("source_id", payloads.openalex_work(reply).alias("w"))
+    return read.select("source_id", "w.title", F.coalesce(F.size("w.authors"), F.lit(0)).alias("n_authors"), "w.year", "w.doi", "w.is_retracted", "w.is_preprint")
+
+
 # ---- Sources and sinks -------------------------------------------------------------------------------------
 
 

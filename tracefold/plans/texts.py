@@ -33,7 +33,7 @@ split AS (SELECT doc_id, ledger_id, section, text, regexp_split_to_array(coalesc
 arr AS (SELECT doc_id, ledger_id, section, text, CASE WHEN p[-1] = '' THEN p[:-2] ELSE p END AS ls FROM split),
 lin AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS line_no, unnest(ls) AS line FROM arr)
 """
-_HEAD = "'^\\s*((\\d+|[ivxlcIVXLC]+)\\.?\\s+)?(references|bibliography|works cited|literature cited)\\s*$', 'i'"
+_HEAD = "'^\\s*((\\d+|[ivxlcIVXLC]+)\\.?\\s*)?(references|bibliography|works cited|literature cited)\\.?\\s*$', 'i'"
 
 
 @query(f"WITH {_LINES} SELECT doc_id, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars, count(*) FILTER (trim(line) = '') AS blank FROM lin GROUP BY doc_id")
@@ -87,9 +87,9 @@ def t13_sentences(spark: SparkSession, d: str) -> DataFrame:
 def _numbers_sql(source: str, key: str) -> str:
     return f"""
 g AS (SELECT {key}, unnest(regexp_extract_all({source}, '\\[(\\d[\\d\\s,;–—-]*)\\]', 1)) AS grp FROM src),
-p AS (SELECT {key}, regexp_replace(unnest(regexp_split_to_array(grp, '[,;]')), '\\s', '', 'g') AS part FROM g),
-q AS (SELECT {key}, part, TRY_CAST(regexp_extract(part, '^(\\d{{1,9}})[-–—](\\d{{1,9}})$', 1) AS INT) AS a,
-  TRY_CAST(regexp_extract(part, '^(\\d{{1,9}})[-–—](\\d{{1,9}})$', 2) AS INT) AS b FROM p),
+p AS (SELECT {key}, trim(regexp_replace(unnest(regexp_split_to_array(grp, '[,;]')), '\\s+', ' ', 'g')) AS part FROM g),
+q AS (SELECT {key}, part, TRY_CAST(regexp_extract(part, '^(\\d{{1,3}}) ?[-–—] ?(\\d{{1,3}})$', 1) AS INT) AS a,
+  TRY_CAST(regexp_extract(part, '^(\\d{{1,3}}) ?[-–—] ?(\\d{{1,3}})$', 2) AS INT) AS b FROM p),
 num AS (SELECT DISTINCT {key}, unnest(CASE WHEN regexp_full_match(part, '\\d{{1,9}}') THEN [CAST(part AS INT)]
   WHEN a > 0 AND a <= b AND b - a < 100 THEN CAST(range(a, b + 1) AS INT[]) ELSE CAST([] AS INT[]) END) AS number FROM q)
 """
@@ -118,7 +118,8 @@ def t16_claims(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH f AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL),
-s AS (SELECT doc_id, string_split(regexp_replace(t, '\\s+(\\d{1,2}(?:\\.\\d{1,2})*\\.? [A-Z][a-z]|[•▪‣] )', chr(1) || '\\1', 'g'), chr(1)) AS p FROM f)
+s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(t, '(^|[^0-9.])([0-9]+(?:\\.[0-9]+)+ [A-Z])', '\\1' || chr(1) || '\\2', 'g'), '(• )', chr(1) || '\\1', 'g'), chr(1)),
+  lambda x: regexp_replace(x, '^ +| +$', '', 'g')), lambda x: x <> '') AS p FROM f)
 SELECT doc_id, len(p) AS paragraphs, CAST(list_max(list_transform(p, lambda x: length(x))) AS INT) AS longest FROM s
 """)
 def t21_reflow(spark: SparkSession, d: str) -> DataFrame:
@@ -160,15 +161,16 @@ def t20_remapped_markers(spark: SparkSession, d: str) -> DataFrame:
     return c.select("row_id", moved.alias("text"), brackets.alias("brackets"))
 
 
-_TIDY_SQL = "regexp_replace(text, '\\[\\d[\\d\\s,;–—-]*\\]', '', 'g')"
+_MARKED_SQL = f"regexp_replace(text, '\\[\\d[\\d\\s,;–—-]*\\]', '{repair.DELETED}', 'g')"
+_TIDY_SQL = _MARKED_SQL
 for _pattern, _new in repair._TIDY:
-    _TIDY_SQL = f"regexp_replace({_TIDY_SQL}, '{_pattern}', '{_new.replace('$1', chr(92) + '1')}', 'g')"
+    _TIDY_SQL = f"regexp_replace({_TIDY_SQL}, '{_pattern}', '{_new.replace('$', chr(92))}', 'g')"
 
 
-@query(f"SELECT row_id, trim({_TIDY_SQL}) AS text FROM ledger_claims")
+@query(f"SELECT row_id, CASE WHEN contains({_MARKED_SQL}, '{repair.DELETED}') THEN {_TIDY_SQL} ELSE text END AS text FROM ledger_claims")
 def m18_tidied_claims(spark: SparkSession, d: str) -> DataFrame:
     """Claims without their citation brackets."""
-    bare = F.regexp_replace("text", r"\[\d[\d\s,;–—-]*\]", "")
+    bare = F.regexp_replace("text", segment.MARKER, repair.DELETED)
     return table(spark, d, "ledger_claims").select("row_id", repair.tidy_punctuation(bare).alias("text"))
 
 

@@ -71,7 +71,7 @@ def verdict_fields(reply: Column, max_checks: int = 3) -> Column:
     kept within 0 and 1, checks are trimmed and the first few kept."""
     s = F.from_json(status_object(reply), "status string, confidence double, rationale string, checks array<string>")
     status, why = F.lower(F.trim(s["status"])), F.trim(s["rationale"])
-    checks = F.filter(F.transform(F.coalesce(s["checks"], F.array().cast("array<string>")), F.trim), lambda c: c != "")
+    checks = F.filter(F.transform(F.coalesce(s["checks"], F.array().cast("array<string>")), lambda c: F.trim(c)), lambda c: c != "")
     good = status.isin(*STATUSES) & (F.length(why) > 0)
     return F.when(
         good,
