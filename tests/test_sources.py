@@ -43,9 +43,15 @@ def test_ledgers_round_trip_and_refuse_unknown_keys(spark, tmp_path):
     back = files.read_ledgers(spark, path).select(*entries.columns)
     assert [r.asDict(True) for r in back.collect()] == [r.asDict(True) for r in entries.collect()]
     (tmp_path / "bad").mkdir()
-    (tmp_path / "bad" / "x.json").write_text('{"ledger_id": 1, "odd": 2}\n')
-    with pytest.raises(ValueError):
-        files.read_ledgers(spark, str(tmp_path / "bad"))
+    # The job ends at the first such line; nothing is read beforehand.
+    for i, text in enumerate(['{"ledger_id": 1, "odd": 2}', '{"ledger_id": 1, "reference": {"ref_id": "R1", "odd": 2}}', '{"ledger_id": 1, "verdict": {"odd": []}}']):
+        (tmp_path / "bad" / f"{i}").mkdir()
+        (tmp_path / "bad" / f"{i}" / "x.json").write_text(text + "\n")
+        with pytest.raises(Exception, match="unknown key: odd"):
+            files.read_ledgers(spark, str(tmp_path / "bad" / f"{i}")).collect()
+    (tmp_path / "bad" / "x.json").write_text("no json\n")
+    with pytest.raises(Exception):
+        files.read_ledgers(spark, str(tmp_path / "bad" / "x.json")).collect()
 
 
 def test_labels(spark, tmp_path):
@@ -131,22 +137,24 @@ def test_state_folded_by_a_stream(spark, tmp_path):
 def test_progress_logs(spark, tmp_path):
     from tracefold.sources import progress
 
-    (tmp_path / "ann.md").write_text(
-        "# log of ann\n```\n## 0:10 — P0 STARTED\n```\n## 1:05 — P2 BLOCKED\nnotes: waits\nNEED: x\n\ntext\n"
-        "## 2:00 - REQUEST -> @cy\nNEED: y\n### other\nnotes: not a field of it\n## 3:30 – P2 MERGED\ntests: 5 passed\n## later — P9 odd\n"
+    (tmp_path / "mo.md").write_text(
+        "# what mo did\n~~~\n## 0:05 — K1 READY\n~~~\n## 0:50 — K1 part two blocked\nWaits for: the key\n9: no field\n\nprose\n"
+        "## 1:10 -- REQUEST → @bo\nask: a key\n#### aside\nask: not of the block\n## 1:40 – k1 PART two MERGED\nurl: http://x\n## soon - MERGED\n## 2:05 - request Merged\n"
     )
-    (tmp_path / "cy.md").write_text("## 0:30 — P3 BLOCKED\n")
-    (tmp_path / "_FORMAT.md").write_text("## 0:01 — X READY\n")
+    (tmp_path / "bo.md").write_text("## 0:20 - K7 BLOCKED\n## 0:30 - REQUEST -> mo\n")
+    (tmp_path / "_shape.md").write_text("## 0:01 — X READY\n")
     parsed = progress.blocks(progress.read_logs(spark, str(tmp_path)))
     rows = {(r.person, r.lineno): r for r in parsed.collect()}
-    assert set(rows) == {("ann", 5), ("ann", 10), ("ann", 14), ("ann", 16), ("cy", 1)}
-    first = rows["ann", 5]
-    assert (first.clock, first.minutes, first.module, first.status) == ("1:05", 65, "P2", "BLOCKED")
-    assert [(f.k, f.v) for f in first.fields] == [("notes", "waits"), ("need", "x")]
-    assert (rows["ann", 10].status, rows["ann", 10].owner, len(rows["ann", 10].fields)) == ("REQUEST", "cy", 1)
-    assert rows["ann", 16].status is None and rows["ann", 16].minutes == progress.UNKNOWN_CLOCK
-    assert {(r.person, r.status) for r in progress.latest_per_person(parsed).collect()} == {("ann", "MERGED"), ("cy", "BLOCKED")}
-    assert [(r.person, r.status) for r in progress.open_items(parsed).collect()] == [("cy", "BLOCKED"), ("ann", "REQUEST")]
+    assert set(rows) == {("mo", 5), ("mo", 10), ("mo", 14), ("mo", 16), ("mo", 17), ("bo", 1), ("bo", 2)}
+    first = rows["mo", 5]
+    assert (first.clock, first.minutes, first.module, first.status) == ("0:50", 50, "K1 part two", "BLOCKED")
+    assert [(f.k, f.v) for f in first.fields] == [("Waits for", "the key")]
+    asked = rows["mo", 10]
+    assert (asked.module, asked.status, asked.owner, [(f.k, f.v) for f in asked.fields]) == ("REQUEST", "REQUEST", "bo", [("ask", "a key")])
+    assert [(f.k, f.v) for f in rows["mo", 14].fields] == [("url", "http://x")]
+    assert rows["mo", 16].status is None and rows["mo", 16].minutes == progress.UNKNOWN_CLOCK
+    assert {(r.person, r.status) for r in progress.latest_per_person(parsed).collect()} == {("mo", "MERGED"), ("bo", "REQUEST")}
+    assert [(r.person, r.module) for r in progress.open_items(parsed).collect()] == [("bo", "K7"), ("bo", "REQUEST")]
 
 
 def test_label_rules(spark, tmp_path):

@@ -43,20 +43,30 @@ def ledger_entries(refs: DataFrame, verdicts: DataFrame) -> DataFrame:
     return r.join(v, ["ledger_id", "ref_id"]).select("ledger_id", "reference", "verdict", "priority")
 
 
-def write_ledgers(entries: DataFrame, path: str) -> None:
-    """JSON lines under one folder per ledger. Entries of a large ledger stay spread over many files."""
-    entries.write.partitionBy("ledger_id").mode("overwrite").json(path)
+#: Folders over which ledgers are spread by hash, whatever their number.
+BUCKETS = 64
+
+
+def write_ledgers(entries: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """JSON lines in folders of ledgers with the same hash, so the number of files follows the tasks and not the
+    ledgers. Entries of a large ledger stay spread over many files."""
+    entries.withColumn("bucket", F.pmod(F.xxhash64("ledger_id"), F.lit(buckets))).write.partitionBy("bucket").mode("overwrite").json(path)
+
+
+#: Keys that an entry and its parts may have.
+ENTRY_KEYS = {"$": ("ledger_id", "reference", "verdict", "priority"), "$.reference": ("ref_id", "raw_text", "title", "authors", "year", "doi", "arxiv_id", "venue"),
+              "$.verdict": ("status", "confidence", "rationale", "checks", "judge_model")}
 
 
 def read_ledgers(spark: SparkSession, path: str) -> DataFrame:
-    """Strict: a line that isn't JSON or doesn't fit the schema ends the job; so does an unknown key."""
-    df = spark.read.schema(ENTRY_SCHEMA).option("mode", "FAILFAST").json(path)
-    raw = spark.read.text(path)
-    known = F.array(*map(F.lit, ("ledger_id", "reference", "verdict", "priority")))
-    extra = raw.select(F.size(F.array_except(F.json_object_keys("value"), known)).alias("n")).filter(F.col("n") > 0)
-    if not extra.isEmpty():
-        raise ValueError("a ledger entry has an unknown key")
-    return df
+    """Strict: a line that isn't JSON or doesn't fit the schema ends the job; so does an unknown key, in an entry or in
+    a part of it. Lines are read once."""
+    value = F.col("value")
+    part = lambda p: value if p == "$" else F.get_json_object(value, p)
+    unknown = F.concat(*(F.array_except(F.coalesce(F.json_object_keys(part(p)), F.array().cast("array<string>")), F.array(*map(F.lit, keys))) for p, keys in ENTRY_KEYS.items()))
+    checked = F.when(F.size(unknown) > 0, F.raise_error(F.concat(F.lit("a ledger entry has an unknown key: "), F.array_join(unknown, ",")))).otherwise(value)
+    lines = spark.read.text(path).select(F.from_json(checked, ENTRY_SCHEMA, {"mode": "FAILFAST"}).alias("e"))
+    return lines.select("e.*")
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
