@@ -67,3 +67,29 @@ def test_near_the_lower_bound(capacity):
     rng = np.random.default_rng(5)
     x = np.minimum(rng.lognormal(np.log(capacity / 3), 0.8, 3000).astype(np.int64) + 1, capacity)
     assert len(packing.bin_completion(x, capacity)) <= 1.01 * packing.lower_bound(x, capacity) + 1
+
+
+def test_the_best_of_up_to_three_items_is_found():
+    import itertools
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    for _ in range(60):
+        sizes = [rng.randint(1, 90) for _ in range(rng.randint(1, 40))]
+        room = rng.randint(1, 200)
+        count = np.bincount(sizes, minlength=201)
+        best = max((sum(c) for k in range(4) for c in itertools.combinations(sizes, k) if sum(c) <= room), default=0)
+        found = packing._top_up(np.flatnonzero(count), count, room)
+        assert max(map(sum, found)) == best and all(np.bincount(f, minlength=201)[s] <= count[s] for f in found for s in f)
+
+
+def test_two_windows_of_one_name(spark):
+    sizes = spark.createDataFrame([(i, 40 + i) for i in range(12)], "doc_id long, n_tokens int")
+    windows = spark.createDataFrame([("w", 100), ("w", 60)], "window_name string, capacity_tokens int")
+    rows = packing.pack(sizes, windows).collect()
+    used: dict = {}
+    for r in rows:
+        used[r.capacity_tokens, r.lot, r.bin] = used.get((r.capacity_tokens, r.lot, r.bin), 0) + r.n_tokens
+    assert len(rows) == 24 and all(n <= capacity for (capacity, _, _), n in used.items())

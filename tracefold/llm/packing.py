@@ -100,7 +100,9 @@ def _top_up(present: np.ndarray, count: np.ndarray, room: int) -> list[tuple[int
         out.append(p)
         if best == room:
             return out
-    for z in fits[::-1][:24].tolist():
+    for z in fits[::-1].tolist():
+        if z * 3 <= best:  # no triple whose largest item is z can be better
+            break
         p = pair(room - z, z)
         if p and z >= p[0] and z + sum(p) > best:
             best = z + sum(p)
@@ -111,8 +113,8 @@ def _top_up(present: np.ndarray, count: np.ndarray, room: int) -> list[tuple[int
 
 
 def _fillings(count: np.ndarray, present: np.ndarray, capacity: int) -> list[tuple[int, list[int]]]:
-    """(waste, filling) around the largest size left, least waste first. Long fillings start with the largest
-    items that fit; the last three are searched."""
+    """(waste, filling) around the largest size left, least waste first, until one wastes nothing. A filling is a stem of
+    largest items that fit, of any length, and up to three more that are searched for."""
     room, chosen, taken, stems = capacity - int(present[-1]), [int(present[-1])], {int(present[-1]): 1}, []
     while True:
         stems.append((room, list(chosen)))
@@ -126,8 +128,8 @@ def _fillings(count: np.ndarray, present: np.ndarray, capacity: int) -> list[tup
         taken[s] = taken.get(s, 0) + 1
         room -= s
     found: dict[tuple[int, ...], int] = {}
-    # A stem shorter than the longest by up to three items leaves the search room to do better than greed.
-    for room, stem in stems[-4:][::-1]:
+    # The shorter a stem, the more room is left to do better than greed.
+    for room, stem in stems[::-1]:
         for s in stem:
             count[s] -= 1
         left = present[count[present] > 0]
@@ -230,7 +232,7 @@ def pack(sizes: DataFrame, windows: DataFrame, lot_items: int = LOT_ITEMS) -> Da
         items.filter(F.col("n_tokens") < c)
         .withColumn("lot", F.pmod(F.xxhash64("row", "piece"), F.lit(lots)))  # the stored table keeps its row numbers
         .drop("row")
-        .groupBy("window_name", "lot")
+        .groupBy("window_name", "capacity_tokens", "lot")
         .applyInPandas(_pack_lot, PACKED_SCHEMA)
     )
     return full.unionByName(rest)
