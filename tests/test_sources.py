@@ -87,8 +87,8 @@ def test_crossref_shapes(spark):
     raw = spark.createDataFrame([(i, json.dumps(w)) for i, w in enumerate(works)] + [(9, "no"), (10, None)], "raw_id long, payload string")
     rows = {r.raw_id: r for r in payloads.crossref_works(raw).collect()}
     assert set(rows) == {0, 1}
-    assert (rows[0].title, rows[0].venue, rows[0].year, rows[0].first_author, rows[0].is_preprint) == ("T", None, 2003, "A B", True)
-    assert (rows[1].title, rows[1].first_author, rows[1].year, rows[1].is_preprint) == ("T2", "Org", None, None)
+    assert (rows[0].title, rows[0].venue, rows[0].year, rows[0].authors, rows[0].is_preprint) == ("T", None, 2003, ["A B"], True)
+    assert (rows[1].title, rows[1].authors, rows[1].year, rows[1].is_preprint) == ("T2", ["Org"], None, None)
 
 
 def test_openalex_and_arxiv(spark):

@@ -678,19 +678,20 @@ def s05_ledger_round_trip(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("""
+_TEXT_OR_FIRST = "coalesce(json_extract_string(w, '$.\"{0}\"[0]'), CASE WHEN json_type(w, '$.\"{0}\"') NOT IN ('ARRAY', 'OBJECT', 'NULL') THEN json_extract_string(w, '$.\"{0}\"') END)"
+_NAMES = """list_filter(list_transform(CASE WHEN json_type(w, '$.author') = 'ARRAY' THEN CAST(json_extract(w, '$.author') AS JSON[]) ELSE [] END, lambda a:
+  CASE WHEN json_extract_string(a, '$.family') IS NOT NULL THEN concat_ws(' ', json_extract_string(a, '$.given'), json_extract_string(a, '$.family')) ELSE json_extract_string(a, '$.name') END), lambda n: n IS NOT NULL)"""
+
+
+@query(f"""
 WITH m AS (SELECT raw_id, json_extract(payload, '$.message') AS m FROM (SELECT * FROM crossref_raw WHERE payload IS NOT NULL AND json_valid(payload)) WHERE json_type(payload, '$.message') = 'OBJECT'),
-w AS (SELECT * FROM m WHERE json_extract(m, '$.items') IS NULL)
-SELECT raw_id, json_extract_string(m, '$.DOI') AS doi,
-  coalesce(json_extract_string(m, '$.title[0]'), CASE WHEN json_type(m, '$.title') = 'VARCHAR' THEN json_extract_string(m, '$.title') END) AS title,
-  coalesce(json_extract_string(m, '$."container-title"[0]'), CASE WHEN json_type(m, '$."container-title"') = 'VARCHAR' THEN json_extract_string(m, '$."container-title"') END) AS venue,
-  CASE WHEN json_extract_string(m, '$.author[0].family') IS NOT NULL THEN concat_ws(' ', json_extract_string(m, '$.author[0].given'), json_extract_string(m, '$.author[0].family'))
-       ELSE json_extract_string(m, '$.author[0].name') END AS first_author,
-  coalesce(TRY_CAST(json_extract_string(m, '$.issued."date-parts"[0][0]') AS INT), TRY_CAST(json_extract_string(m, '$.published."date-parts"[0][0]') AS INT),
-    TRY_CAST(json_extract_string(m, '$."published-print"."date-parts"[0][0]') AS INT), TRY_CAST(json_extract_string(m, '$."published-online"."date-parts"[0][0]') AS INT),
-    TRY_CAST(json_extract_string(m, '$.created."date-parts"[0][0]') AS INT)) AS year,
-  CASE json_extract_string(m, '$.type') WHEN 'posted-content' THEN true WHEN 'journal-article' THEN false END AS is_preprint
-FROM w
+one AS (SELECT raw_id, 0 AS item_pos, m AS w FROM m WHERE json_extract(m, '$.items') IS NULL OR json_type(m, '$.items') = 'NULL'
+  UNION ALL SELECT raw_id, unnest(range(CAST(json_array_length(m, '$.items') AS BIGINT))), unnest(CAST(json_extract(m, '$.items') AS JSON[])) FROM m WHERE json_type(m, '$.items') = 'ARRAY')
+SELECT raw_id, CAST(item_pos AS INT) AS item_pos, json_extract_string(w, '$.DOI') AS doi, {_TEXT_OR_FIRST.format('title')} AS title, {_TEXT_OR_FIRST.format('container-title')} AS venue,
+  array_to_string({_NAMES}, '; ') AS authors,
+  coalesce({', '.join(f"""TRY_CAST(json_extract_string(w, '$."{f}"."date-parts"[0][0]') AS INT)""" for f in payloads.YEAR_FIELDS)}) AS year,
+  CASE json_extract_string(w, '$.type') WHEN 'posted-content' THEN true WHEN 'journal-article' THEN false END AS is_preprint
+FROM one WHERE json_type(w) = 'OBJECT'
 """)
 def s12_crossref_works(spark: SparkSession, d: str) -> DataFrame:
-    return payloads.crossref_works(table(spark, d, "crossref_raw"))
+    return payloads.crossref_works(table(spark, d, "crossref_raw")).withColumn("authors", F.array_join("authors", "; "))

@@ -20,19 +20,29 @@ def _first(v: Column, field: str) -> Column:
 
 
 def crossref_works(raw: DataFrame) -> DataFrame:
-    """Single works of stored replies; lists of works are shredded instead."""
+    """(raw_id, item_pos, doi, title, venue, authors, year, is_preprint) of each work of stored replies: the message, or
+    each element of its items. An author is given name and family, or the name of a group."""
     v = F.try_parse_json("payload")
-    m = raw.select("raw_id", F.try_variant_get(v, "$.message", "variant").alias("m")).filter(F.schema_of_variant("m").startswith("OBJECT"))
-    m = m.filter(_get(F.col("m"), "$.items", "variant").isNull())
-    w = F.col("m")
-    family, given, name = (_get(w, f"$.author[0].{k}") for k in ("family", "given", "name"))
+    is_object = lambda c: F.schema_of_variant(c).startswith("OBJECT")
+    m = raw.select("raw_id", F.try_variant_get(v, "$.message", "variant").alias("m")).filter(is_object("m"))
+    listed = _get(F.col("m"), "$.items", "variant")
+    each = F.when(listed.isNull(), F.array("m")).otherwise(_get(F.col("m"), "$.items", "array<variant>"))
+    works = m.select("raw_id", F.posexplode(each).alias("item_pos", "w")).filter(is_object("w"))
+    w = F.col("w")
     kind = _get(w, "$.type")
-    return m.select(
+
+    def name(a: Column) -> Column:
+        family, given, group = (_get(a, f"$.{k}") for k in ("family", "given", "name"))
+        return F.when(family.isNotNull(), F.concat_ws(" ", given, family)).otherwise(group)
+
+    people = F.coalesce(_get(w, "$.author", "array<variant>"), F.array().cast("array<variant>"))
+    return works.select(
         "raw_id",
+        "item_pos",
         _get(w, "$.DOI").alias("doi"),
         _first(w, "title").alias("title"),
         _first(w, "container-title").alias("venue"),
-        F.coalesce(F.when(family.isNotNull(), F.concat_ws(" ", given, family)), name).alias("first_author"),
+        F.filter(F.transform(people, name), lambda n: n.isNotNull()).alias("authors"),
         F.coalesce(*(_get(w, f'$["{f}"]["date-parts"][0][0]', "int") for f in YEAR_FIELDS)).alias("year"),
         F.when(kind == "posted-content", True).when(kind == "journal-article", False).alias("is_preprint"),
     )
