@@ -237,18 +237,17 @@ def family_links(families: DataFrame, least: float = FAMILY_COSINE, part: int =
     # What is left after the prefix has a length below `least`, and with any unit vector a cosine below it.
     before = F.transform("v", lambda _, i: F.aggregate(F.slice("v", F.lit(1), i), F.lit(0.0), lambda acc, g: acc + g["w"] * g["w"]))
     inside = F.size(F.filter(before, lambda b: 1 - b >= least * least))
-    weights = F.transform("v", lambda g: g["w"])
-    left = F.aggregate(F.slice(weights, inside + 1, F.size("v")), F.lit(0.0), lambda acc, w: acc + w)
-    prefix = vector.select("id", left.alias("left"), F.array_max(weights).alias("top"), F.explode(F.slice("v", F.lit(1), inside)).alias("g"))
-    prefix = written(prefix.select(F.xxhash64("g.gram").alias("gram"), "id", F.col("g.w").alias("w"), "left", "top"), "family-prefixes")
+    left = F.aggregate(F.slice("v", inside + 1, F.size("v")), F.lit(0.0), lambda acc, g: acc + g["w"] * g["w"])
+    prefix = vector.select("id", left.alias("left"), "norm", F.explode(F.slice("v", F.lit(1), inside)).alias("g"))
+    prefix = written(prefix.select(F.xxhash64("g.gram").alias("gram"), "id", F.col("g.w").alias("w"), "left", "norm"), "family-prefixes")
     # Few bytes, many comparisons: a number of partitions that isn't merged by size keeps all cores at work.
     spark = families.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    side = lambda k: prefix.select("gram", *(F.col(c).alias(k if c == "id" else c + k) for c in ("id", "w", "left", "top")))
+    side = lambda k: prefix.select("gram", *(F.col(c).alias(k if c == "id" else c + k) for c in ("id", "w", "left", "norm")))
     met = within_keys(side("a").repartition(parts, "gram"), side("b").repartition(parts, "gram"), ["gram"], part).filter(F.col("a") < F.col("b"))
-    # Shared n-grams outside of either prefix lie behind the prefix that ends first, so the sum of the weights it leaves
-    # times the largest weight of the other vector bounds what they add.
-    reach = F.sum(F.col("wa") * F.col("wb")) + F.max(F.greatest(F.col("lefta") * F.col("topb"), F.col("leftb") * F.col("topa")))
+    # Shared n-grams outside of either prefix lie behind the prefix that ends first. They weigh the same in both vectors
+    # but for the norms, so they add at most what that prefix leaves of its vector's square, in the other's measure.
+    reach = F.sum(F.col("wa") * F.col("wb")) + F.max(F.greatest(F.col("lefta") * F.col("norma") / F.col("normb"), F.col("leftb") * F.col("normb") / F.col("norma")))
     pairs = met.groupBy("a", "b").agg(reach.alias("reach")).filter(F.col("reach") >= least - 1e-9).select("a", "b")
     # An n-gram weighs the same in both vectors but for their lengths.
     dot = F.aggregate(F.array_intersect("sa", "sb"), F.lit(0.0), lambda acc, g: acc + g["square"])
