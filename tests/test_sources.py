@@ -54,6 +54,15 @@ def test_ledgers_round_trip_and_refuse_unknown_keys(spark, tmp_path):
         files.read_ledgers(spark, str(tmp_path / "bad" / "x.json")).collect()
 
 
+def test_newest_ledgers_come_first(spark, tmp_path):
+    import os
+
+    for k, name in enumerate(["b_ledger.json", "a_ledger.json", "notes.json"]):
+        (tmp_path / name).write_text("{}")
+        os.utime(tmp_path / name, (1_000_000 + k, 1_000_000 + k))
+    assert [r.file for r in files.newest_ledgers(spark, str(tmp_path)).collect()] == ["a_ledger.json", "b_ledger.json"]
+
+
 def test_labels(spark, tmp_path):
     (tmp_path / "p.json").write_text(json.dumps({"document": "p", "control": False, "labels": [{"ref_id": "R1", "expected_indicators": ["orphan"], "injected": True}]}, indent=1))
     r = files.read_labels(spark, str(tmp_path)).collect()[0]

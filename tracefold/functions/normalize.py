@@ -159,6 +159,12 @@ def request_key(url: Column, params: Column, schema_version: int) -> Column:
     return F.sha2(F.to_json(F.struct(ordered.alias("params"), F.lit(schema_version).alias("schema_version"), url.alias("url"))), 256)
 
 
+def extraction_key(entry: Column, model: Column, temperature: Column, prompt_version: int, schema_version: int) -> Column:
+    """SHA-256 of everything that can change a model's reply to a printed entry."""
+    parts = (entry, model, F.format_string("%.3f", temperature), F.lit(str(prompt_version)), F.lit(str(schema_version)))
+    return F.sha2(F.concat_ws("\x1f", *(F.coalesce(c, F.lit("\x00")) for c in parts)), 256)
+
+
 def doi_in_text(text: Column) -> Column:
     """First DOI printed in a text, without the marks that follow it; null without one."""
     return F.nullif(F.regexp_replace(F.regexp_extract(text, r"(10\.\d{4,9}/[^\s\"<>,;]+)", 1), r"[.):\]]+$", ""), F.lit(""))

@@ -193,6 +193,28 @@ def indicators(
     return joined.select("row_id", F.concat_ws(",", *(flag(c, n) for c, n in names)).alias("indicators"), F.concat_ws("; ", *(flag(c, n) for c, n in why)).alias("notes"))
 
 
+#: Fields that are shown side by side, as printed and as registered.
+PANEL = ("title", "authors", "year", "doi", "venue", "arxiv_id")
+
+
+def panel(refs: DataFrame, sources: DataFrame, resolved: DataFrame) -> DataFrame:
+    """(row_id, printed, found, provider, lookup, url): the same fields of a reference and its record, null where one has
+    none, and where to look it up: the record's own address, an identifier of either, or a search for the title."""
+    shown = lambda: F.struct(*((F.array_join(c, ", ") if c == "authors" else F.col(c).cast("string")).alias(c) for c in PANEL))
+    found = sources.select("source_id", "provider", "url", shown().alias("found"))
+    printed = refs.select("row_id", shown().alias("printed"))
+    j = printed.join(resolved.select("row_id", "source_id"), "row_id").join(found, "source_id", "left")
+    doi = N.normalise_doi(F.coalesce(F.nullif(F.col("found.doi"), F.lit("")), F.nullif(F.col("printed.doi"), F.lit(""))))
+    arxiv = F.coalesce(F.nullif(F.col("found.arxiv_id"), F.lit("")), F.nullif(F.col("printed.arxiv_id"), F.lit("")))
+    title = F.nullif(F.col("printed.title"), F.lit(""))
+    ways = [
+        ("record", F.nullif(F.col("url"), F.lit(""))), ("doi", F.concat(F.lit("https://doi.org/"), doi)), ("arxiv", F.concat(F.lit("https://arxiv.org/abs/"), arxiv)),
+        ("title search", F.concat(F.lit("https://scholar.google.com/scholar?q="), F.url_encode(title))),
+    ]
+    first = first_match([(u.isNotNull(), F.struct(F.lit(k).alias("lookup"), u.alias("url"))) for k, u in ways], F.lit(None))
+    return j.withColumn("way", first).select("row_id", "printed", "found", "provider", "way.lookup", "way.url")
+
+
 def first_match(rules: list[tuple[Column, Column]], otherwise: Column) -> Column:
     """An ordered decision table as one expression: the value of the first condition that holds; null doesn't hold."""
     out = None

@@ -50,6 +50,20 @@ def split_bibliography(docs: DataFrame) -> DataFrame:
     return d.withColumns({"body_text": F.array_join(body, "\n"), "references_text": F.when(h.isNotNull(), F.array_join(refs, "\n"))}).drop("_lines")
 
 
+def front_body_references(docs: DataFrame) -> DataFrame:
+    """Adds front, body and bibliography: the lines before the first that says ABSTRACT, from there to the last heading,
+    and after it. Without that line the front is empty, without a heading the body goes on to the end."""
+    d = docs.withColumn("_lines", lines(F.col("text"))).withColumn("_h", last_heading(F.col("_lines")))
+    places = F.filter(F.transform("_lines", lambda x, i: F.when(F.upper(F.trim(x)) == "ABSTRACT", i + 1)), lambda p: p.isNotNull())
+    d = d.withColumn("_a", F.array_min(places))
+    n, start = F.size("_lines"), F.coalesce(F.col("_a"), F.lit(1))
+    end = F.coalesce(F.col("_h"), n + 1)
+    part = lambda a, b: F.array_join(F.slice("_lines", a, F.greatest(F.lit(0), b)), "\n")
+    return d.withColumns(
+        {"front": part(F.lit(1), start - 1), "body": part(start, end - start), "bibliography": F.when(F.col("_h").isNotNull(), part(end + 1, n - end))}
+    ).drop("_lines", "_h", "_a")
+
+
 def fallback_start(n_pages: Column, share: float) -> Column:
     """First page of the tail that stands in for a bibliography without a heading; null without pages."""
     tail = F.greatest(F.lit(1), F.floor(n_pages * F.lit(share)).cast("int"))

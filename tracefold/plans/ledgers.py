@@ -540,6 +540,30 @@ def u01_author_sets(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query("""
+SELECT row_id, sha256(concat_ws(chr(31), coalesce(raw_text, chr(0)), 'reader', '0.000', '2', '1')) AS key FROM bib_refs
+""")
+def m12_extraction_keys(spark: SparkSession, d: str) -> DataFrame:
+    key = N.extraction_key(F.col("raw_text"), F.lit("reader"), F.lit(0.0), 2, SETTINGS.cache_schema_version)
+    return table(spark, d, "bib_refs").select("row_id", key.alias("key"))
+
+
+@query(_RESOLVE.rstrip() + f"""
+SELECT r.row_id, cur.title AS printed_title, s.title AS found_title, array_to_string(cur.authors, ', ') AS printed_authors, array_to_string(s.authors, ', ') AS found_authors,
+  CAST(cur.year AS VARCHAR) AS printed_year, CAST(s.year AS VARCHAR) AS found_year, s.provider,
+  CASE WHEN nullif(s.url, '') IS NOT NULL THEN 'record' WHEN coalesce(nullif(s.doi, ''), nullif(cur.doi, '')) IS NOT NULL THEN 'doi'
+    WHEN coalesce(nullif(s.arxiv_id, ''), nullif(cur.arxiv_id, '')) IS NOT NULL THEN 'arxiv' WHEN nullif(cur.title, '') IS NOT NULL THEN 'title search' END AS lookup,
+  coalesce(nullif(s.url, ''), 'https://doi.org/' || {_doi("coalesce(nullif(s.doi, ''), nullif(cur.doi, ''))")}, 'https://arxiv.org/abs/' || coalesce(nullif(s.arxiv_id, ''), nullif(cur.arxiv_id, '')),
+    'https://scholar.google.com/scholar?q=' || replace(replace(replace(url_encode(nullif(cur.title, '')), '%20', '+'), '%2A', '*'), '~', '%7E')) AS url
+FROM resolved r JOIN cur USING (row_id) LEFT JOIN resolved_sources s ON s.source_id = r.source_id
+""")
+def pred_p08_panel(spark: SparkSession, d: str) -> DataFrame:
+    """Each reference beside its record, and where to look it up."""
+    p = linkage.panel(*_resolved(spark, d, [*ASKED, "venue"]))
+    sides = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for c in ("title", "authors", "year") for side in ("printed", "found")]
+    return p.select("row_id", *sides, "provider", "lookup", "url")
+
+
 @query("""
 WITH p AS (
   SELECT row_id, raw_text, doi, arxiv_id, regexp_replace(lower(coalesce(raw_text, '')), '\\s+', '', 'g') AS entry,

@@ -52,6 +52,17 @@ def t03_bibliography_split(spark: SparkSession, d: str) -> DataFrame:
     return s.select("doc_id", "heading_line", F.md5("body_text").alias("body"), F.md5("references_text").alias("bibliography"))
 
 
+@query(f"""
+WITH {_LINES}, h AS (SELECT doc_id, max(line_no) FILTER (regexp_matches(line, {_HEAD})) AS h, min(line_no) FILTER (upper(regexp_replace(line, '^ +| +$', '', 'g')) = 'ABSTRACT') AS a FROM lin GROUP BY doc_id),
+x AS (SELECT arr.doc_id, ls, coalesce(a, 1) AS a, h FROM arr LEFT JOIN h USING (doc_id))
+SELECT doc_id, md5(array_to_string(ls[1:a - 1], chr(10))) AS front, md5(array_to_string(ls[a:coalesce(h, len(ls) + 1) - 1], chr(10))) AS body,
+  CASE WHEN h IS NOT NULL THEN md5(array_to_string(ls[h + 1:], chr(10))) END AS bibliography FROM x
+""")
+def t18_front_body_references(spark: SparkSession, d: str) -> DataFrame:
+    s = segment.front_body_references(table(spark, d, "documents").select("doc_id", "text"))
+    return s.select("doc_id", F.md5("front").alias("front"), F.md5("body").alias("body"), F.md5("bibliography").alias("bibliography"))
+
+
 @query("SELECT ledger_id, CASE WHEN n_pages > 0 THEN CAST(greatest(1, n_pages - greatest(1, CAST(floor(n_pages * 0.15) AS INT)) + 1) AS INT) END AS start_page FROM ledgers")
 def t04_fallback_pages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "ledgers").select("ledger_id", segment.fallback_start(F.col("n_pages"), SETTINGS.fallback_share).alias("start_page"))

@@ -69,6 +69,12 @@ def read_ledgers(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("e.*")
 
 
+def newest_ledgers(spark: SparkSession, path: str) -> DataFrame:
+    """(file, written_at) of the ledger files under a path, the newest first; only the listing is read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*_ledger.json").option("recursiveFileLookup", True).load(path)
+    return files.select(document_name(F.col("path")).alias("file"), F.col("modificationTime").alias("written_at")).orderBy(F.desc("written_at"), "file")
+
+
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """One row per label of the label files under a path, with the name its file should have."""
     files = spark.read.schema(LABEL_SCHEMA).option("mode", "FAILFAST").option("multiLine", True).json(path)
