@@ -119,3 +119,19 @@ def test_headings(spark, line):
 
 def test_reflow(spark):
     assert one(spark, segment.reflow(F.col("t")), "We saw 12 Cases here. 2.1 Methods were\n• one • two 3.2.1 End") == ["We saw 12 Cases here.", "2.1 Methods were", "• one", "• two", "3.2.1 End"]
+
+
+def test_pages(spark):
+    pages = [
+        ["intro", "References\nmore", "body\n7. REFERENCES \n[1] a", "[2] b"], ["a", "b", "last\ntwo", "", "  "], ["one only"], ["", None], [], None,
+        ["text\nReferences", ""], [f"p{i}" for i in range(20)],
+    ]
+    df = spark.createDataFrame([(i, p, "x") for i, p in enumerate(pages)], "doc_id long, pages array<string>, body_text string")
+    rows = {r.doc_id: r for r in segment.split_pages(df.drop("body_text")).withColumn("bib", segment.bibliography_pages(F.col("pages"), F.col("ref_start_page"))).collect()}
+    got = {i: (r.ref_start_page, r.body_text, r.references_text) for i, r in rows.items()}
+    assert got[0] == (3, "intro\n\nReferences\nmore\n\nbody", "[1] a\n\n[2] b") and rows[0].notes == ["several headings, split at the last"] and len(rows[0].bib) == 2
+    assert got[1] == (3, "a\n\nb", "last\ntwo\n\n  ") and "last pages blank, widened" in rows[1].notes
+    assert got[2] == (1, "", "one only") and rows[2].notes[-1] == "a single page, all of it taken"
+    assert got[3] == got[4] == got[5] == (None, "", "") and rows[3].notes == ["no text on any page"] and rows[3].bib == []
+    assert got[6] == (1, "text", "") and rows[6].notes == ["nothing behind the heading"]
+    assert got[7][0] == 18 and rows[7].references_text == "p17\n\np18\n\np19"

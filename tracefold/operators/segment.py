@@ -70,6 +70,56 @@ def fallback_start(n_pages: Column, share: float) -> Column:
     return F.when(n_pages > 0, F.greatest(F.lit(1), n_pages - tail + 1))
 
 
+def page_text(pages: Column) -> Column:
+    """All pages as one text, a blank line between them."""
+    return F.array_join(pages, "\n\n")
+
+
+def _joined(ls: Column) -> Column:
+    """Lines (page, line) as text: line ends within a page, a blank line between pages; pages without lines add none."""
+    before = lambda x, i: F.when(i == 0, "").when(x["page"] == F.element_at(ls, i)["page"], "\n").otherwise("\n\n")
+    return F.array_join(F.transform(ls, lambda x, i: F.concat(before(x, i), x["line"])), "")
+
+
+def split_pages(docs: DataFrame, pages: str = "pages", share: float = 0.15) -> DataFrame:
+    """Adds body_text, references_text, ref_start_page and notes to documents given as arrays of pages, within the row.
+
+    The last heading line splits, and is in neither part. Without one, the last `share` of the pages, one at least, is
+    the bibliography, widened backwards until it holds text. A document without any text has two empty parts and no
+    page. Null arrays count as empty."""
+    own = F.coalesce(pages, F.array().cast("array<string>"))
+    d = docs.withColumn("_pages", F.transform(own, lambda p: F.coalesce(p, F.lit(""))))
+    with_page = F.transform("_pages", lambda p, i: F.transform(lines(p), lambda x: F.struct((i + 1).alias("page"), x.alias("line"))))
+    d = d.withColumn("_ls", F.flatten(with_page))
+    heads = F.filter(F.transform("_ls", lambda x, i: F.when(x["line"].rlike(HEADING), i + 1)), lambda p: p.isNotNull())
+    full = F.filter(F.transform("_pages", lambda p, i: F.when(p.rlike(r"\S"), i + 1)), lambda p: p.isNotNull())
+    d = d.withColumns({"_heads": heads, "_last": F.array_max(full), "_total": F.size("_pages")})
+    d = d.withColumn("_h", F.array_max("_heads"))
+    tail = F.greatest(F.lit(1), F.floor(F.col("_total") * F.lit(share)).cast("int"))
+    wanted = F.col("_total") - tail + 1
+    blank, h, n = F.col("_last").isNull(), F.col("_h"), F.size("_ls")
+    fallen = F.least(wanted, F.col("_last"))
+    d = d.withColumn("ref_start_page", F.when(blank, F.lit(None).cast("int")).when(h.isNotNull(), F.try_element_at("_ls", h)["page"]).otherwise(fallen))
+    start = F.col("ref_start_page")
+    body = F.when(h.isNotNull(), F.slice("_ls", F.lit(1), h - 1)).otherwise(F.filter("_ls", lambda x: x["page"] < start))
+    refs = F.when(h.isNotNull(), F.slice("_ls", h + 1, n)).otherwise(F.filter("_ls", lambda x: x["page"] >= start))
+    d = d.withColumns({"_body": body, "_refs": refs})
+    text = lambda c: F.when(blank, "").otherwise(_joined(F.col(c)))
+    d = d.withColumns({"body_text": text("_body"), "references_text": text("_refs")})
+    empty = ~F.col("references_text").rlike(r"\S")
+    notes = [
+        (blank, "no text on any page"), (~blank & (F.size("_heads") > 1), "several headings, split at the last"), (~blank & h.isNotNull() & empty, "nothing behind the heading"),
+        (~blank & h.isNull(), "no heading, last pages taken"), (~blank & h.isNull() & (fallen < wanted), "last pages blank, widened"), (~blank & h.isNull() & (F.col("_total") == 1), "a single page, all of it taken"),
+    ]
+    d = d.withColumn("notes", F.array_compact(F.array(*(F.when(c, F.lit(t)) for c, t in notes))))
+    return d.drop("_pages", "_ls", "_heads", "_last", "_total", "_h", "_body", "_refs")
+
+
+def bibliography_pages(pages: Column, start: Column) -> Column:
+    """The pages from the bibliography's first on; none without one."""
+    return F.when(start.isNull(), F.array().cast("array<string>")).otherwise(F.slice(pages, start, F.size(pages)))
+
+
 def numbered_lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, line_no, line), line numbers from 1."""
     return docs.select(key, F.posexplode(lines(F.col("text"))).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)

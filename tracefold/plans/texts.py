@@ -68,6 +68,28 @@ def t04_fallback_pages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "ledgers").select("ledger_id", segment.fallback_start(F.col("n_pages"), SETTINGS.fallback_share).alias("start_page"))
 
 
+@query(f"""
+WITH pg AS (SELECT doc_id, unnest(range(1, len(p) + 1)) AS page, len(p) AS total, unnest(p) AS text FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10) || chr(10)) AS p FROM documents)),
+sp AS (SELECT doc_id, page, regexp_split_to_array(text, {_NL}) AS p FROM pg),
+ar AS (SELECT doc_id, page, CASE WHEN p[-1] = '' THEN p[:-2] ELSE p END AS ls FROM sp),
+ln AS (SELECT doc_id, page, unnest(range(1, len(ls) + 1)) AS n, unnest(ls) AS line FROM ar),
+nb AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, n) AS k FROM ln),
+h AS (SELECT doc_id, max(k) AS h FROM nb WHERE regexp_matches(line, {_HEAD}) GROUP BY doc_id),
+f AS (SELECT doc_id, any_value(total) AS total, max(page) FILTER (regexp_matches(text, '[^\\s\\x0b]')) AS full_page FROM pg GROUP BY doc_id),
+st AS (SELECT f.doc_id, h.h, CASE WHEN full_page IS NULL THEN NULL WHEN h.h IS NOT NULL THEN nb.page ELSE least(total - greatest(1, CAST(floor(total * 0.15) AS INT)) + 1, full_page) END AS start
+  FROM f LEFT JOIN h USING (doc_id) LEFT JOIN nb ON nb.doc_id = f.doc_id AND nb.k = h.h),
+pa AS (SELECT nb.doc_id, page, n, line, CASE WHEN h IS NOT NULL THEN CASE WHEN k < h THEN 'b' WHEN k > h THEN 'r' END WHEN page < start THEN 'b' ELSE 'r' END AS part FROM nb JOIN st USING (doc_id) WHERE start IS NOT NULL),
+ch AS (SELECT doc_id, part, page, string_agg(line, chr(10) ORDER BY n) AS c FROM pa WHERE part IS NOT NULL GROUP BY ALL),
+tx AS (SELECT doc_id, string_agg(c, chr(10) || chr(10) ORDER BY page) FILTER (part = 'b') AS b, string_agg(c, chr(10) || chr(10) ORDER BY page) FILTER (part = 'r') AS r FROM ch GROUP BY doc_id)
+SELECT st.doc_id, CAST(st.start AS INT) AS ref_start_page, md5(coalesce(b, '')) AS body, md5(coalesce(r, '')) AS bibliography FROM st LEFT JOIN tx USING (doc_id)
+""")
+def t02_page_split(spark: SparkSession, d: str) -> DataFrame:
+    """Passages whose blank lines part pages, split into body and bibliography."""
+    docs = table(spark, d, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n\n").alias("pages"))
+    s = segment.split_pages(docs, "pages", SETTINGS.fallback_share)
+    return s.select("doc_id", "ref_start_page", F.md5("body_text").alias("body"), F.md5("references_text").alias("bibliography"))
+
+
 @query(f"""
 WITH {_LINES}, m AS (SELECT *, regexp_replace(trim(line), '\\d+', '#', 'g') AS mask FROM lin WHERE NOT regexp_full_match(trim(line), '\\d{{1,4}}')),
 often AS (SELECT doc_id, mask FROM m WHERE length(trim(line)) >= 30 GROUP BY doc_id, mask HAVING count(*) >= 3)
