@@ -1,7 +1,7 @@
 """Nested JSON replies into flat tables with parent-child links, by way of an adjacency table.
 
 The adjacency table has one row per JSON node: the reply, the node, its parent, the label under which the
-parent holds it, its ordinal in a list, its kind and, of scalars, the text. Entity tables come from joins of
+parent holds it (an element of a list has the list's), its ordinal in a list, its kind and, of scalars, the text. Entity tables come from joins of
 object nodes with their children. Node numbers count in document order within a reply, so (reply, node) is a
 key and every join runs on (reply, parent); the replies are spread by id, and a reply never needs another.
 """
@@ -79,7 +79,7 @@ def nodes_of(payload: str | None, embedded: str = "message") -> list[tuple]:
             stack += [(node, k.encode("utf-8", "replace").decode(), None, v) for k, v in reversed(value.items())]
         elif isinstance(value, list):
             out.append((node, parent, label, ordinal, "array", None))
-            stack += [(node, None, i, v) for i, v in reversed(list(enumerate(value)))]
+            stack += [(node, label, i, v) for i, v in reversed(list(enumerate(value)))]
         else:
             out.append((node, parent, label, ordinal, "null" if value is None else "scalar", _text(value)))
     return out
@@ -106,31 +106,26 @@ def adjacency(raw: DataFrame, key: str = "raw_id", payload: str = "payload") ->
     )
 
 
-#: Labels under which the entity tables look.
-LABELS = [
-    "message", "items", "indexed", "date-parts", "license", "URL", "content-domain", "domain", "author", "reference",
-    "DOI", "type", "publisher", "issue", "volume", "given", "family", "name", "sequence", "key", "year", "unstructured",
-]
-
-
-def _side(nodes: DataFrame) -> DataFrame:
-    """The nodes as children, by reply and parent. All steps join with this one table, so it is read and shuffled once."""
-    return nodes.filter(F.col("label").isin(LABELS) | F.col("ordinal").isNotNull()).select(
+def _side(nodes: DataFrame, labels: list[str]) -> DataFrame:
+    """The nodes under the labels, lists' elements among them, as children by reply and parent: what a step reads and
+    shuffles."""
+    return nodes.filter(F.col("label").isin(labels)).select(
         "raw_id", F.col("parent").alias("at"), F.col("node").alias("child"), F.col("label").alias("c_label"), F.col("ordinal").alias("c_ordinal"),
         F.col("kind").alias("c_kind"), F.col("scalar").alias("c_scalar"),
     )
 
 
-def _step(frontier: DataFrame, nodes: DataFrame, go: Column, want: Column, keep: bool = False) -> DataFrame:
+def _step(frontier: DataFrame, nodes: DataFrame, labels: list[str], go: Column, want: Column, keep: bool = False) -> DataFrame:
     """Takes the rows of the frontier for which `go` holds to their children under the label `want`, or to the elements
     of a list where `want` is null; the other rows stay where they are. Rows without such a child are let go unless
-    `keep`. `ordinal` is the child's place, null for rows that stayed. One chain of joins comes of it, no branch."""
+    `keep`. `labels` are all that can be met. `ordinal` is the child's place, null for rows that stayed. One chain of joins
+    comes of it, no branch."""
     f = frontier.withColumns({"go": F.coalesce(go, F.lit(False)), "want": want.cast("string")}).alias("f")
-    # Of both sides, so that the join stays on (raw_id, at) and the children's table the same for every step.
-    wanted = F.col("f.go") & F.when(F.col("f.want").isNull(), F.col("c.c_ordinal").isNotNull()).otherwise(F.col("c.c_label") == F.col("f.want"))
+    held = F.col("c.c_ordinal").isNull() & (F.col("c.c_label") == F.col("f.want"))
+    wanted = F.col("f.go") & F.when(F.col("f.want").isNull(), F.col("c.c_ordinal").isNotNull()).otherwise(held)
     on = (F.col("f.raw_id") == F.col("c.raw_id")) & (F.col("f.at") == F.col("c.at")) & wanted
     rest = [c for c in frontier.columns if c not in ("raw_id", "at", "kind", "scalar", "ordinal")]
-    joined = f.join(_side(nodes).alias("c"), on, "left")
+    joined = f.join(_side(nodes, labels).alias("c"), on, "left")
     if not keep:
         joined = joined.filter(F.col("c.child").isNotNull() | ~F.col("f.go"))
     moved = lambda new, old: F.when(F.col("f.go"), F.col(new)).otherwise(F.col(old)).alias(old.removeprefix("f."))
@@ -145,16 +140,16 @@ def works(nodes: DataFrame) -> DataFrame:
     where there is no message. A null or other non-object work holds nothing."""
     always, kind = F.lit(True), F.col("kind")
     roots = nodes.filter(F.col("parent").isNull()).select("raw_id", F.col("node").alias("at"), "kind", "scalar")
-    top = _step(roots, nodes, always, F.lit("message"), keep=True).withColumn("wrapped", kind.isNotNull()).filter(~F.col("wrapped") | (kind == "object"))
+    top = _step(roots, nodes, ["message"], always, F.lit("message"), keep=True).withColumn("wrapped", kind.isNotNull()).filter(~F.col("wrapped") | (kind == "object"))
     # Only a message can hold items.
-    items = _step(top, nodes, F.col("wrapped"), F.lit("items"), keep=True)
-    each = _step(items, nodes, kind == "array", F.lit(None), keep=False).filter(kind.isNull() | (kind == "object"))
+    items = _step(top, nodes, ["items"], F.col("wrapped"), F.lit("items"), keep=True)
+    each = _step(items, nodes, ["items"], kind == "array", F.lit(None)).filter(kind.isNull() | (kind == "object"))
     return each.select("raw_id", F.coalesce("ordinal", F.lit(0)).alias("item_pos"), "at", F.lit("object").alias("kind"), F.lit(None).cast("string").alias("scalar"))
 
 
-def _elements(lists: DataFrame, nodes: DataFrame, place: str) -> DataFrame:
+def _elements(lists: DataFrame, nodes: DataFrame, label: str, place: str) -> DataFrame:
     """The elements of list nodes with their place; a single value in place of a list is its only element."""
-    return _step(lists, nodes, F.col("kind") == "array", F.lit(None)).withColumn(place, F.coalesce("ordinal", F.lit(0)))
+    return _step(lists, nodes, [label], F.col("kind") == "array", F.lit(None)).withColumn(place, F.coalesce("ordinal", F.lit(0)))
 
 
 #: The lists of a work whose leaves are told: under which label of which part they are.
@@ -171,17 +166,17 @@ def work_leaves(nodes: DataFrame) -> DataFrame:
     licence = part == "license"
     label = F.element_at(F.create_map(*(F.lit(x) for kv in _LISTS.items() for x in kv)), part)
     parts = works(nodes).withColumn("part", F.explode(F.array(*(F.lit(k) for k in _LISTS))))
-    held = _step(parts, nodes, F.lit(True), part).filter(F.when(licence, kind.isin("object", "array")).otherwise(kind == "object"))
+    held = _step(parts, nodes, list(_LISTS), F.lit(True), part).filter(F.when(licence, kind.isin("object", "array")).otherwise(kind == "object"))
     # Elements of licence lists, and what other parts hold under their label; then the licences' URL, and the others'
     # elements; then elements of lists within, which domains don't have.
-    first = _step(held, nodes, ~licence | (kind == "array"), F.when(~licence, label)).withColumn("pos1", F.when(licence, F.coalesce("ordinal", F.lit(0))))
-    second = _step(first.filter(~licence | (kind == "object")), nodes, licence | (kind == "array"), F.when(licence, label)).withColumn(
+    first = _step(held, nodes, ["license", "date-parts", "domain"], ~licence | (kind == "array"), F.when(~licence, label)).withColumn("pos1", F.when(licence, F.coalesce("ordinal", F.lit(0))))
+    second = _step(first.filter(~licence | (kind == "object")), nodes, ["URL", "date-parts", "domain"], licence | (kind == "array"), F.when(licence, label)).withColumn(
         "pos1", F.when(licence, F.col("pos1")).otherwise(F.coalesce("ordinal", F.lit(0)))
     )
     # Scalars beside lists count as lists of one; scalars alone are a flat list.
     mixed = F.max(kind == "array").over(Window.partitionBy("raw_id", "item_pos", "part"))
     second = second.withColumn("flat", (part == "indexed") & ~mixed)
-    third = _step(second, nodes, (kind == "array") & (part != "content-domain"), F.lit(None))
+    third = _step(second, nodes, ["URL", "date-parts"], (kind == "array") & (part != "content-domain"), F.lit(None))
     inner = F.coalesce(F.col("ordinal"), F.when(F.col("flat"), F.col("pos1")).otherwise(0))
     return third.filter(kind == "scalar").select(
         "raw_id", "item_pos", F.concat_ws(".", part, label).alias("field"), F.when(F.col("flat"), 0).otherwise(F.col("pos1")).alias("pos1"),
@@ -194,7 +189,7 @@ def entity_table(nodes: DataFrame, owners: DataFrame, columns: dict[str, str]) -
     columns: JSON label to column name. Owners without any of them keep a row of nulls."""
     keep = [c for c in owners.columns if c not in ("raw_id", "at", "kind", "scalar")]
     wanted = owners.withColumn("owner", F.col("at")).withColumn("label", F.explode(F.array(*(F.lit(k) for k in columns))))
-    kids = _step(wanted, nodes, F.lit(True), F.col("label"), keep=True)
+    kids = _step(wanted, nodes, list(columns), F.lit(True), F.col("label"), keep=True)
     value = F.when(F.col("kind") == "scalar", F.col("scalar"))
     return kids.groupBy("raw_id", F.col("owner").alias("at"), *keep).agg(*(F.max(F.when(F.col("label") == k, value)).alias(v) for k, v in columns.items()))
 
@@ -213,8 +208,8 @@ def work_table(nodes: DataFrame) -> DataFrame:
 
 def _listed(nodes: DataFrame, label: str) -> DataFrame:
     """The objects listed under a label of each work, with their place."""
-    lists = _step(works(nodes).withColumn("work_node", F.col("at")), nodes, F.lit(True), F.lit(label))
-    return _elements(lists, nodes, "pos").filter(F.col("kind") == "object").drop("ordinal")
+    lists = _step(works(nodes).withColumn("work_node", F.col("at")), nodes, [label], F.lit(True), F.lit(label))
+    return _elements(lists, nodes, label, "pos").filter(F.col("kind") == "object").drop("ordinal")
 
 
 def author_table(nodes: DataFrame) -> DataFrame:
