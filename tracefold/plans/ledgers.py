@@ -669,6 +669,40 @@ def s13_openalex_works(spark: SparkSession, d: str) -> DataFrame:
     return read.select("source_id", "w.title", F.coalesce(F.size("w.authors"), F.lit(0)).alias("n_authors"), "w.year", "w.doi", "w.is_retracted", "w.is_preprint")
 
 
+_LABELS = f"""
+WITH {_CURRENT}, lab AS (
+  SELECT document_name AS document, regexp_replace(document_name, '\\.[^.]*$', '') AS file_stem, CASE WHEN n_pages IS NOT NULL THEN n_pages > 20 END AS control,
+    CASE WHEN n_pages > 10 THEN 'CC0' ELSE 'other' END AS license, row_number() OVER (PARTITION BY v.ledger_id ORDER BY ref_id) - 1 AS pos, ref_id,
+    indicators[1] AS defect_id, status AS expected_status, indicators AS expected_indicators, rationale AS defect, coalesce(len(indicators), 0) > 0 AS injected,
+    judge_model AS verified_by, strftime(judged_at, '%Y-%m-%d') AS verified_on
+  FROM ver v JOIN ledgers l ON v.ledger_id = l.ledger_id),
+own AS (SELECT document, ref_id, unnest(list_filter([
+    CASE WHEN file_stem <> regexp_replace(document, '\\.pdf$', '', 'i') THEN 'file_name' END, CASE WHEN control IS NULL THEN 'no_control_flag' END,
+    CASE WHEN license <> 'CC0' THEN 'unknown_licence' END, CASE WHEN coalesce(TRY_CAST(regexp_extract(ref_id, '^R0*(\\d{{1,9}})$', 1) AS INT) <> pos + 1, true) THEN 'id_out_of_turn' END,
+    CASE WHEN injected AND NOT (coalesce(defect_id, '') <> '' AND coalesce(defect, '') <> '') THEN 'injected_without_defect' END,
+    CASE WHEN NOT injected AND (coalesce(defect_id, '') <> '' OR coalesce(defect, '') <> '') THEN 'defect_without_injection' END,
+    CASE WHEN (coalesce(verified_by, '') <> '') <> (coalesce(verified_on, '') <> '') THEN 'half_verified' END,
+    CASE WHEN coalesce(control, false) AND injected THEN 'injected_in_control' END], lambda r: r IS NOT NULL)) AS rule FROM lab),
+twice AS (SELECT document, ref_id, 'repeated_id' AS rule FROM lab GROUP BY document, ref_id HAVING count(*) > 1),
+spread AS (SELECT min(struct_pack(document := document, ref_id := ref_id)) AS k FROM lab WHERE coalesce(defect_id, '') <> '' GROUP BY defect_id HAVING count(DISTINCT document) > 1)
+SELECT document, ref_id, rule FROM own UNION ALL SELECT * FROM twice UNION ALL SELECT k.document, k.ref_id, 'defect_in_several_documents' FROM spread
+"""
+
+
+@query(_LABELS)
+def a16_label_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Verdicts taken as labels of their documents, their indicators as planted defects."""
+    v = state.current_verdicts(table(spark, d, "verdicts"), ["status", "indicators", "rationale", "judge_model"])
+    name, pages = F.col("document_name"), F.col("n_pages")
+    labels = v.join(table(spark, d, "ledgers"), "ledger_id").select(
+        name.alias("document"), files.stem(name).alias("file_stem"), (pages > 20).alias("control"), F.when(pages > 10, "CC0").otherwise("other").alias("license"),
+        (F.row_number().over(Window.partitionBy("ledger_id").orderBy("ref_id")) - 1).alias("pos"), "ref_id", F.try_element_at("indicators", F.lit(1)).alias("defect_id"),
+        F.col("status").alias("expected_status"), F.col("indicators").alias("expected_indicators"), F.col("rationale").alias("defect"),
+        (F.coalesce(F.size("indicators"), F.lit(0)) > 0).alias("injected"), F.col("judge_model").alias("verified_by"), F.date_format("judged_at", "yyyy-MM-dd").alias("verified_on"),
+    )
+    return constraints.label_violations(labels)
+
+
 # ---- Sources and sinks -------------------------------------------------------------------------------------
 
 

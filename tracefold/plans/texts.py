@@ -160,6 +160,18 @@ def t21_reflow(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.size("p").cast("long").alias("paragraphs"), F.array_max(F.transform("p", F.length)).alias("longest"))
 
 
+@query(f"""
+WITH {_LINES}, t AS (SELECT doc_id, lower(regexp_replace(ls[1], '[^\\p{{L}}\\p{{N}}]+', '', 'g')) AS head FROM arr),
+x AS (SELECT doc_id, regexp_replace(line, '^ +| +$', '', 'g') AS line, regexp_replace(lower(regexp_replace(line, '[^\\p{{L}}\\p{{N}}]+', '', 'g')), '^\\d{{1,4}}', '') AS bare FROM lin)
+SELECT doc_id, count(*) AS kept FROM x JOIN t USING (doc_id) WHERE NOT regexp_full_match(line, '\\d{{1,4}}') AND NOT coalesce(length(head) > 0 AND starts_with(bare, head), false) GROUP BY doc_id
+""")
+def t17_running_heads(spark: SparkSession, d: str) -> DataFrame:
+    """Lines left when those that begin with a passage's first line, its title, are gone."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    titles = docs.select("doc_id", F.try_element_at(segment.lines(F.col("text")), F.lit(1)).alias("title"))
+    return segment.without_running_heads(segment.numbered_lines(docs), titles).groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept"))
+
+
 @query(f"""
 WITH {_LINES} SELECT doc_id, median(length(trim(line))) AS median_length FROM lin WHERE trim(line) <> '' GROUP BY doc_id
 """)
