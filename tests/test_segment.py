@@ -135,3 +135,10 @@ def test_pages(spark):
     assert got[3] == got[4] == got[5] == (None, "", "") and rows[3].notes == ["no text on any page"] and rows[3].bib == []
     assert got[6] == (1, "text", "") and rows[6].notes == ["nothing behind the heading"]
     assert got[7][0] == 18 and rows[7].references_text == "p17\n\np18\n\np19"
+
+
+def test_claim_records(spark):
+    docs = spark.createDataFrame([(1, 5, "body", 3, "We say so [2, 9, 1] and [2]. Nothing here. Again [1-2]."), (2, 5, "references", 4, "[1] No claim.")], "doc_id long, ledger_id long, section string, page int, body_text string")
+    refs = spark.createDataFrame([(5, "R01"), (5, "R2"), (6, "R9")], "ledger_id long, ref_id string")
+    rows = sorted(tuple(r) for r in segment.claim_records(docs, refs).collect())
+    assert rows == [(1, 5, "C01", 3, "We say so [2, 9, 1] and [2].", ["R2", "R01"]), (1, 5, "C02", 3, "Again [1-2].", ["R01", "R2"])]

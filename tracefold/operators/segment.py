@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tracefold.functions.normalize import mask_digits
 
@@ -243,9 +244,33 @@ def claims(docs: DataFrame, refs: DataFrame) -> DataFrame:
         .select("doc_id", "ledger_id", F.posexplode(sentences(F.col("body_text"))).alias("at", "sentence"))
         .select("doc_id", "ledger_id", (F.col("at") + 1).alias("sentence_no"), F.explode(marker_numbers(F.col("sentence"))).alias("number"))
     )
+    return s.join(reference_numbers(refs), ["ledger_id", "number"]).select("doc_id", "sentence_no", "number", "ref_id")
+
+
+def claim_records(docs: DataFrame, refs: DataFrame) -> DataFrame:
+    """(doc_id, ledger_id, claim_id, page, text, ref_ids): one row per sentence of a passage's body that cites references
+    of its ledger, with the distinct ids in first-seen order. Claims are numbered C01 ... within the passage, or C001 ...
+    where there are a hundred or more."""
+    s = docs.filter(F.col("ledger_id").isNotNull() & ~F.coalesce(F.col("section") == "references", F.lit(False))).select(
+        "doc_id", "ledger_id", "page", F.posexplode(sentences(F.col("body_text"))).alias("at", "text")
+    )
+    asked = s.select("doc_id", "ledger_id", "at", F.posexplode(marker_numbers(F.col("text"))).alias("pos", "number"))
+    cited = asked.join(reference_numbers(refs), ["ledger_id", "number"])
+    # A sentence's own ids: as many as it prints.
+    ids = cited.groupBy("doc_id", "at").agg(F.array_sort(F.collect_list(F.struct("pos", "ref_id"))).alias("ids"))
+    found = s.join(ids, ["doc_id", "at"])
+    own = Window.partitionBy("doc_id")
+    numbered = found.withColumns({"n": F.row_number().over(own.orderBy("at")), "total": F.count(F.lit(1)).over(own)})
+    return numbered.select(
+        "doc_id", "ledger_id", numbered_id("C", F.col("n"), F.col("total")).alias("claim_id"), "page", "text",
+        F.array_distinct(F.transform("ids", lambda x: x["ref_id"])).alias("ref_ids"),
+    )
+
+
+def reference_numbers(refs: DataFrame) -> DataFrame:
+    """(ledger_id, number, ref_id): the reference that a printed number means."""
     numbered = refs.select("ledger_id", "ref_id", F.nullif(F.regexp_extract("ref_id", r"^R0*(\d{1,9})$", 1), F.lit("")).cast("int").alias("number"))
-    numbered = numbered.filter(F.col("number").isNotNull()).groupBy("ledger_id", "number").agg(F.min("ref_id").alias("ref_id"))
-    return s.join(numbered, ["ledger_id", "number"]).select("doc_id", "sentence_no", "number", "ref_id")
+    return numbered.filter(F.col("number").isNotNull()).groupBy("ledger_id", "number").agg(F.min("ref_id").alias("ref_id"))
 
 
 def reflow(text: Column) -> Column:

@@ -133,7 +133,7 @@ def t15_citation_markers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "ledger_claims").select("row_id", F.explode(segment.marker_numbers(F.col("text"))).alias("number"))
 
 
-@query(f"""
+_CLAIMS = f"""
 WITH {_LINES}, h AS (SELECT doc_id, max(line_no) AS h FROM lin WHERE regexp_matches(line, {_HEAD}) GROUP BY doc_id),
 b AS (SELECT arr.doc_id, ledger_id, trim(regexp_replace(array_to_string(CASE WHEN h.h IS NULL THEN ls ELSE ls[:h.h - 1] END, chr(10)), '\\s+', ' ', 'g')) AS t
   FROM arr LEFT JOIN h USING (doc_id) WHERE ledger_id IS NOT NULL AND coalesce(section, '') <> 'references'),
@@ -142,13 +142,27 @@ src AS (SELECT doc_id, ledger_id, unnest(range(1, len(ss) + 1)) AS sentence_no,
 {_numbers_sql('sentence', 'doc_id, ledger_id, sentence_no')},
 refs AS (SELECT ledger_id, CAST(regexp_extract(ref_id, '^R0*(\\d{{1,9}})$', 1) AS INT) AS number, min(ref_id) AS ref_id FROM bib_refs
   WHERE deleted_at IS NULL AND regexp_full_match(ref_id, 'R0*\\d{{1,9}}') GROUP BY ALL)
-SELECT doc_id, CAST(sentence_no AS INT) AS sentence_no, number, ref_id FROM num JOIN refs USING (ledger_id, number)
-""")
+"""
+
+
+@query(_CLAIMS + "SELECT doc_id, CAST(sentence_no AS INT) AS sentence_no, number, ref_id FROM num JOIN refs USING (ledger_id, number)")
 def t16_claims(spark: SparkSession, d: str) -> DataFrame:
     docs = segment.split_bibliography(table(spark, d, "documents").select("doc_id", "ledger_id", "section", "text"))
     return segment.claims(docs, state.usable(table(spark, d, "bib_refs")))
 
 
+@query(_CLAIMS.rstrip() + """
+, ids AS (SELECT doc_id, ledger_id, sentence_no, list_sort(list_distinct(list(ref_id))) AS ids FROM num JOIN refs USING (ledger_id, number) GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sentence_no) AS n, count(*) OVER (PARTITION BY doc_id) AS total FROM ids)
+SELECT k.doc_id, 'C' || lpad(CAST(n AS VARCHAR), CASE WHEN total >= 100 THEN 3 ELSE 2 END, '0') AS claim_id, page, md5(sentence) AS text, array_to_string(ids, ',') AS ref_ids
+FROM k JOIN src USING (doc_id, sentence_no) JOIN documents USING (doc_id)
+""")
+def t12_claim_records(spark: SparkSession, d: str) -> DataFrame:
+    docs = segment.split_bibliography(table(spark, d, "documents").select("doc_id", "ledger_id", "section", "page", "text"))
+    c = segment.claim_records(docs, state.usable(table(spark, d, "bib_refs")))
+    return c.select("doc_id", "claim_id", "page", F.md5("text").alias("text"), F.array_join(F.array_sort("ref_ids"), ",").alias("ref_ids"))
+
+
 @query("""
 WITH f AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL),
 s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(t, '(^|[^0-9.])([0-9]+(?:\\.[0-9]+)+ [A-Z])', '\\1' || chr(1) || '\\2', 'g'), '(• )', chr(1) || '\\1', 'g'), chr(1)),
