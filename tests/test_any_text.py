@@ -18,7 +18,9 @@ def test_nodes_are_a_tree(value):
     assert [r[0] for r in rows] == list(range(len(rows)))
     for node, parent, label, ordinal, kind, scalar in rows:
         assert (parent is None) == (node == 0) and (parent is None or parent < node)
-        assert (scalar is not None) == (kind == "scalar") and (label is None or ordinal is None)
+        assert (scalar is not None) == (kind == "scalar")
+        if ordinal is not None:  # an element has its list's label
+            assert rows[parent][4] == "array" and label == rows[parent][2]
 
 
 @settings(max_examples=300, deadline=None)
