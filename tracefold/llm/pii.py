@@ -51,8 +51,10 @@ NAME_CUES = {
 }
 #: Words that make a name of what follows them with another word in between: "data go to", "signed the report as".
 NAME_CUES_APART = re.compile(
-    r"\b(?:(?:go(?:es)?|sent|send|addressed|directed|returned) to|sign(?:s|ed|ing)?(?: \w+){0,3} as|(?:reprints?|copies|samples|data|code)(?: \w+){0,3} from)(?= )", re.I
+    r"(?:(?:goes|go|sent|send|addressed|directed|returned) to|sign(?:s|ed|ing)?(?: \w+){0,3} as|(?:reprints?|copies|samples|data|code)(?: \w+){0,3} from)(?= )", re.I
 )
+APART_WORDS = ("goes", "go", "sent", "send", "addressed", "directed", "returned", "sign", "reprint", "copies", "samples", "data", "code")
+TITLE_WORDS = ("dr", "prof", "mr", "mrs", "ms", "mx", "herr", "frau", "sr", "sra", "mme", "mlle")
 #: Words after a person's name.
 NAME_AFTER = {
     **dict.fromkeys(("died in", "'s comments", "’s comments", "recalled"), 2),
@@ -116,6 +118,8 @@ _ID_FREE = re.compile(
     r"(?<![\w/.+-])(?:\d{17}[\dX]|\d{4}[- ]?\d{4}[- ]?\d{4}[- ]?\d{3}[\dX]|\d ?\d{2} ?\d{2} ?\d{2} ?\d{3} ?\d{3} ?\d{2}|\d{2} \d{3} \d{3} \d{3}|\d{11}|"
     r"\d{3}[- ]\d{2}[- ]\d{4}|[XYZ]-?\d{7}-?[A-Z]|\d{8}[- ]?[A-Z]|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|[A-Z]{1,2} \d{3} \d{3,5}|[A-Z]{1,2}\d{6,9})(?![\w-]|[.,/]\d)"
 )
+#: Where such a shape may begin.
+_ID_START = re.compile(r"(?<![\w/.+-])(?:[A-Z]{1,2}[ -]?)?\d[\d -]{5,}")
 _ID_NEAR = re.compile(r"\b(?:id|ids|identity|identification|identifier|passport|tax|insurance|social|payroll|personnel|form|ausweis|steuer|identit[éy]|identidad|fiscal|orcid)\b", re.I)
 _ID_NOT = re.compile(r"(?:grant|sample|trial|isbn|issn|trn|phone|tel|fax|call|ring|doi|arxiv|order|card|kennzeichen|version|n[ro]\.)\W{0,3}$", re.I)
 _HOUSE = r"\d{1,5}[a-z]?(?:\s?[-–]\s?\d{1,5}[a-z]?)?"
@@ -223,6 +227,9 @@ def _cues() -> ahocorasick.Automaton:
         a.add_word(cue, ("id", len(cue), 2))
     for cue in STREET_WORDS:
         a.add_word(cue, ("street", len(cue), 0))
+    for what, cues in (("apart", APART_WORDS), ("title", TITLE_WORDS)):
+        for cue in cues:
+            a.add_word(cue, (what, len(cue), 0))
     a.make_automaton()
     return a
 
@@ -287,8 +294,9 @@ def numbers(t: str, cues: list[int]) -> list[Span]:
             seen.add(m.start())
             if id_score(m.group(), t[max(0, at - 40) : at], True) >= 1:
                 found.append(Span(m.start(), m.end(), "id_number"))
-    for m in _ID_FREE.finditer(t):
-        if m.start() not in seen:
+    for start in _ID_START.finditer(t):
+        m = _ID_FREE.match(t, start.start())
+        if m and m.start() not in seen:
             after = bool(re.match(r"\s?(?:for |\()", t[m.end() : m.end() + 6]))
             if id_score(m.group(), t[max(0, m.start() - 40) : m.start()], False) + 0.5 * after >= 1:
                 found.append(Span(m.start(), m.end(), "id_number"))
@@ -300,12 +308,14 @@ def addresses(t: str, streets: list[int]) -> list[Span]:
     found = []
     windows: list[list[int]] = []
     for at in streets:
-        a, b = max(0, at - 200), at + 400
+        a, b = max(0, at - 120), at + 120
         if windows and a <= windows[-1][1]:
             windows[-1][1] = b
         else:
             windows.append([a, b])
-    for m in (m for a, b in windows for m in _ADDRESS.finditer(t, a, min(len(t), b))):
+    # Found near the word, then read to its own end, wherever that is.
+    near = (m.start() for a, b in windows for m in _ADDRESS.finditer(t, a, min(len(t), b)))
+    for m in filter(None, (_ADDRESS.match(t, start) for start in near)):
         end = m.end()
         if m.group().endswith("St.") and not re.match(r"\s?(?:,|[a-z])", t[end:]):
             end -= 1  # the end of a sentence
@@ -431,6 +441,7 @@ def mentions(t: str) -> list[Span]:
     ids: list[int] = []
     after: list[tuple[int, int]] = []
     streets: list[int] = []
+    titles: list[int] = []
     for last, (what, n, weight) in _cues().iter(low):
         start, end = last + 1 - n, last + 1
         if what == "street":
@@ -438,6 +449,12 @@ def mentions(t: str) -> list[Span]:
                 streets.append(start)
         elif what == "after":
             after.append((start, weight))
+        elif what == "apart":
+            if (not start or not low[start - 1].isalnum()) and (m := NAME_CUES_APART.match(t, start)):
+                names.append((m.end(), 2))
+        elif what == "title":
+            if t[start].isupper() and (not start or not t[start - 1].isalnum()) and TITLE.match(t, start):
+                titles.append(start)
         elif start and low[start - 1].isalnum() and low[start].isalpha() and not _CJK.match(low[start]):
             continue
         elif what == "id":
@@ -449,15 +466,14 @@ def mentions(t: str) -> list[Span]:
     id_spans = numbers(t, ids)
     found += id_spans + addresses(t, streets) + phones(t)
     people: list[Span] = []
-    names += [(m.end(), 2) for m in NAME_CUES_APART.finditer(t)]
     for at, weight in names:
         span = name_at(t, at, weight)
         while span:
             people.append(span)
             more = _NEXT_NAME.match(t, span.end)
             span = name_at(t, more.end(), 1) if more else None
-    for m in TITLE.finditer(t):
-        if t[m.start()].isupper() and (not m.start() or not t[m.start() - 1].isalnum()) and (span := name_at(t, m.start(), 1)):
+    for at in titles:
+        if span := name_at(t, at, 1):
             people.append(span)
     for s in id_spans:
         m = re.compile(r"\s?(?:for |\()").match(t, s.end)
