@@ -144,3 +144,18 @@ def test_works_are_told_by_their_authors_however_many_records(spark):
     df = spark.createDataFrame(rows, "source_id long, title string, authors array<string>")
     parsed = names.parsed_names(names.distinct_names(df), frozenset())
     assert names.works_of_nodes(df, parsed).select("work").distinct().count() == 1
+
+
+def test_pairs_of_lots_are_those_of_one_and_scratch_goes(spark, monkeypatch):
+    from pathlib import Path
+
+    from tracefold.session import ensure_checkpoint_dir
+
+    at = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    works = [(f"work number {i} of some length", [f"Anna {a}{b}velk", f"{a}{b}velk, A."]) for i, (a, b) in enumerate((a, b) for a in ("Mero", "Zuthu", "Liro") for b in ("ku", "thi", "ro"))]
+    whole = groups(spark, works)
+    monkeypatch.setattr(names, "LOT_PAIRS", 20, raising=False)
+    before = set(at.iterdir())
+    assert groups(spark, works) == whole != set()
+    left = {p.name.rsplit("-", 1)[0] for p in set(at.iterdir()) - before}
+    assert not left & {"family-vectors", "family-prefixes", "named-works", "linkage", "nearest"}
